@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, exact_topk, langid, line_dedup, lm, mixing, sentencepiece_codec, sharding
+from . import ann, exact_topk, jaccard, langid, line_dedup, lm, mixing, sentencepiece_codec, sharding
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_language_id": langid.op7_language_id,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_lm_score": lm.op9_lm_score,
+    "op10_ngram_jaccard": jaccard.op10_ngram_jaccard,
 }
 SQL = {
     "op3_exact_topk": exact_topk.OP3_SQL,
