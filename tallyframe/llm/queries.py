@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import ann, exact_topk, jaccard, langid, line_dedup, lm, mixing, sentencepiece_codec, sharding
+from . import ann, exact_topk, jaccard, langid, line_dedup, lm, mixing, pii, sentencepiece_codec, sharding
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
     "op2_sharding": sharding.op2_sharding,
     "op3_exact_topk": exact_topk.op3_exact_topk,
     "op4_mixing": mixing.op4_mixing,
+    "op5_pii": pii.op5_pii,
     "op6_ann": ann.op6_ann,
     "op7_language_id": langid.op7_language_id,
     "op8_line_dedup": line_dedup.op8_line_dedup,
