@@ -38,7 +38,8 @@ def _windows(lines: Column, width: int) -> Column:
 
 def later_windows(df: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WINDOW) -> DataFrame:
     """(_id, _text, positions): where each document's later windows start."""
-    rows = df.select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_text"), F.explode(_windows(_lines(F.col(text)), width)).alias("w")).select("_id", "_text", "w.pos", "w.h", "w.g")
+    lines = df.select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_text"), _lines(F.col(text)).alias("_lines"))  # split once, not in each lambda
+    rows = lines.select("_id", "_text", F.explode(_windows(F.col("_lines"), width)).alias("w")).select("_id", "_text", "w.pos", "w.h", "w.g")
     place = F.struct("_id", "_text", "pos")
     first = rows.groupBy("h", "g").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last")
     return rows.join(first, ["h", "g"]).where(place > F.col("first")).groupBy("_id", "_text").agg(F.collect_set("pos").alias("positions"))
@@ -50,11 +51,13 @@ def dedup_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id", width
     found = later_windows(df, text, doc_id, width)
     keyed = df.withColumn("_key", F.xxhash64(text))
     both = keyed.join(found, (keyed["_key"] == found["_text"]) & keyed[doc_id].eqNullSafe(found["_id"]), "left").drop("_id", "_text", "_key")
-    lines, at = _lines(F.col(text)), F.col("positions")
+    both = both.withColumn("_lines", _lines(F.col(text)))
+    lines, at = F.col("_lines"), F.col("positions")
     covered = F.flatten(F.transform(at, lambda p: F.sequence(p, p + width - 1)))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered)
+    kept = F.col("_kept")
     return (
-        both.withColumn("n_lines", F.when(F.col(text).isNotNull(), F.size(lines)))
+        both.withColumn("_kept", F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered))
+        .withColumn("n_lines", F.when(F.col(text).isNotNull(), F.size(lines)))
         .withColumn("n_removed", F.when(F.col(text).isNotNull(), F.when(at.isNull(), 0).otherwise(F.size(lines) - F.size(kept))))
         .withColumn(text, F.when(at.isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")))
         .select(*df.columns, "n_lines", "n_removed")
