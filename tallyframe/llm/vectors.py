@@ -16,8 +16,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block.
-CANDIDATES, QUERIES = 1024, 2048
+#: Rows of a block. Each cell emits k rows for each of its queries, so large candidate blocks keep the lists few.
+CANDIDATES, QUERIES = 16384, 1024
+#: Candidate blocks at least, so that small inputs are spread as well.
+SPREAD = 8
 
 
 def usable(vec: Column, zero: bool = True) -> Column:
@@ -31,7 +33,7 @@ def grid(queries: DataFrame, candidates: DataFrame, tile: Callable, schema: str,
     """Both sides have (id, dim, ...); only equal dims meet. tile(queries, candidates) maps Arrow tables to rows with query_id, vec_id, score."""
     n = candidates.count()
     m = queries.count()
-    c, r = max(1, math.ceil(n / CANDIDATES)), max(1, math.ceil(m / QUERIES))
+    c, r = max(SPREAD, math.ceil(n / CANDIDATES)), max(1, math.ceil(m / QUERIES))
     block = lambda parts: F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
     each = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     left = queries.withColumn("qb", block(r)).withColumn("cb", each(c)).groupBy("dim", "qb", "cb")
