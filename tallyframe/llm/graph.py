@@ -18,17 +18,22 @@ def _stars(pairs: DataFrame, small: bool) -> DataFrame:
     else:
         out = tied.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         out = out.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return out.where(F.col("a") != F.col("b")).distinct()
+    out = out.where(F.col("a") != F.col("b"))
+    return out.distinct() if small else out
+
+
+def _settled(pairs: DataFrame) -> bool:
+    """Every node has one parent, and no parent has one: stars."""
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("e")).select("e.*")
+    moving = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0)))
+    return moving.isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node that can be reached, for every node of edges (a, b) of any one orderable type."""
     pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    before = None
     while True:
         pairs = stored(_stars(_stars(pairs, small=False), small=True))
-        state = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
+        if _settled(pairs):
             break
-        before = state
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(pairs.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

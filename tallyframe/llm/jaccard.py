@@ -43,7 +43,9 @@ WIDTH, PERCENT = 5, 75
 #: Bits by which shingles are told apart when they are counted.
 COUNTED_BITS = 40
 #: Bytes of sets, and sets, in a tile.
-TILE_BYTES, TILE_SETS = 8 << 20, 2048
+TILE_BYTES, TILE_SETS = 8 << 20, 1024
+#: Bytes of sets of small whole groups in one task.
+BIN_BYTES = 1 << 20
 
 _QUESTIONS = "shard int, block int, values binary, counts binary"
 _ANSWERS = "shard int, block int, classes binary"
@@ -126,11 +128,11 @@ def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def links_within(names: list[bytes], sets: list[np.ndarray], label: np.ndarray, percent: int) -> list[tuple[bytes, bytes]]:
-    """Links that connect sets of different labels, enough of them to connect all that links can connect."""
+    """What links connect, beyond what bears one label already: each name with the least one of its class."""
     order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), names[i]))
     names, sets, label = [names[i] for i in order], [sets[i] for i in order], label[order].copy()
     size = np.array([len(s) for s in sets])
-    bits, out = bitmaps(sets), []
+    bits, linked = bitmaps(sets), set()
     for i in range(1, len(sets)):
         low = np.searchsorted(size[:i], -(-percent * size[i] // 100))
         near = low + np.flatnonzero(label[low:i] != label[i])
@@ -143,9 +145,13 @@ def links_within(names: list[bytes], sets: list[np.ndarray], label: np.ndarray,
             if label[j] != label[i]:
                 shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                 if 100 * shared >= percent * (size[i] + size[j] - shared):
-                    out.append((names[i], names[j]))
+                    linked.add(int(label[i]))
                     label[label == label[j]] = label[i]
-    return out
+    least: dict[int, bytes] = {}
+    for name, own in zip(names, label.tolist(), strict=True):
+        least[own] = min(name, least.get(own, name))
+    touched = {int(x) for x in linked}
+    return [(name, least[own]) for name, own in zip(names, label.tolist(), strict=True) if name != least[own] and own in touched]
 
 
 _LINKS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
@@ -181,25 +187,30 @@ def links(nodes: DataFrame, groups: DataFrame, percent: int = PERCENT, tile_byte
     tile = tiler(percent)
     named = placed.join(kinds, ["component", "band"])
     # whole small groups, many to a task
-    small = named.where("not large").withColumn("bin", F.pmod(F.xxhash64("component"), F.lit(max(1, -(-int(total) // tile_bytes)))))
+    small = named.where("not large").withColumn("bin", F.pmod(F.xxhash64("component"), F.lit(max(1, -(-int(total) // BIN_BYTES)))))
     found = small.withColumn("label", F.col("k")).groupBy("bin").applyInArrow(tile, "a binary, b binary")
-    if not kinds.where("large").limit(1).count():
-        return components(found)
+    done = found.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    done = stored(done.unionByName(done.select(F.col("component").alias("node"), "component").distinct()))
+    if kinds.where("large").isEmpty():
+        return done
     large = named.where("large").withColumn("part", F.pmod(F.xxhash64("k"), F.col("parts")).cast("int")).select("component", "band", "part", "k", "shingles")
     tiles = kinds.where("large").select("component", "band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     pivots = large.groupBy("component", "band").agg(F.min_by("shingles", "k").alias("shingles"), F.min("k").alias("k"))
     near = pivots.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).join(tiles, ["component", "band"])
     first = large.unionByName(near.select(large.columns)).withColumn("label", F.col("k"))
-    found = stored(found.unionByName(first.groupBy("component", "band", "part").applyInArrow(tile, "a binary, b binary")))
+    found = stored(first.groupBy("component", "band", "part").applyInArrow(tile, "a binary, b binary"))
     labels = components(found)
     marked = large.join(labels, large["k"] == labels["node"], "left").select(large["*"], F.coalesce(labels["component"], large["k"]).alias("label"))
+    marked = stored(marked)
     split = marked.groupBy("component").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("component")
+    if split.isEmpty():
+        return done.unionByName(labels)
     left = tiles.select("component", F.col("band").alias("b1"), F.col("part").alias("p1"))
     right = tiles.select("component", F.col("band").alias("b2"), F.col("part").alias("p2"))
     pairs = left.join(right, "component").where(((F.col("b2") == F.col("b1")) & (F.col("p2") > F.col("p1"))) | (F.col("b2") == F.col("b1") + 1)).join(split, "component", "left_semi")
     sides = pairs.select("component", "b1", "p1", "b2", "p2", F.explode(F.array(F.struct(F.col("b1").alias("band"), F.col("p1").alias("part")), F.struct(F.col("b2").alias("band"), F.col("p2").alias("part")))).alias("t")).select("component", "b1", "p1", "b2", "p2", "t.band", "t.part")
     second = marked.join(sides, ["component", "band", "part"]).groupBy("component", "b1", "p1", "b2", "p2").applyInArrow(tile, "a binary, b binary")
-    return components(found.unionByName(second))
+    return done.unionByName(components(found.unionByName(second)))
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, tile_bytes: int = TILE_BYTES, tile_sets: int = TILE_SETS) -> DataFrame:
