@@ -25,6 +25,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,9 @@ REMEMBERED_CHARS = 6 << 20
 TOGETHER = 1 << 18
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+$")
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+#: Upper bits of a piece's hash that index it directly; the few that share them are neighbours.
+_SLOT_BITS = 16
+_SLOT_SHIFT = np.uint64(64 - _SLOT_BITS)
 
 
 def model_bytes(path: str = MODEL) -> bytes:
@@ -76,13 +80,18 @@ class Vocabulary:
         self.pieces = {sp.id_to_piece(i): (i, float(i - plain[0] + 1) ** -alpha) for i in plain}
         self.longest = max(map(len, self.pieces))
         self.alpha = alpha
-        self.by_length = []  # of each length: hashes of the pieces, ascending, with their ids and weights
+        self.by_length = []  # of each length: hashes of the pieces, ascending, with their ids and weights, and where each hash's upper bits point
         for size in range(1, self.longest + 1):
             own = [(p, *x) for p, x in self.pieces.items() if len(p) == size]
             h = _rolled(np.array([[ord(c) for c in p] for p, _, _ in own], np.uint64).reshape(len(own), size))
             order = np.argsort(h)
             assert len(np.unique(h)) == len(h)
-            self.by_length.append((h[order], np.array([x[1] for x in own], np.int32)[order], np.array([x[2] for x in own])[order]))
+            h = h[order]
+            slot = (h >> _SLOT_SHIFT).astype(np.int64)
+            table = np.zeros(1 << _SLOT_BITS, np.int32)
+            table[slot[::-1]] = np.arange(len(h))[::-1]  # the first of a slot
+            most = int(np.bincount(slot).max()) if len(h) else 0
+            self.by_length.append((h, np.array([x[1] for x in own], np.int32)[order], np.array([x[2] for x in own])[order], table, most))
         self.byte_weight = byte_weight
         spelled = [b""] * n
         for p, (i, _) in self.pieces.items():
@@ -176,13 +185,22 @@ class Lattices:
         left = (end[word] - np.arange(len(chars))).astype(np.int64)  # characters from here to the word's end
         h, at = np.zeros(len(chars), np.uint64), np.arange(len(chars))
         found = []
-        for n, (keys, ids, weights) in enumerate(v.by_length, 1):
+        for n, (keys, ids, weights, slots, most) in enumerate(v.by_length, 1):
             stay = left[at] >= n
             at, h = at[stay], h[stay]
             h = (h ^ chars[at + n - 1]) * _GOLDEN
-            k = np.minimum(np.searchsorted(keys, h), len(keys) - 1) if len(keys) else np.zeros(len(h), np.int64)
-            hit = np.flatnonzero(keys[k] == h) if len(keys) else np.empty(0, np.int64)
-            found.append((at[hit], n, ids[k[hit]], weights[k[hit]]))
+            if not len(keys):
+                continue
+            k = slots[(h >> _SLOT_SHIFT).astype(np.int64)]
+            hit = np.flatnonzero(keys[k] == h)
+            hits, which = [hit], [k[hit]]
+            for _ in range(1, most):
+                k = np.minimum(k + 1, len(keys) - 1)
+                near = np.flatnonzero(keys[k] == h)
+                hits.append(near)
+                which.append(k[near])
+            hit, which = np.concatenate(hits), np.concatenate(which)
+            found.append((at[hit], n, ids[which], weights[which]))
         known = np.zeros(len(chars), bool)
         known[found[0][0]] = True
         odd = np.flatnonzero(~known)
@@ -283,9 +301,9 @@ def encode_texts(texts: list[str | None], keys: list[str], known: Lattices, seed
 
     def flush(upto: int, frm: int) -> None:
         nonlocal done
-        known.add_many(list({w for found in cut for w in found} - known.word.keys()))
-        node = np.fromiter((n for found in cut for n in map(known.word.__getitem__, found)), np.int32, sum(sizes))
-        long = np.fromiter((n for found in cut for n in map(len, found)), np.int32, sum(sizes))
+        known.add_many(list(set(chain.from_iterable(cut)) - known.word.keys()))
+        node = np.fromiter(map(known.word.__getitem__, chain.from_iterable(cut)), np.int32, sum(sizes))
+        long = np.fromiter(map(len, chain.from_iterable(cut)), np.int32, sum(sizes))
         ids, count = known.sample(node, node - long, np.concatenate(hashes))
         total = np.concatenate([[0], np.cumsum(count)])
         ends[frm:upto] = done + total[np.cumsum(sizes)]
