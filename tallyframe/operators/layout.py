@@ -35,11 +35,14 @@ class Layout:
 def estimate_skew(obs: DataFrame, config: Config = Config()) -> DataFrame:
     """(card_id, skew): the median angle from each observation to its nearest neighbour on the right."""
     c = config.clustering
-    a, b = obs.alias("a"), obs.select("card_id", *[F.col(n).alias(f"r_{n}") for n in ("obs_seq", "x", "y", "w", "h")]).alias("b")
     left, right = Box.of(), Box.of("r_")
+    # a neighbour starts between half a width before this one's right end and the largest gap after it: only such strips meet
+    strip = lambda x: F.floor(x / c.neighbour_gap).cast("int")
+    a = obs.withColumn("strip", F.explode(F.sequence(strip(left.max_x - left.w * 0.5), strip(left.max_x + c.neighbour_gap))))
+    b = obs.select("card_id", strip(F.col("x")).alias("strip"), *[F.col(n).alias(f"r_{n}") for n in ("obs_seq", "x", "y", "w", "h")])
     gap = right.x - left.max_x
     later = (right.x > left.x) | ((right.x == left.x) & (F.col("r_obs_seq") > F.col("obs_seq")))
-    near = a.join(b, "card_id").where(later & (gap <= c.neighbour_gap) & (gap > left.w * -0.5) & (geometry.vertical_overlap(left, right) > c.neighbour_overlap))
+    near = a.join(b, ["card_id", "strip"]).where(later & (gap <= c.neighbour_gap) & (gap > left.w * -0.5) & (geometry.vertical_overlap(left, right) > c.neighbour_overlap))
     best = near.groupBy("card_id", "obs_seq").agg(F.min(F.struct(gap.alias("gap"), right.x.alias("x"), F.col("r_obs_seq").alias("seq"), geometry.angle_to(left, right, c.max_skew).alias("angle"))).alias("best"))
     angle = F.col("best.angle")
     counts = obs.groupBy("card_id").agg(F.count("*").alias("n"))
@@ -74,8 +77,8 @@ def cluster_rows(obs: DataFrame, config: Config = Config()) -> DataFrame:
 
 def headers(obs: DataFrame, config: Config = Config()) -> DataFrame:
     """(card_id, row, hole, centre): the numbers of each row's best run, for rows whose run is long enough."""
-    reading = numeric.best_integer(F.col("t"), 1, 18)
-    seen = obs.withColumn("t", trimmed(F.col("text"))).withColumn("r", reading).select("card_id", "row", "place", Box.of().mid_x.alias("centre"), F.when(F.col("r.penalty") < 1, F.col("r.value")).alias("v"))
+    read = obs.withColumn("t", trimmed(F.col("text"))).withColumn("candidates", numeric.integer_candidates(F.col("t"))).withColumn("n_sub", numeric.substitutions(F.col("t")))
+    seen = read.withColumn("r", numeric.best_of(F.col("candidates"), F.col("n_sub"), 1, 18)).select("card_id", "row", "place", Box.of().mid_x.alias("centre"), F.when(F.col("r.penalty") < 1, F.col("r.value")).alias("v"))
     lines = folds.sorted_list(seen, ["card_id", "row"], place=F.col("place"), v=F.col("v"), centre=F.col("centre"))
     runs = lines.withColumn("hits", folds.best_run(F.col("items")["v"])).where(F.size("hits") >= config.grid.header_run)
     return runs.select("card_id", "row", F.size("hits").alias("run"), F.explode(F.transform("hits", lambda h: F.struct(h["value"].alias("hole"), F.get(F.col("items"), h["at"])["centre"].alias("centre")))).alias("h")).select("card_id", "row", "run", "h.hole", "h.centre")

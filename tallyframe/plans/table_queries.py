@@ -410,3 +410,86 @@ def conversation_lines(spark, sf_dir):
 def scratch_coverage(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", (F.floor("value") % 24).alias("x"), (F.col("event_id") % 16).alias("y"))
     return history.scratched(e, ["user_id"], 24, 16)
+
+
+def _card_scores(k: Column, hole: Column) -> Column:
+    """The score that a generated card's player wrote."""
+    return (F.lit(3) + (k * 7 + hole * 5) % 4).cast("int")
+
+
+def generated_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations of one card for each supplier: the golden print, and a handwritten row whose scores follow from the key; some holes blank, some written totals wrong."""
+    from tallyframe.sources import fixtures
+
+    holes = [f"@{h}" for h in range(1, 19)]
+    base = fixtures.frame(spark, {"": fixtures.golden_card(holes, "SAM PLAYER", totals=("@19", "@20", "@21"), confidence=0.60)})
+    k = F.col("s_suppkey")
+    cards = table(spark, sf_dir, "supplier").select("s_suppkey")
+    o = cards.crossJoin(F.broadcast(base))
+    slot = F.regexp_extract("text", "^@([0-9]+)$", 1).try_cast("int")
+    total = lambda a, b: sum((_card_scores(k, F.lit(h)) for h in range(a, b + 1)), F.lit(0))
+    front = total(1, 9) + F.when(k % 5 == 0, 1).otherwise(0)
+    blank = ((k % 3 == 0) & (slot == k % 9 + 1)) | ((k % 4 == 0) & slot.isin(12, 13))
+    value = F.when(slot <= 18, F.when(~blank, _card_scores(k, slot))).when(slot == 19, front).when(slot == 20, total(10, 18)).otherwise(total(1, 18))
+    o = o.withColumn("text", F.when(slot.isNotNull(), value.cast("string")).otherwise(F.col("text"))).where("text IS NOT NULL")
+    return o.withColumn("card_id", k.cast("string")).drop("s_suppkey")
+
+
+@query("""WITH h AS (SELECT s_suppkey AS k, h, 3 + (s_suppkey * 7 + h * 5) % 4 AS v, (s_suppkey % 3 = 0 AND h = s_suppkey % 9 + 1) OR (s_suppkey % 4 = 0 AND h IN (12, 13)) AS blank FROM supplier CROSS JOIN (SELECT UNNEST(range(1, 19)) AS h)),
+ s AS (SELECT k, h > 9 AS back, SUM(v) AS truth, SUM(CASE WHEN NOT blank THEN v END) AS seen, COUNT(CASE WHEN blank THEN 1 END) AS unknown, MIN(CASE WHEN blank THEN h END) AS hole FROM h GROUP BY 1, 2),
+ w AS (SELECT *, truth + CASE WHEN NOT back AND k % 5 = 0 THEN 1 ELSE 0 END AS written FROM s),
+ o AS (SELECT *, CASE WHEN unknown > 1 THEN 'underdetermined' WHEN unknown = 1 AND written - seen BETWEEN 1 AND 15 THEN 'solved' WHEN unknown = 1 THEN 'implausible' WHEN written = seen THEN 'verified' ELSE 'discrepancy' END AS outcome FROM w)
+ SELECT CAST(k AS VARCHAR) AS card_id, 'ga-steel-canyon' AS template_id, CAST(1 AS INT) AS n_players, CAST(CASE WHEN bool_or(outcome IN ('underdetermined', 'implausible')) THEN NULL ELSE SUM(seen + CASE WHEN outcome = 'solved' THEN written - seen ELSE 0 END) END AS BIGINT) AS total,
+ MIN(CASE WHEN outcome = 'solved' THEN hole END)::INT AS solved_hole, CASE WHEN bool_or(outcome IN ('discrepancy', 'implausible')) THEN 'contradicted' WHEN bool_or(outcome IN ('verified', 'solved')) THEN 'confirmed' ELSE 'unavailable' END AS support FROM o GROUP BY k""")
+def cards_end_to_end(spark, sf_dir):
+    """The whole card pipeline over a card for each supplier."""
+    from tallyframe.plans import cards as pipeline
+    from tallyframe.sources import catalog
+
+    got = pipeline.parse(generated_cards(spark, sf_dir), catalog.seed(spark), keep=pipeline.cut)
+    sums = got.holes.groupBy("card_id").agg(F.when(F.count("score.value") == 18, F.sum("score.value")).alias("total"), F.min(F.when(F.col("score.provenance") == "solvedFromSubtotal", F.col("hole"))).alias("solved_hole"))
+    return got.cards.join(sums, "card_id").select("card_id", "template_id", F.col("n_players").cast("int").alias("n_players"), "total", "solved_hole", "support")
+
+
+@query(CELLS + """, p AS (SELECT card_id, MAX(CASE WHEN hole = 1 THEN value END) AS h1, MAX(CASE WHEN hole = 2 THEN value END) AS h2, MAX(CASE WHEN hole = 3 THEN value END) AS h3, COUNT(value) AS played FROM cells GROUP BY card_id)
+ SELECT *, CASE WHEN h1 IS NULL THEN '—' WHEN h1 - 4 = 0 THEN 'E' WHEN h1 - 4 > 0 THEN '+' || (h1 - 4) ELSE CAST(h1 - 4 AS VARCHAR) END AS relative FROM p""")
+def pivot_holes(spark, sf_dir):
+    p = cells(spark, sf_dir).groupBy("card_id").agg(*[F.max(F.when(F.col("hole") == h, F.col("value"))).alias(f"h{h}") for h in (1, 2, 3)], F.count("value").alias("played"))
+    return p.withColumn("relative", fields.relative_text(F.col("h1") - 4))
+
+
+@query("""WITH p AS (SELECT p_partkey, p_name, string_split(p_name, ' ') AS w FROM part)
+ SELECT p_partkey, COALESCE(list_filter(w, lambda t: len(t) > 1 AND t NOT IN ('golf', 'club', 'course', 'links', 'the', 'at', 'of', 'and', 'cc', 'country', 'gc', 'g', 'c', 'national', 'resort'))[1], w[1]) AS first_token, len(w) + GREATEST(len(w) - 1, 0) + GREATEST(len(w) - 2, 0) AS fragments FROM p""")
+def name_tokens(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    return p.select("p_partkey", F.get(text.significant_tokens(F.col("p_name")), F.lit(0)).alias("first_token"), F.size(text.joined_fragments(F.split("p_name", " "))).cast("long").alias("fragments"))
+
+
+@query("""WITH b AS (SELECT vec_id, abs(CAST(embedding[1] AS DOUBLE)) AS x, abs(CAST(embedding[2] AS DOUBLE)) AS y, abs(CAST(embedding[3] AS DOUBLE)) + 0.05 AS w, abs(CAST(embedding[4] AS DOUBLE)) + 0.05 AS h FROM embeddings),
+ p AS (SELECT a.vec_id, a.x ax, a.y ay, a.w aw, a.h ah, b.x x2, b.y y2, b.w w2, b.h h2 FROM b a JOIN b ON b.vec_id = a.vec_id + 1),
+ q AS (SELECT *, GREATEST(0.0::DOUBLE, LEAST(ax + aw, x2 + w2) - GREATEST(ax, x2)) AS ow, GREATEST(0.0::DOUBLE, LEAST(ay + ah, y2 + h2) - GREATEST(ay, y2)) AS oh FROM p)
+ SELECT vec_id, ROUND(ow * oh / (aw * ah + w2 * h2 - ow * oh), 9) AS iou, ROUND(CASE WHEN LEAST(ay + ah, y2 + h2) - GREATEST(ay, y2) > 0 THEN (LEAST(ay + ah, y2 + h2) - GREATEST(ay, y2)) / LEAST((ay + ah) - ay, (y2 + h2) - y2) ELSE 0.0 END, 9) AS vertical FROM q""")
+def box_overlaps(spark, sf_dir):
+    from tallyframe.functions import geometry
+    from tallyframe.functions.geometry import Box
+
+    part = lambda i: F.abs(F.get("embedding", F.lit(i)).cast("double"))
+    b = table(spark, sf_dir, "embeddings").select("vec_id", part(0).alias("x"), part(1).alias("y"), (part(2) + 0.05).alias("w"), (part(3) + 0.05).alias("h"))
+    n = b.select((F.col("vec_id") - 1).alias("vec_id"), *[F.col(c).alias(f"n_{c}") for c in "xywh"])
+    one, two = Box.of(), Box.of("n_")
+    return b.join(n, "vec_id").select("vec_id", F.round(geometry.intersection_over_union(one, two), 9).alias("iou"), F.round(geometry.vertical_overlap(one, two), 9).alias("vertical"))
+
+
+@query("""SELECT o_orderkey, o_orderpriority AS severity, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 ELSE 2 END, o_orderkey)::INT AS position FROM orders""")
+def warnings_by_severity(spark, sf_dir):
+    rank = F.when(F.col("o_orderpriority") == "1-URGENT", 0).when(F.col("o_orderpriority") == "2-HIGH", 1).otherwise(2)
+    order = Window.partitionBy("o_custkey").orderBy(rank, "o_orderkey")
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("severity"), F.row_number().over(order).alias("position"))
+
+
+@query("""SELECT date_trunc('hour', ts) AS start, event_type, COUNT(*) AS n FROM events GROUP BY 1, 2""")
+def event_windows(spark, sf_dir):
+    """The batch form of the streaming extension's windows."""
+    from tallyframe.streaming import updates
+
+    return updates.windowed_counts(table(spark, sf_dir, "events")).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
