@@ -28,7 +28,7 @@ def sanitise(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
     each = who.select("card_id", "remote_seq", "hole_count", F.posexplode("r.holes").alias("at", "h")).where(F.col("h.holeNumber").between(1, F.col("hole_count")))
     first = Window.partitionBy("card_id", "remote_seq", "h.holeNumber").orderBy("at")
     one = each.withColumn("k", F.row_number().over(first)).where("k = 1")
-    scores = one.select("card_id", "remote_seq", F.col("h.holeNumber").alias("hole"), F.when(F.col("h.playerScore").between(1, 15), F.col("h.playerScore")).alias("value"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("h.confidence"))).alias("confidence"))
+    scores = one.select("card_id", "remote_seq", F.col("h.holeNumber").alias("hole"), F.when(F.col("h.playerScore").between(1, 15), F.col("h.playerScore")).alias("value"), F.when(F.col("h.confidence").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("h.confidence")))).alias("confidence"))
     return players, scores
 
 
