@@ -17,8 +17,10 @@ QUERIES = {
     "op10_ngram_jaccard": jaccard.op10_ngram_jaccard,
 }
 SQL = {
+    "op2_sharding": sharding.OP2_SQL,
     "op3_exact_topk": exact_topk.OP3_SQL,
     "op4_mixing": mixing.OP4_SQL,
     "op6_ann": ann.OP6_SQL,
     "op8_line_dedup": line_dedup.OP8_SQL,
+    "op10_ngram_jaccard": jaccard.OP10_SQL,
 }

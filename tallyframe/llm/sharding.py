@@ -83,3 +83,15 @@ def shard(df: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "tex
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+OP2_SQL = """
+WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+d AS (SELECT doc_id, text, hex(encode(text)) AS x FROM documents),
+c AS (SELECT doc_id, COALESCE(len(x) // 2, 0) + 1 AS size, CASE WHEN text IS NULL THEN NULL WHEN x = '' THEN 0 ELSE xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len(x), 2), lambda i: CAST('0x' || substr(x, i, 2) AS BIGINT))), lambda a, b: xor(a >> 8, t[xor(a & 255, b) + 1])), 4294967295) END AS text_crc32 FROM d, t),
+j AS (SELECT DISTINCT doc_id, CASE WHEN doc_id < 0 THEN doc_id::HUGEINT + 18446744073709551616 ELSE COALESCE(doc_id, 0)::HUGEINT END AS key, 0::BIGINT AS shard, 0::BIGINT AS grown, 0::BIGINT AS j FROM documents
+  UNION ALL SELECT doc_id, k, CASE WHEN j < 16 THEN j ELSE shard END, j, CAST(floor((j + 1)::DOUBLE * (2147483648.0::DOUBLE / ((k // 8589934592) + 1)::DOUBLE)) AS BIGINT) FROM (SELECT *, (key * 2862933555777941757 + 1) % 18446744073709551616 AS k FROM j WHERE j <= 16)),
+s AS (SELECT doc_id, CAST(shard AS INT) AS shard, CAST(grown AS INT) AS grown_shard FROM j WHERE j > 16),
+b AS (SELECT c.doc_id, c.size, c.text_crc32, s.shard, s.grown_shard, (COALESCE(c.text_crc32, 0) + ((COALESCE(c.doc_id, 0) % 256) + 256) % 256) % 256 AS bucket FROM c JOIN s ON s.doc_id IS NOT DISTINCT FROM c.doc_id)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'key' AS law, shard, CAST(ROW_NUMBER() OVER (PARTITION BY shard ORDER BY bucket, doc_id, text_crc32, size) - 1 AS BIGINT) AS slot, grown_shard FROM b
+"""
