@@ -493,3 +493,33 @@ def event_windows(spark, sf_dir):
     from tallyframe.streaming import updates
 
     return updates.windowed_counts(table(spark, sf_dir, "events")).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@query("""SELECT o_custkey AS round_id, COUNT(CASE WHEN o_orderkey % 6 <> 0 THEN 1 END) AS scored, COUNT(CASE WHEN o_orderkey % 6 <> 0 AND o_orderstatus = 'F' THEN 1 END) AS edited, COUNT(CASE WHEN o_orderkey % 6 <> 0 AND o_orderstatus = 'O' THEN 1 END) AS "read" FROM orders GROUP BY 1""")
+def provenance_breakdown(spark, sf_dir):
+    from tallyframe.operators import report
+
+    p = F.when(F.col("o_orderstatus") == "F", "userEdited").when(F.col("o_orderstatus") == "O", "ocr").otherwise("solvedFromSubtotal")
+    h = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("round_id"), F.when(F.col("o_orderkey") % 6 != 0, 4).alias("strokes"), p.alias("score_provenance"))
+    return report.provenance_breakdown(h).select("round_id", "scored", "edited", "read")
+
+
+@query("""WITH r AS (SELECT c_nationkey AS course_id, COUNT(*) AS n, MIN(CAST(floor(c_acctbal) AS BIGINT)) AS best FROM customer WHERE c_acctbal > 9000 GROUP BY 1)
+ SELECT n_nationkey AS course_id, COALESCE(n, 0) AS rounds, best, CASE WHEN n > 0 THEN n || CASE WHEN n = 1 THEN ' round' ELSE ' rounds' END || ', best ' || best WHEN n_nationkey % 2 = 0 THEN 'marked 2020-01-01' END AS summary FROM nation LEFT JOIN r ON r.course_id = n_nationkey""")
+def played_summary(spark, sf_dir):
+    from tallyframe.operators import report
+
+    courses = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("course_id"), F.when(F.col("n_nationkey") % 2 == 0, F.to_timestamp(F.lit("2020-01-01"))).alias("marked_at"))
+    rounds = table(spark, sf_dir, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("course_id"), F.floor("c_acctbal").alias("total"))
+    return report.played_summary(courses, rounds)
+
+
+@query("""WITH t AS (SELECT conv_id, turn, list_filter(string_split_regex(trim(split_part(text, chr(10), 1)), '\\s+'), lambda x: x <> '') AS w FROM conversations), u AS (SELECT conv_id, turn, w, UNNEST(range(0, len(w))) AS place FROM t)
+ SELECT conv_id, turn, CAST(place AS INT) AS place, w[place + 1] AS token, len(array_to_string(w[1:place], ' ')) + CASE WHEN place > 0 THEN 1 ELSE 0 END AS "offset" FROM u""")
+def line_tokens(spark, sf_dir):
+    from tallyframe.operators import report
+
+    one = F.lit(1.0)
+    line = F.get(F.split("text", "\n"), F.lit(0))
+    lines = table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("card_id"), F.lit(0).alias("line_seq"), line.alias("text"), F.lit(0.0).alias("x"), one.alias("y"), F.length(F.regexp_replace(F.trim(line), r"\s+", " ")).cast("double").alias("w"), one.alias("h"), one.alias("confidence"), F.lit("numeric").alias("pass"), F.array().cast("array<string>").alias("alternatives"))
+    return report.split_tokens(lines).select("card_id.conv_id", "card_id.turn", "place", F.col("text").alias("token"), F.round("x").cast("long").alias("offset"))
