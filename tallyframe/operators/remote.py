@@ -67,7 +67,7 @@ def merge(scores: DataFrame, remote: DataFrame, config: Config = Config()) -> Da
     both = scores.join(remote.select("card_id", "hole", F.col("value").alias("r_value"), F.col("confidence").alias("r_conf"), "ceiling"), ["card_id", "hole"], "left")
     wins = (F.col("field.provenance") != "userEdited") & F.col("r_value").between(1, 15) & (conf >= r.least) & (F.col("field.value").isNull() | (conf >= F.col("field.confidence") + r.margin))
     wins = F.coalesce(wins, F.lit(False))
-    return both.select("card_id", "hole", F.when(wins, fields.make_field(F.col("r_value"), conf, "multimodalFallback")).otherwise(F.col("field")).alias("field"), wins.alias("updated"))
+    return both.select("card_id", "hole", F.when(wins, fields.make_field(F.col("r_value"), conf, "multimodalFallback", F.col("field.raw_text"))).otherwise(F.col("field")).alias("field"), wins.alias("updated"))
 
 
 def adopt(players: DataFrame, scores: DataFrame, audits: DataFrame, config: Config = Config()) -> tuple[DataFrame, DataFrame]:
@@ -84,10 +84,10 @@ def adopt(players: DataFrame, scores: DataFrame, audits: DataFrame, config: Conf
     return who, read.select("card_id", "player_seq", "hole", field.alias("field"))
 
 
-def fill_subtotals(local: DataFrame, players: DataFrame, audits: DataFrame, config: Config = Config()) -> DataFrame:
-    """Written totals that the local row lacks, from its remote row."""
+def fill_subtotals(local: DataFrame, players: DataFrame, pairs: DataFrame, config: Config = Config()) -> DataFrame:
+    """Written totals that the selected local row lacks, from its remote row. pairs: card_id, remote_seq, player_seq, ceiling."""
     r = config.remote
-    p = players.join(audits.where("player_seq IS NOT NULL").select("card_id", "remote_seq", "player_seq", "ceiling"), ["card_id", "remote_seq"])
+    p = players.join(pairs.where("player_seq IS NOT NULL").select("card_id", "remote_seq", "player_seq", "ceiling"), ["card_id", "remote_seq"])
     one = p.withColumn("k", F.row_number().over(Window.partitionBy("card_id", "player_seq").orderBy("remote_seq"))).where("k = 1").select("card_id", "player_seq", "ceiling", *[F.col(c).alias(f"_{c}") for c in ("out", "back", "total")])
     fill = lambda c: F.when(F.col(f"written_{c}.value").isNull() & F.col(f"_{c}").isNotNull(), fields.make_field(F.col(f"_{c}"), F.least(F.lit(r.subtotal), F.col("ceiling")), "multimodalFallback")).otherwise(F.col(f"written_{c}")).alias(f"written_{c}")
     return local.join(one, ["card_id", "player_seq"], "left").select(*[c for c in local.columns if not c.startswith("written_")], fill("out"), fill("back"), fill("total"))
@@ -101,8 +101,9 @@ def selected(players: DataFrame, local_selected: DataFrame, config: Config = Con
 
 
 def merge_passes(first: DataFrame, second: DataFrame, least: float = 0.35) -> DataFrame:
-    """Two recognitions of one card: pairs overlapping enough are one observation, the numeric pass's if it reads as a number, else the other's; the rest of both stays.
+    """Two recognitions of one card: pairs overlapping enough are one observation; the rest of both stays.
 
+    Of a pair, what alone reads as a number wins; of two numbers the numeric pass's, unless it is much less sure; of two words the surer.
     Pairs are taken greedily in the first pass's order, each side once.
     """
     from tallyframe.functions import geometry, numeric
@@ -115,7 +116,9 @@ def merge_passes(first: DataFrame, second: DataFrame, least: float = 0.35) -> Da
     listed = folds.sorted_list(pairs, ["card_id"], l=F.col("l"), iou=-F.col("_iou"), r=F.col("r"))
     taken = listed.select("card_id", F.explode(folds.one_to_one(F.transform("items", lambda p: F.struct(p["l"].alias("l"), p["r"].alias("r"))))).alias("p")).select("card_id", F.col("p.l").alias("obs_seq"), F.col("p.r").alias("n_obs_seq"))
     both = first.join(taken, ["card_id", "obs_seq"], "left").join(b, ["card_id", "n_obs_seq"], "left")
-    use = F.col("n_text").isNotNull() & numeric.looks_numeric(F.col("n_text"))
+    mine, theirs = numeric.looks_numeric(F.col("text")), numeric.looks_numeric(F.col("n_text"))
+    sure = F.when(mine, F.col("n_confidence") >= F.col("confidence") * 0.85).otherwise(True)
+    use = F.col("n_text").isNotNull() & F.when(theirs, sure).otherwise(~mine & (F.col("n_confidence") > F.col("confidence")))
     merged = both.select("card_id", "obs_seq", *[F.when(use, F.col(f"n_{c}")).otherwise(F.col(c)).alias(c) for c in first.columns if c not in ("card_id", "obs_seq")])
     left = second.join(taken.select("card_id", F.col("n_obs_seq").alias("obs_seq")), ["card_id", "obs_seq"], "left_anti").withColumn("obs_seq", F.col("obs_seq") + 1_000_000)
     return merged.unionByName(left)

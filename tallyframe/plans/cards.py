@@ -56,6 +56,19 @@ def _solve(cards: DataFrame, holes: DataFrame, players: DataFrame, chosen: DataF
     return solved, halves, checksum.support(halves)
 
 
+def solver_warnings(halves: DataFrame) -> DataFrame:
+    """(card_id, solver_warnings): a half whose sum differs or whose one hole can't be what is missing is doubtful; several unread holes are missing."""
+    o = F.col("outcome")
+    no_holes = F.array().cast("array<int>")
+    one = F.coalesce(
+        confidence.warning(o == "discrepancy", "someScoresLowConfidence", "warning", no_holes),
+        confidence.warning(o == "implausible", "someScoresLowConfidence", "warning", F.array("hole")),
+        confidence.warning(o == "underdetermined", "someScoresMissing", "warning", F.col("unread")),
+    )
+    listed = F.array_sort(F.collect_list(F.when(one.isNotNull(), F.struct((F.col("half") == "back").alias("back"), one.alias("w")))))
+    return halves.groupBy("card_id").agg(listed["w"].alias("solver_warnings"))
+
+
 def parse(obs: DataFrame, templates: DataFrame, overrides: DataFrame | None = None, requested: DataFrame | None = None, config: Config = Config(), keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> Scorecards:
     """Every card of obs. requested (card_id): cards that must appear in the result even if they have no observation."""
     table = layout.detect(obs, config, keep)
@@ -77,14 +90,15 @@ def parse(obs: DataFrame, templates: DataFrame, overrides: DataFrame | None = No
     solved, halves, support = _solve(gridded, holes, players, chosen, config)
     solved, halves = keep(solved), keep(halves)
     corrected = repaired.groupBy("card_id").agg(F.sum("corrected").alias("corrected"))
-    full = gridded.select("card_id", "hole_count", "skew").join(cards, "card_id").join(counts.select("card_id", "n_players"), "card_id", "left").join(chosen.withColumnRenamed("player_seq", "selected"), "card_id", "left").join(support, "card_id", "left").join(corrected, "card_id", "left").join(fragments, "card_id", "left")
+    full = gridded.select("card_id", "hole_count", "skew").join(cards, "card_id").join(counts.select("card_id", "n_players"), "card_id", "left").join(chosen.withColumnRenamed("player_seq", "selected"), "card_id", "left").join(support, "card_id", "left").join(solver_warnings(halves), "card_id", "left").join(corrected, "card_id", "left").join(fragments, "card_id", "left")
     w = confidence.warning
     amb, none = F.col("resolution") == "ambiguous", F.col("resolution") == "noMatch"
     named = F.coalesce(F.size("fragments"), F.lit(0)) > 0
     made = confidence.listed(
         w(amb, F.when(F.size("alternates") > 1, "multipleCourseMatches").otherwise("courseMatchLowConfidence"), "warning"), w(none, F.when(named, "courseNotInCatalog").otherwise("courseNameUnreadable"), "warning"),
-        w(F.col("tee_warning").isNotNull(), F.col("tee_warning"), "warning"), w(F.col("corrected") > 0, "templateFilledStaticData", "info"), w(F.col("support") == "contradicted", "subtotalMismatch", "warning"),
+        w(F.col("tee_warning").isNotNull(), F.col("tee_warning"), "warning"), w(F.col("corrected") > 0, "templateFilledStaticData", "info"),
     )
+    made = F.concat(made, F.coalesce("solver_warnings", F.array().cast(f"array<{confidence.WARNING}>")))
     ready = full.select(
         "card_id", "hole_count", "skew", "resolution", "template_id", F.col("score").alias("course_confidence"), "alternates", "tee", "tee_confidence", F.coalesce("n_players", F.lit(0)).alias("n_players"), "selected",
         F.col("template_id").isNotNull().alias("resolved"), F.coalesce("support", F.lit("unavailable")).alias("support"), F.coalesce("confirmed", F.lit(0)).alias("confirmed"), F.coalesce("corrected", F.lit(0)).alias("corrected"), made.alias("warnings"),
@@ -125,7 +139,7 @@ def better_reparse(old: Scorecards, new: Scorecards) -> DataFrame:
 
 
 #: Warnings that a second reading replaces.
-_OWNED = ("someScoresMissing", "someScoresLowConfidence", "noPlayerRowsDetected", "incompleteRound", "playerCountNeedsConfirmation", "parRowNotFound", "handicapRowNotFound", "yardageRowNotFound", "nineHoleRoundDetected", "holeCountMismatch", "cardLikelyCropped", "subtotalMismatch")
+_OWNED = ("someScoresMissing", "someScoresLowConfidence", "noPlayerRowsDetected", "incompleteRound", "playerCountNeedsConfirmation", "parRowNotFound", "handicapRowNotFound", "yardageRowNotFound", "nineHoleRoundDetected", "holeCountMismatch", "cardLikelyCropped", "remoteParserUnavailable")
 
 
 def integrate(cards: Scorecards, payloads: DataFrame, config: Config = Config(), keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[Scorecards, DataFrame]:
@@ -138,14 +152,15 @@ def integrate(cards: Scorecards, payloads: DataFrame, config: Config = Config(),
     touched = players.select("card_id").distinct()
     # cards without local rows adopt the remote ones
     new_players, new_scores = remote.adopt(players.join(local, "card_id", "left_anti"), scores.join(local, "card_id", "left_anti"), audits, config)
-    filled = remote.fill_subtotals(cards.players, players, audits, config)
+    own = cards.cards.where("selected IS NOT NULL").select("card_id", F.col("selected").alias("player_seq"))
+    name = cards.players.join(own, ["card_id", "player_seq"]).select("card_id", "name")
+    which = keep(remote.selected(players.join(local, "card_id", "left_semi"), name, config).join(audits.select("card_id", "remote_seq", "ceiling"), ["card_id", "remote_seq"]))
+    filled = remote.fill_subtotals(cards.players, players, which.join(own, "card_id"), config)
     all_players = keep(filled.unionByName(new_players.select(filled.columns)))
     n = all_players.groupBy("card_id").agg(F.count("*").alias("n_players"), F.min("player_seq").alias("first"))
     chosen = cards.cards.select("card_id", "selected").join(n, "card_id", "left").join(local.withColumn("_local", F.lit(True)), "card_id", "left")
     chosen = chosen.select("card_id", F.coalesce("selected", F.when(F.col("_local").isNull() & (F.col("n_players") == 1), F.col("first"))).alias("player_seq"), F.coalesce("n_players", F.lit(0)).alias("n_players"))
     # cards with local rows merge the matching remote row into their holes
-    name = cards.players.join(chosen, ["card_id", "player_seq"]).select("card_id", "name")
-    which = remote.selected(players.join(local, "card_id", "left_semi"), name, config).join(audits.select("card_id", "remote_seq", "ceiling"), ["card_id", "remote_seq"])
     merged = remote.merge(cards.holes.select("card_id", "hole", F.col("score").alias("field")), scores.join(which, ["card_id", "remote_seq"]), config)
     adopted = new_scores.join(chosen.where("player_seq IS NOT NULL").select("card_id", "player_seq"), ["card_id", "player_seq"]).select("card_id", "hole", F.col("field").alias("_new"))
     holes = cards.holes.drop("score").join(merged, ["card_id", "hole"]).join(adopted, ["card_id", "hole"], "left")
