@@ -8,6 +8,7 @@ the same dealing (one exchange, used twice).
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 
 import numpy as np
@@ -107,3 +108,24 @@ def from_gaps(b: bytes) -> np.ndarray:
         d += np.frombuffer(raw[at : at + 2 * n], np.uint16).astype(np.uint64) << np.uint64(16)
         d += np.frombuffer(raw[at + 2 * n :], np.uint32).astype(np.uint64) << np.uint64(32)
     return np.cumsum(d, dtype=np.uint64)
+
+
+def release() -> None:
+    """Gives freed memory back to the system: workers live on between tasks and would keep their largest size."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
+def tidy(f):
+    """f, a function of Arrow groups, with release() after each call."""
+
+    def call(*args):
+        try:
+            return f(*args)
+        finally:
+            release()
+
+    # Spark counts the parameters
+    return (lambda a: call(a)) if f.__code__.co_argcount == 1 else (lambda a, b: call(a, b))

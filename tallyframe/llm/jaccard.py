@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import WordHashes, blocked, from_gaps, gaps, hashes, in_order, packed, shingles, unpacked
+from .blocks import WordHashes, blocked, from_gaps, gaps, hashes, in_order, packed, shingles, tidy, unpacked
 from .common import stored, table
 from .graph import components
 
@@ -112,9 +112,9 @@ def keeper(width: int, percent: int):
 def shingle_sets(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Steps 1 and 2: (id, n, k: the set's name, tokens: its kept shingles, shingles: the set, if any is kept)."""
     docs, blocks = blocked(df, doc_id, text)
-    asked = docs.groupBy("block").applyInArrow(asker(width, max(1, blocks // 3)), _QUESTIONS)
-    answered = asked.groupBy("shard").applyInArrow(answer, _ANSWERS)
-    return docs.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(keeper(width, percent), _SETS)
+    asked = docs.groupBy("block").applyInArrow(tidy(asker(width, max(1, blocks // 3))), _QUESTIONS)
+    answered = asked.groupBy("shard").applyInArrow(tidy(answer), _ANSWERS)
+    return docs.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(tidy(keeper(width, percent)), _SETS)
 
 
 def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -184,7 +184,7 @@ def links(nodes: DataFrame, groups: DataFrame, percent: int = PERCENT, tile_byte
     is_large = (F.col("all_c") > tile_sets) | (F.col("all_bytes") > tile_bytes)
     kinds = stored(sizes.withColumn("parts", parts).join(of_group, "component").select("component", "band", "parts", is_large.alias("large"), "all_bytes"))
     total = kinds.where("not large").agg(F.sum("all_bytes")).first()[0] or 0
-    tile = tiler(percent)
+    tile = tidy(tiler(percent))
     named = placed.join(kinds, ["component", "band"])
     # whole small groups, many to a task
     small = named.where("not large").withColumn("bin", F.pmod(F.xxhash64("component"), F.lit(max(1, -(-int(total) // BIN_BYTES)))))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import WordHashes, blocked, from_gaps, gaps, hashes, in_order, mixed, packed, unpacked
+from .blocks import WordHashes, blocked, from_gaps, gaps, hashes, in_order, mixed, packed, tidy, unpacked
 from .common import crc_mod, table
 
 #: Order of the model in op9; the code takes any.
@@ -293,7 +293,7 @@ def tries(df: DataFrame, train: Column, order: int = ORDER, discount: float = DI
         raw = Shard.build(*merged([parsed(r) for r in rows]), discount)
         return pa.table({"level": pa.array([rows[0]["level"]], pa.int32()), "shard": pa.array([rows[0]["shard"]], pa.int32()), "trie": pa.array([raw], pa.binary())})
 
-    return docs.groupBy("block").applyInArrow(asker(order, shards), QUESTIONS).groupBy("level", "shard").applyInArrow(build, "level int, shard int, trie binary")
+    return docs.groupBy("block").applyInArrow(tidy(asker(order, shards)), QUESTIONS).groupBy("level", "shard").applyInArrow(build, "level int, shard int, trie binary")
 
 
 def shard_count(df: DataFrame, text: str) -> int:
@@ -317,8 +317,8 @@ def score(df: DataFrame, train: Column, order: int = ORDER, discount: float = DI
     shards = max(1, blocks * 8 // 24)
     n, v = totals(docs, shards)
     floor = np.log10(float(n + v + 1))
-    asked = docs.groupBy("block").applyInArrow(asker(order, shards), QUESTIONS)
-    answered = asked.groupBy("level", "shard").applyInArrow(answers(discount), ANSWERS)
+    asked = docs.groupBy("block").applyInArrow(tidy(asker(order, shards)), QUESTIONS)
+    answered = asked.groupBy("level", "shard").applyInArrow(tidy(answers(discount)), ANSWERS)
 
     def run(t: pa.Table, got: pa.Table) -> pa.Table:
         known = WordHashes()
@@ -341,7 +341,7 @@ def score(df: DataFrame, train: Column, order: int = ORDER, discount: float = DI
             "train_tokens": pa.array(np.full(len(size), n, np.int64)), "base_score": pa.array(np.add.reduceat(logs, at) - size * floor), "score": pa.array(np.add.reduceat(np.log10(p), at)),
         })
 
-    return docs.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(run, SCORES)
+    return docs.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(tidy(run), SCORES)
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import mixed
+from .blocks import mixed, release
 from .common import table
 
 MARK = "▁"
@@ -43,9 +43,9 @@ _OWN_MARK = "\ud800"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEED, ALPHA, BYTE_WEIGHT = 1, 1.0, 1e-6
 #: Characters of distinct words whose lattices a task remembers; beyond them it starts again.
-REMEMBERED_CHARS = 6 << 20
+REMEMBERED_CHARS = 4 << 20
 #: Words that step backwards together, about.
-TOGETHER = 1 << 18
+TOGETHER = 1 << 17
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+$")
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: Upper bits of a piece's hash that index it directly; the few that share them are neighbours.
@@ -128,7 +128,7 @@ class Lattices:
     def clear(self) -> None:
         self.word: dict[str, int] = {}  # a word's last node
         self.edge = array("i", [0])  # a node's first edge; the node of a word's start has no edges
-        self.share, self.source, self.piece = array("d"), array("i"), array("i")  # piece: an id, or ~k for spelled[k]
+        self.share, self.back, self.piece = array("f"), array("B"), array("i")  # back: the piece's length; piece: an id, or ~k for spelled[k]
         self.spelled: list[bytes] = []
         self.chars = 0
 
@@ -143,11 +143,11 @@ class Lattices:
             edges, known = [], False
             for start in range(max(0, end - longest), end):
                 if (p := get(word[start:end])) is not None:
-                    edges.append((sums[start] * p[1], first + start, p[0]))
+                    edges.append((sums[start] * p[1], end - start, p[0]))
                     known = start == end - 1
             if not known:
                 raw = MARK.encode() if word[end - 1] == _OWN_MARK else word[end - 1].encode()
-                edges.append((sums[end - 1] * v.byte_weight ** len(raw), first + end - 1, ~len(self.spelled)))
+                edges.append((sums[end - 1] * v.byte_weight ** len(raw), 1, ~len(self.spelled)))
                 self.spelled.append(raw)
             total = sum(e[0] for e in edges)
             sums[end] = total
@@ -156,10 +156,10 @@ class Lattices:
                     sums[k] *= 1e150
             edges.sort(reverse=True)
             so_far = 0.0
-            for w, source, piece in edges:
+            for w, back, piece in edges:
                 so_far += w / total
                 self.share.append(so_far)
-                self.source.append(source)
+                self.back.append(back)
                 self.piece.append(piece)
             self.share[-1] = 2.0  # the last edge takes what rounding left
             self.edge.append(len(self.share))
@@ -242,16 +242,16 @@ class Lattices:
         share[stop[count > 0] - 1] = 2.0  # the last edge takes what rounding left
         base, edges = len(self.edge) - 1, len(self.share)
         self.edge.frombytes((stop + edges).astype(np.int32).tobytes())
-        self.share.frombytes(share.tobytes())
-        self.source.frombytes((source + base).astype(np.int32).tobytes())
+        self.share.frombytes(share.astype(np.float32).tobytes())
+        self.back.frombytes((target - source).astype(np.uint8).tobytes())
         self.piece.frombytes(piece.astype(np.int32).tobytes())
         self.word.update(zip(short, (first + size + base).tolist(), strict=True))
         self.chars += len(chars) + 4 * len(short)
 
     def sample(self, node: np.ndarray, start: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words laid end to end, and how many each has. key: a 64-bit hash for each word."""
-        edge, share = np.frombuffer(self.edge, np.int32), np.frombuffer(self.share, np.float64)
-        source, piece = np.frombuffer(self.source, np.int32), np.frombuffer(self.piece, np.int32)
+        edge, share = np.frombuffer(self.edge, np.int32), np.frombuffer(self.share, np.float32)
+        back, piece = np.frombuffer(self.back, np.uint8), np.frombuffer(self.piece, np.int32)
         live, at, steps = np.arange(len(node)), node, []
         while len(live):
             draw = (mixed(key[live] + np.uint64((len(steps) + 1) * int(_GOLDEN) & (1 << 64) - 1)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
@@ -261,7 +261,7 @@ class Lattices:
                 e[over] += 1
                 over = over[draw[over] >= share[e[over]]]
             steps.append((live, piece[e]))
-            at = source[e]
+            at = at - back[e]
             more = at != start[live]
             live, at = live[more], at[more]
         count = np.zeros(len(node), np.int64)
@@ -340,15 +340,19 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", keep: list[st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = lattices(proto, alpha, byte_weight)
-        for batch in batches:
-            for piece in pieces_of(batch):
-                yield from one(piece, known)
+        try:
+            for batch in batches:
+                for piece in pieces_of(batch):
+                    yield from one(piece, known)
+        finally:
+            known.clear()
+            release()
 
     def pieces_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        """Parts of at most about 8 MB of text, or one row."""
+        """Parts of at most about 4 MB of text, or one row."""
         at, total = 0, 0
         for i, n in enumerate(pa.compute.binary_length(batch.column(text)).to_pylist()):
-            if total and total + (n or 0) > 8 << 20:
+            if total and total + (n or 0) > 4 << 20:
                 yield batch.slice(at, i - at)
                 at, total = i, 0
             total += n or 0

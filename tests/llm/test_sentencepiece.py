@@ -63,7 +63,7 @@ def test_both_forward_filters_agree(known):
             before, own = 0.0, {}
             for e in range(k.edge[node], k.edge[node + 1]):
                 share = min(k.share[e], 1.0)
-                own[k.piece[e] if k.piece[e] >= 0 else k.spelled[~k.piece[e]]] = (round(share - before, 9), last - k.source[e])
+                own[k.piece[e] if k.piece[e] >= 0 else k.spelled[~k.piece[e]]] = (round(share - before, 5), k.back[e])
                 before = share
             out.append(own)
         return out
