@@ -6,8 +6,9 @@ the trigrams' likelihoods; then languages enter its set one by one, in order of
 likelihood refitted to the set gains more than a penalty that grows with the logarithm of its length. The
 prediction is the largest share of the chosen set, the score its share in the mixture of all languages.
 
-Learning takes whole texts of at most SAMPLE labelled documents of each language, those whose hashed id is
-smallest; the model has one row of BINS numbers for each language, and that bounds what is sent along.
+Learning takes whole texts of at most SAMPLE labelled documents of each language: ids are dealt into
+BUCKETS by their hash, and of each bucket those with the least hashes are taken, so no task ranks all ids
+of a language. The model has one row of BINS numbers for each language, which bounds what is sent along.
 
 Cases: text that is null or has no letter is `und`, score 0, without languages; so is everything if no
 labelled document was learned from. A null or empty label isn't learned. Text of one or two characters is
@@ -27,7 +28,7 @@ from pyspark.sql import types as T
 
 from .common import crc_mod, table
 
-BINS_LOG, SAMPLE = 15, 2000
+BINS_LOG, SAMPLE, BUCKETS = 15, 2048, 64
 BINS = 1 << BINS_LOG
 SMOOTHING, ROUNDS, PENALTY = 0.5, 12, 3.0
 UNDETERMINED = "und"
@@ -84,8 +85,9 @@ class Model:
 def fit(df: DataFrame, labelled: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
     """A model of the languages in df where `labelled` holds."""
     known = df.where(labelled & F.col(lang).isNotNull() & (F.col(lang) != "") & F.col(text).isNotNull())
-    few = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
-    ids = known.select(F.col(doc_id).alias("_id"), F.col(lang).alias("_lang")).withColumn("_n", F.row_number().over(few)).where(F.col("_n") <= sample).select("_id", "_lang").distinct()
+    few = Window.partitionBy("_lang", "_bucket").orderBy(F.xxhash64("_id"), "_id")
+    dealt = known.select(F.col(doc_id).alias("_id"), F.col(lang).alias("_lang")).withColumn("_bucket", F.pmod(F.xxhash64("_id"), F.lit(BUCKETS)))
+    ids = dealt.withColumn("_n", F.row_number().over(few)).where(F.col("_n") <= max(1, sample // BUCKETS)).select("_id", "_lang").distinct()
     texts = known.join(F.broadcast(ids), (known[doc_id] == ids["_id"]) & (known[lang] == ids["_lang"]), "left_semi").select(F.col(lang).alias("lang"), F.col(text).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
