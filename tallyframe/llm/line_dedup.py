@@ -4,6 +4,11 @@ Every run of three consecutive lines is hashed; of the windows with one hash, th
 position) stays and the lines covered by any later one are removed, so overlapping later windows merge
 into one cut. Windows without any visible character don't count.
 
+With `sentences`, units are smaller: a sentence's end ends a unit as well as a newline does. Units are then
+compared without the white space around them, and one or two units of over 50 words are a window, too, so
+that a passage inside one line is found. Kept units give back their text as it was, a line goes when all
+its units go, and `n_lines` and `n_removed` count units. The query cuts by lines, as its SQL does.
+
 Cases: a text of fewer than three lines has no window and stays as it is, as does a null or empty text.
 Later windows within one document count like those of others. Rows that share doc_id and text are one
 document and get one result, each. Equal windows are told by 96 bits of hash. Empty tables give no rows.
@@ -19,47 +24,75 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, word_count
 
 WINDOW = 3
+#: Where a sentence ends inside a line.
+SENTENCE = r"(?<=[.!?])(?=\s+\S)|(?<=[\u3002\uFF01\uFF1F])(?=.)"
+#: Fewer units than a window's width count with more words than this.
+LONG = 50
 
 
 def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def _windows(lines: Column, width: int) -> Column:
-    def one(i: Column) -> Column:
-        part = F.slice(lines, i + 1, width)
-        return F.struct(i.alias("pos"), F.xxhash64(part).alias("h"), F.hash(part).alias("g"), F.exists(part, lambda x: x.rlike(r"\S")).alias("seen"))
+def _units(text: Column) -> Column:
+    """Sentences of all lines, each with the number of its line."""
+    return F.flatten(F.transform(_lines(text), lambda line, i: F.transform(F.split(line, SENTENCE, -1), lambda s: F.struct(i.alias("line"), s.alias("text")))))
+
+
+def _windows(lines: Column, width: int, long: int | None = None) -> Column:
+    def one(part: Column, i: Column, n: int) -> Column:
+        return F.struct(i.alias("pos"), F.lit(n).alias("n"), F.xxhash64(part).alias("h"), F.hash(part).alias("g"), F.exists(part, lambda x: x.rlike(r"\S")).alias("seen"))
+
+    def runs(n: int) -> Column:
+        return F.when(F.size(lines) >= n, F.transform(F.sequence(F.lit(0), F.size(lines) - n), lambda i: one(F.slice(lines, i + 1, n), i, n)))
 
-    return F.filter(F.when(F.size(lines) >= width, F.transform(F.sequence(F.lit(0), F.size(lines) - width), one)), lambda w: w.seen)
+    def many_words(w: Column, n: int) -> Column:
+        joined = F.array_join(F.slice(lines, w.pos + 1, n), " ")
+        return (F.length(joined) > 2 * long) & (word_count(joined) > long)
 
+    full = F.filter(runs(width), lambda w: w.seen)
+    if long is None:
+        return full
+    none = F.array().cast("array<struct<pos:int,n:int,h:bigint,g:int,seen:boolean>>")
+    return F.concat(*[F.coalesce(x, none) for x in (full, *(F.filter(runs(n), lambda w, n=n: many_words(w, n)) for n in range(1, width)))])
 
-def later_windows(df: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WINDOW) -> DataFrame:
-    """(_id, _text, positions): where each document's later windows start."""
-    lines = df.select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_text"), _lines(F.col(text)).alias("_lines"))  # split once, not in each lambda
-    rows = lines.select("_id", "_text", F.explode(_windows(F.col("_lines"), width)).alias("w")).select("_id", "_text", "w.pos", "w.h", "w.g")
+
+def later_windows(df: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WINDOW, sentences: bool = False) -> DataFrame:
+    """(_id, _text, positions): where each document's later windows start, and how many units they have."""
+    lines = df.select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_text"), (_units if sentences else _lines)(F.col(text)).alias("_lines"))  # split once, not in each lambda
+    if sentences:
+        lines = lines.withColumn("_lines", F.transform("_lines", lambda u: F.regexp_replace(u["text"], r"^\s+|\s+$", "")))
+    rows = lines.select("_id", "_text", F.explode(_windows(F.col("_lines"), width, LONG if sentences else None)).alias("w")).select("_id", "_text", "w.pos", "w.n", "w.h", "w.g")
     place = F.struct("_id", "_text", "pos")
-    first = rows.groupBy("h", "g").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last")
-    return rows.join(first, ["h", "g"]).where(place > F.col("first")).groupBy("_id", "_text").agg(F.collect_set("pos").alias("positions"))
+    first = rows.groupBy("h", "g", "n").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last")
+    return rows.join(first, ["h", "g", "n"]).where(place > F.col("first")).groupBy("_id", "_text").agg(F.collect_set(F.struct("pos", "n")).alias("positions"))
+
+
+def _restored(kept: Column) -> Column:
+    """Text of units: a newline where the line changes, nothing in between."""
+    return F.array_join(F.transform(kept, lambda u, i: F.concat(F.when((i > 0) & (F.get(kept, i - 1)["line"] < u["line"]), "\n").otherwise(""), u["text"])), "")
 
 
-def dedup_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WINDOW) -> DataFrame:
+def dedup_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WINDOW, sentences: bool = False) -> DataFrame:
     """df with the text cut, and n_lines and n_removed."""
     df = df.drop(*[c for c in ("n_lines", "n_removed") if c not in (text, doc_id)])
-    found = later_windows(df, text, doc_id, width)
+    found = later_windows(df, text, doc_id, width, sentences)
     keyed = df.withColumn("_key", F.xxhash64(text))
     both = keyed.join(found, (keyed["_key"] == found["_text"]) & keyed[doc_id].eqNullSafe(found["_id"]), "left").drop("_id", "_text", "_key")
-    both = both.withColumn("_lines", _lines(F.col(text)))
+    both = both.withColumn("_lines", (_units if sentences else _lines)(F.col(text)))
     lines, at = F.col("_lines"), F.col("positions")
-    covered = F.flatten(F.transform(at, lambda p: F.sequence(p, p + width - 1)))
+    covered = F.flatten(F.transform(at, lambda p: F.sequence(p["pos"], p["pos"] + p["n"] - 1)))
     kept = F.col("_kept")
+    rest = F.transform(kept, lambda i: F.get(lines, i))
     return (
         both.withColumn("_kept", F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered))
         .withColumn("n_lines", F.when(F.col(text).isNotNull(), F.size(lines)))
         .withColumn("n_removed", F.when(F.col(text).isNotNull(), F.when(at.isNull(), 0).otherwise(F.size(lines) - F.size(kept))))
-        .withColumn(text, F.when(at.isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")))
+        .withColumn("_rest", F.when(at.isNotNull(), rest))
+        .withColumn(text, F.when(at.isNull(), F.col(text)).otherwise(_restored(F.col("_rest")) if sentences else F.array_join("_rest", "\n")))
         .select(*df.columns, "n_lines", "n_removed")
     )
 

@@ -25,3 +25,18 @@ def test_repeated_rows_null_ids_and_clashes(spark):
     by = sorted((str(r.doc_id), r.text) for r in out)
     assert by == [("1", ""), ("1", ""), ("2", "k\nl\nm"), ("None", "a\nb\nc\nz")]  # a null id comes first in the order
     assert line_dedup.dedup_lines(docs(spark, [])).count() == 0
+
+
+def test_sentences_cover_passages_inside_lines(spark):
+    passage = "One thing is here. Another follows it! Does a third? It does."
+    long = " ".join(f"v{i}" for i in range(60)) + "."
+    rows = [
+        (1, "Start of one. " + passage + " End of one."), (2, "Start of two.\nMore of two. " + passage + " End of two.\nLast"), (3, passage),
+        (4, "Alone. " + long), (5, "x y\n" + long + " Then this.\nz"), (6, "a.  b\tc. \n\n d!"), (7, None), (8, ""), (9, "tail\n" + passage),
+    ]
+    out = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.dedup_lines(docs(spark, rows), sentences=True).collect()}
+    assert {i: out[i] for i in (1, 4, 6)} == {i: (dict(rows)[i], n, 0) for i, n in ((1, 6), (4, 2), (6, 4))}
+    assert out[2] == ("Start of two.\nMore of two. End of two.\nLast", 8, 4)
+    assert out[3] == ("", 4, 4) and out[9] == ("tail", 5, 4)
+    assert out[5] == ("x y\n Then this.\nz", 4, 1)
+    assert out[7] == (None, None, None) and out[8] == ("", 1, 0)

@@ -54,3 +54,9 @@ def test_rows_without_labels(spark, tmp_path):
     frame = docs(spark, [(1, "some words here", None, None), (2, "x y z", None, "a")]).withColumn("lang", F.lit(None).cast("string"))
     assert corpus_pipeline.language_id(spark, frame, str(tmp_path)).count() == 0  # nothing learned: none can be told
     assert np.isfinite(corpus_pipeline.drop_repeated_lines(spark, frame, str(tmp_path)).count())
+
+
+def test_passages_inside_lines_go(spark, tmp_path):
+    passage = "This passage is one line. It has sentences. They come again."
+    frame = docs(spark, [(1, "First text. " + passage), (2, "Other text. " + passage + " Its end.")])
+    assert {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, frame, str(tmp_path)).collect()} == {1: "First text. " + passage, 2: "Other text. Its end."}
