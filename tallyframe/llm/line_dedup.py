@@ -46,18 +46,24 @@ def _windows(lines: Column, width: int, long: int | None = None) -> Column:
     def one(part: Column, i: Column, n: int) -> Column:
         return F.struct(i.alias("pos"), F.lit(n).alias("n"), F.xxhash64(part).alias("h"), F.hash(part).alias("g"), F.exists(part, lambda x: x.rlike(r"\S")).alias("seen"))
 
+    def part(i: Column, n: int) -> Column:
+        return F.array(*[F.get(lines, i + k) for k in range(n)])  # slice() would copy the whole array for each window
+
     def runs(n: int) -> Column:
-        return F.when(F.size(lines) >= n, F.transform(F.sequence(F.lit(0), F.size(lines) - n), lambda i: one(F.slice(lines, i + 1, n), i, n)))
+        return F.when(F.size(lines) >= n, F.transform(F.sequence(F.lit(0), F.size(lines) - n), lambda i: one(part(i, n), i, n)))
+
+    def long_runs(n: int) -> Column:
+        def many_words(w: Column) -> Column:
+            joined = F.array_join(part(w.pos, n), " ")
+            return (F.length(joined) > 2 * long) & (word_count(joined) > long)
 
-    def many_words(w: Column, n: int) -> Column:
-        joined = F.array_join(F.slice(lines, w.pos + 1, n), " ")
-        return (F.length(joined) > 2 * long) & (word_count(joined) > long)
+        return F.filter(runs(n), many_words)
 
     full = F.filter(runs(width), lambda w: w.seen)
     if long is None:
         return full
     none = F.array().cast("array<struct<pos:int,n:int,h:bigint,g:int,seen:boolean>>")
-    return F.concat(*[F.coalesce(x, none) for x in (full, *(F.filter(runs(n), lambda w, n=n: many_words(w, n)) for n in range(1, width)))])
+    return F.concat(*[F.coalesce(x, none) for x in (full, *map(long_runs, range(1, width)))])
 
 
 def later_windows(df: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WINDOW, sentences: bool = False) -> DataFrame:

@@ -40,3 +40,8 @@ def test_sentences_cover_passages_inside_lines(spark):
     assert out[3] == ("", 4, 4) and out[9] == ("tail", 5, 4)
     assert out[5] == ("x y\n Then this.\nz", 4, 1)
     assert out[7] == (None, None, None) and out[8] == ("", 1, 0)
+
+
+def test_few_short_sentences_stay(spark):
+    rows = [(1, "a b. c. d.\ne f. g h."), (2, "x. y. z. q. a b. c. Then.\ne f. g h."), (3, "g h. " * 2 + "p.")]
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs(spark, rows), sentences=True).collect()} == dict(rows)
