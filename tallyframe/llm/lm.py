@@ -33,7 +33,7 @@ from .blocks import WordHashes, blocked, from_gaps, gaps, hashes, in_order, mixe
 from .common import crc_mod, table
 
 #: Order of the model in op9; the code takes any.
-ORDER = 2
+ORDER = 3
 DISCOUNT = 0.75
 #: Bytes of text for each shard of a level, about.
 SHARD_BYTES = 24 << 20
@@ -283,7 +283,7 @@ def totals(docs: DataFrame, shards: int) -> tuple[int, int]:
     return sums[0] or 0, sums[1] or 0
 
 
-def tries(df: DataFrame, train: Column, order: int = ORDER, discount: float = DISCOUNT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def tries(df: DataFrame, train: Column, order: int = 2, discount: float = DISCOUNT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The model itself: (level, shard, trie), the shards' levels as Shard reads them. Levels from 2 up; level 1 is the words' counts."""
     docs, blocks = blocked(df.where(train), doc_id, text, F.lit(True))
     shards = shard_count(df, text)
@@ -311,7 +311,7 @@ def asker(order: int, shards: int):
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score(df: DataFrame, train: Column, order: int = ORDER, discount: float = DISCOUNT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def score(df: DataFrame, train: Column, order: int = 2, discount: float = DISCOUNT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Scores of all documents by the model of those where `train` holds."""
     docs, blocks = blocked(df, doc_id, text, F.coalesce(train, F.lit(False)))
     shards = max(1, blocks * 8 // 24)
@@ -345,4 +345,4 @@ def score(df: DataFrame, train: Column, order: int = ORDER, discount: float = DI
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 7) != 2)
+    return score(table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 7) != 2, order=ORDER)

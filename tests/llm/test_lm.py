@@ -96,3 +96,9 @@ def test_elias_fano(n):
     assert (blocks.from_gaps(blocks.gaps(values)) == values).all()
     dense = np.arange(n, dtype=np.uint64)
     assert (blocks.from_gaps(blocks.gaps(dense)) == dense).all() and (lm.EliasFano.of(dense).all() == dense).all()
+
+
+def test_query_scores_contexts_of_two_words(spark, tmp_path, rows):
+    want = brute(rows, 3)
+    for r in lm.op9_lm_score(spark, save(docs(spark, rows), tmp_path)).collect():
+        assert r.score == pytest.approx(want[r.doc_id][5], abs=0.03 * r.n_tokens)
