@@ -25,7 +25,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later occurrences of windows of lines and sentences go; documents that lose every one go with them."""
-    out = line_dedup.dedup_lines(docs, sentences=True).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
+    out = line_dedup.dedup_lines(docs, sentences=True).where(F.coalesce((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")), F.lit(True)))
     return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 

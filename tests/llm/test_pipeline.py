@@ -60,3 +60,7 @@ def test_passages_inside_lines_go(spark, tmp_path):
     passage = "This passage is one line. It has sentences. They come again."
     frame = docs(spark, [(1, "First text. " + passage), (2, "Other text. " + passage + " Its end.")])
     assert {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, frame, str(tmp_path)).collect()} == {1: "First text. " + passage, 2: "Other text. Its end."}
+
+
+def test_null_texts_stay_in_line_dedup(spark, tmp_path):
+    assert corpus_pipeline.drop_repeated_lines(spark, docs(spark, [(1, None), (2, "a b")]), str(tmp_path)).count() == 2
