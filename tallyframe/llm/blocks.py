@@ -9,6 +9,7 @@ the same dealing (one exchange, used twice).
 from __future__ import annotations
 
 import ctypes
+import inspect
 import zlib
 
 import numpy as np
@@ -17,10 +18,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of text in a block, about.
-BLOCK_BYTES = 8 << 20
+#: Bytes of text in a block, about, and rows at most.
+BLOCK_BYTES, BLOCK_ROWS = 8 << 20, 1 << 14
 #: Words whose hashes a task remembers; beyond it, it starts again.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 18
 
 
 class WordHashes(dict):
@@ -127,5 +128,14 @@ def tidy(f):
         finally:
             release()
 
+    if inspect.isgeneratorfunction(f):
+        def each(batches):
+            try:
+                yield from f(batches)
+            finally:
+                release()
+
+        return each
+
     # Spark counts the parameters
-    return (lambda a: call(a)) if f.__code__.co_argcount == 1 else (lambda a, b: call(a, b))
+    return (lambda a: call(a), lambda a, b: call(a, b), lambda a, b, c: call(a, b, c))[f.__code__.co_argcount - 1]

@@ -1,69 +1,122 @@
 """Language-model scores from an n-gram trie in Elias-Fano form (after Pibiri and Venturini, 2017).
 
-The model: interpolated absolute discounting over whole-word n-grams, down to add-one unigrams. Each shard
-of the trie holds the contexts whose hash falls in its range, in compact levels: the contexts' hashes and
-the pointers to their successors as Elias-Fano sequences, the successors' keys relative to their context
-and so ascending over the whole level, again Elias-Fano, and one byte each for a successor's discounted
-probability and a context's back-off weight, both quantised on a logarithmic scale. A shard's levels lie in
-one memory-mapped file; a query finds its context, then the successor among the range that the pointers name.
-
-All corpus counts: documents are dealt into blocks, each block sends each shard its distinct n-grams with
-their counts in training documents, the shard merges the counts, builds its part of the trie, looks up
-what each block asked for, and answers in the order of the questions; blocks then score their documents.
-Memory of a task is bounded by a block or a shard, whose numbers follow the bytes of text; nothing of the
-corpus is collected or broadcast but the two totals.
+The model: interpolated absolute discounting over whole-word n-grams, down to add-one unigrams. The trie is
+dealt into shards by the word before the scored one, so that every level from 2 up of a word's contexts lies
+in one shard. A shard's levels are one memory map: the contexts and the pointers to their successors as
+Elias-Fano sequences, the successors' keys relative to their context (on level 2 a word's hash, further up
+the place among the successors of the context that is one word shorter) and so ascending over the whole
+level, again Elias-Fano, and two bytes each for a successor's discounted probability and a context's
+back-off weight. Both are rounded down on a logarithmic scale, so no context gives away more than its mass.
+Look-ups search the encoded sequences: a select on the high bits finds a bucket, then the packed low bits
+are bisected; no sequence is decoded.
+
+The work, each step linear in the text:
+1. Words are counted (map-side, then by Spark); the TABLE most frequent ones, a fixed number, are sent along
+   with the code: they travel as ranks, and words with more occurrences than a shard holds are known.
+2. Tokens, with the words before them, travel to their shard in packed messages; a text that a chunk of
+   documents repeats travels once. A chunk sends at most FAN messages; more shards than that are reached in
+   several rounds, whose tasks merge messages of bounded size and deal them on. The contexts of a word with
+   more occurrences than a shard holds are split over several shards by the scored word.
+3. Shards ask by joins for the counts of rarer words, and for the totals of split contexts.
+4. Shards build their trie from training tokens, look up all their tokens, and give sums for each text,
+   which Spark adds up.
+Only the table of words and three totals reach the driver. Occurrences of one n-gram stay together, as about
+two bytes for each chunk-wise distinct text that holds it.
 
 Cases: a null text is an empty one: one token, the end. Repeated rows are scored and counted each. A corpus
 without training documents scores all with the add-one floor of nothing. Null ids count as the empty text
-in the split. Empty tables give no rows.
+in the split. Empty tables give no rows. Texts are told by chunk and place in it, so the input is a table,
+or anything else whose rows come in the same order when a lost task is repeated.
 """
 
 from __future__ import annotations
 
 import mmap
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .blocks import WordHashes, blocked, from_gaps, gaps, hashes, in_order, mixed, packed, tidy, unpacked
-from .common import crc_mod, table
+from . import blocks
+from .blocks import BLOCK_ROWS, WordHashes, hashes, mixed, packed, tidy, unpacked
+from .common import crc_mod, stored
+from .common import table as read_table
 
-#: Order of the model in op9; the code takes any.
+#: Order of the model in op9; the code takes any from 2.
 ORDER = 3
 DISCOUNT = 0.75
-#: Bytes of text for each shard of a level, about.
-SHARD_BYTES = 24 << 20
-#: Quantisation: a byte holds 1 + round(STEPS * -log10 p); 0 is absent.
-STEPS = 25.0
+#: Tokens of a shard, about.
+SHARD_TOKENS = 3 << 20
+#: Words that travel as ranks.
+TABLE = 1 << 18
+#: Messages of a chunk, and tokens of a task that deals messages on.
+FAN, DEALT = 256, 4 << 20
+#: Quantisation: a code is 1 - STEPS * log10 p, rounded up; 0 is absent. Two bytes reach down to 10^-16.
+STEPS = 4000.0
 #: Keys of no word: each holds white space.
 END, START = b" ", b"\n"
-_TAIL = np.uint64(40)
-_MASK = np.uint64((1 << 40) - 1)
+#: Bits of a word's hash, the upper ones, that tell the words of a context.
+TAIL_BITS = 40
+_TAIL = np.uint64(TAIL_BITS)
+_CUT = np.uint64(64 - TAIL_BITS)
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+#: Places of a byte's set bits, in order.
+_BITS = np.array([[*[i for i in range(8) if b >> i & 1], *[0] * 8][:8] for b in range(256)], np.int64).ravel()
+
+
+def _nth(word: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The place of each 64-bit word's n-th set bit, from 0."""
+    at = np.zeros(len(word), np.int64)
+    for width in (32, 16, 8):
+        below = np.bitwise_count(word & np.uint64((1 << width) - 1)).astype(np.int64)
+        over = n >= below
+        n = n - below * over
+        step = over * width
+        word = word >> step.astype(np.uint64)
+        at += step
+    return at + _BITS[(word & np.uint64(255)).astype(np.int64) * 8 + n]
 
 
 class EliasFano:
     """An ascending sequence of integers: low bits packed, high bits in unary."""
 
     def __init__(self, size: int, low_bits: int, low: np.ndarray, high: np.ndarray):
-        self.size, self.low_bits, self.low, self.high = size, low_bits, low, high
+        self.size, self.low_bits, self.low, self.high = size, low_bits, low.view(np.uint64), high.view(np.uint64)
+        self.mask = np.uint64((1 << low_bits) - 1)
+        #: the ones and the zeros before each word of the high bits
+        self.ones = np.concatenate([[0], np.cumsum(np.bitwise_count(self.high), dtype=np.int64)])
+        self.zeros = 64 * np.arange(len(self.high) + 1) - self.ones
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
         n = len(values)
         bits = max(0, (int(values[-1]) // n).bit_length() - 1) if n else 0
-        high = values >> np.uint64(bits)
-        ones = np.zeros(int(high[-1]) + n + 1 if n else 1, bool)
-        ones[(high + np.arange(n, dtype=np.uint64)).astype(np.int64)] = True
-        shifts = np.arange(bits, dtype=np.uint64)
-        low = np.packbits((values[:, None] >> shifts & np.uint64(1)).astype(bool).ravel(), bitorder="little") if bits else np.empty(0, np.uint8)
-        return cls(n, bits, low, np.packbits(ones, bitorder="little"))
+        low = np.zeros(n * bits // 64 + 2, np.uint64)
+        high = np.zeros((int(values[-1] >> np.uint64(bits)) + n) // 64 + 3 if n else 2, np.uint64)
+        mask = np.uint64((1 << bits) - 1)
+        for a in range(0, n, 1 << 18):  # whole words of the low bits each time
+            part = values[a : a + (1 << 18)]
+            if bits:
+                at = np.arange(a, a + len(part), dtype=np.uint64) * np.uint64(bits)
+                word, shift = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
+                own = part & mask
+                head = np.flatnonzero(np.diff(word, prepend=-1))
+                low[word[head]] |= np.bitwise_or.reduceat(own << shift, head)
+                over = np.flatnonzero(shift + np.uint64(bits) > np.uint64(64))
+                low[word[over] + 1] |= own[over] >> (np.uint64(64) - shift[over])
+            at = (part >> np.uint64(bits)) + np.arange(a, a + len(part), dtype=np.uint64)
+            word = (at >> np.uint64(6)).astype(np.int64)
+            head = np.flatnonzero(np.diff(word, prepend=-1))
+            high[word[head]] |= np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), head)
+        return cls(n, bits, low.view(np.uint8), high.view(np.uint8))
 
     def parts(self) -> list[np.ndarray]:
-        return [np.array([self.size, self.low_bits, len(self.low), len(self.high)], np.int64).view(np.uint8), self.low, self.high]
+        low, high = self.low.view(np.uint8), self.high.view(np.uint8)
+        return [np.array([self.size, self.low_bits, len(low), len(high)], np.int64).view(np.uint8), low, high]
 
     @classmethod
     def read(cls, raw: np.ndarray, at: int) -> tuple[EliasFano, int]:
@@ -71,278 +124,564 @@ class EliasFano:
         at += 32
         return cls(n, bits, raw[at : at + low], raw[at + low : at + low + high]), at + low + high
 
+    def _low(self, i: np.ndarray) -> np.ndarray:
+        at = i.astype(np.uint64) * np.uint64(self.low_bits)
+        word, shift = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
+        return (self.low[word] >> shift | self.low[word + 1] << (np.uint64(63) - shift) << np.uint64(1)) & self.mask
+
+    def get(self, i: np.ndarray) -> np.ndarray:
+        """The values at places i."""
+        word = np.searchsorted(self.ones, i, "right") - 1
+        high = 64 * word + _nth(self.high[word], i - self.ones[word]) - i
+        return high.astype(np.uint64) << np.uint64(self.low_bits) | self._low(i)
+
     def all(self) -> np.ndarray:
-        """Every value, by one pass over each part."""
-        high = np.flatnonzero(np.unpackbits(self.high, bitorder="little")).astype(np.uint64) - np.arange(self.size, dtype=np.uint64)
-        if not self.low_bits:
-            return high
-        bits = np.unpackbits(self.low, count=self.size * self.low_bits, bitorder="little").reshape(self.size, self.low_bits)
-        low = np.zeros(self.size, np.uint64)
-        for b in range(self.low_bits):
-            low |= bits[:, b].astype(np.uint64) << np.uint64(b)
-        return high << np.uint64(self.low_bits) | low
+        return self.get(np.arange(self.size))
+
+    def _zero(self, n: np.ndarray) -> np.ndarray:
+        word = np.searchsorted(self.zeros, n, "right") - 1
+        return 64 * word + _nth(~self.high[word], n - self.zeros[word])
+
+    def successor(self, value: np.ndarray) -> np.ndarray:
+        """The place of the first value that isn't smaller; `size` if there is none."""
+        # after the last value's bucket there are empty ones
+        bucket = np.minimum(value >> np.uint64(self.low_bits), np.uint64(self.zeros[-1] - 1)).astype(np.int64)
+        begin = np.where(bucket > 0, self._zero(np.maximum(bucket - 1, 0)) + 1 - bucket, 0)
+        end = self._zero(bucket) - bucket
+        low, live = value & self.mask, np.flatnonzero(begin < end)
+        while len(live):
+            middle = (begin[live] + end[live]) >> 1
+            less = self._low(middle) < low[live]
+            begin[live[less]] = middle[less] + 1
+            end[live[~less]] = middle[~less]
+            live = live[begin[live] < end[live]]
+        return begin
+
+    def find(self, value: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """The place of each value that is known and there, else -1."""
+        out = np.full(len(value), -1)
+        for a in range(0, len(value) if self.size else 0, 1 << 17):
+            ask = a + np.flatnonzero(known[a : a + (1 << 17)])
+            at = self.successor(value[ask])
+            hit = at < self.size
+            hit[hit] = self.get(at[hit]) == value[ask[hit]]
+            out[ask[hit]] = at[hit]
+        return out
 
 
 def quantised(p: np.ndarray) -> np.ndarray:
+    """Codes of probabilities, rounded down."""
     with np.errstate(divide="ignore"):
-        return np.where(p > 0, 1 + np.clip(np.rint(-STEPS * np.log10(p)), 0, 254), 0).astype(np.uint8)
+        return np.where(p > 0, np.minimum(1 + np.ceil(-STEPS * np.log10(p)), 65535), 0).astype(np.uint16)
 
 
-_P = np.concatenate([[0.0], 10.0 ** (-np.arange(255) / STEPS)])
+_P = np.concatenate([[0.0], 10.0 ** (-np.arange(65535) / STEPS)])
 
 
 class Shard:
-    """One shard of one level: contexts, pointers, successors, codes; built in memory, served from a mapped file."""
+    """One level of one shard: contexts, pointers, successors, codes and weights."""
 
     def __init__(self, raw: np.ndarray):
-        self.raw = raw
         self.contexts, at = EliasFano.read(raw, 0)
         self.pointers, at = EliasFano.read(raw, at)
         self.successors, at = EliasFano.read(raw, at)
-        self.codes = raw[at : at + self.successors.size]
-        self.weights = raw[at + self.successors.size :][: self.contexts.size]
+        self.codes = raw[at : at + 2 * self.successors.size].view(np.uint16)
+        self.weights = raw[at + 2 * self.successors.size :][: 2 * self.contexts.size].view(np.uint16)
 
     @staticmethod
-    def build(context: np.ndarray, begin: np.ndarray, word: np.ndarray, count: np.ndarray, discount: float) -> bytes:
-        """context: ascending hashes; begin: where each one's words start; word: 40-bit keys ascending within a context."""
-        size = np.diff(begin)
-        total = np.add.reduceat(count, begin[:-1]).astype(np.float64) if len(context) else np.empty(0)
-        code = quantised(np.maximum(count - discount, 0) / np.repeat(total, size))
-        weight = quantised(discount * size / total)
-        # each context's words start above all words of the contexts before it
-        last = word[begin[1:] - 1] + np.uint64(1) if len(context) else word
-        base = np.concatenate([[0], np.cumsum(last)[:-1]]).astype(np.uint64) if len(context) else word
-        parts = [EliasFano.of(context).parts(), EliasFano.of(begin.astype(np.uint64)).parts(), EliasFano.of(word + np.repeat(base, size)).parts(), [code, weight]]
+    def build(context: np.ndarray, begin: np.ndarray, key: np.ndarray, code: np.ndarray, weight: np.ndarray) -> bytes:
+        """context: ascending; begin: where each one's successors start; key: ascending within a context."""
+        # each context's keys start above all keys of the contexts before it
+        last = key[begin[1:] - 1] + np.uint64(1) if len(context) else key
+        base = np.concatenate([np.zeros(1, np.uint64), np.cumsum(last, dtype=np.uint64)[:-1]]) if len(context) else key
+        parts = [EliasFano.of(context).parts(), EliasFano.of(begin.astype(np.uint64)).parts(), EliasFano.of(key + np.repeat(base, np.diff(begin))).parts(), [code, weight]]
         return b"".join(np.ascontiguousarray(x).tobytes() for p in parts for x in p)
 
-    @classmethod
-    def mapped(cls, raw: bytes) -> Shard:
-        """In a file of its own without a name, which goes when the mapping goes."""
-        with tempfile.TemporaryFile() as f:
-            f.write(raw)
-            f.flush()
-            return cls(np.frombuffer(mmap.mmap(f.fileno(), len(raw), prot=mmap.PROT_READ), np.uint8))
-
-    def opened(self) -> Opened:
-        return Opened(self)
-
-
-class Opened:
-    """A shard ready for sorted batches of questions."""
-
-    def __init__(self, shard: Shard):
-        self.context, self.begin, self.word = shard.contexts.all(), shard.pointers.all().astype(np.int64), shard.successors.all()
-        self.codes, self.weights = shard.codes, shard.weights
-        if len(self.context):
-            ends = self.begin[1:] - 1
-            # the base of a context follows from the last successor before it
-            self.base = np.concatenate([[0], self.word[ends][:-1] + np.uint64(1)]).astype(np.uint64)
-
-    def ask(self, context: np.ndarray, size: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of the words (0: not seen after that context) and weights of the contexts (0: not seen)."""
-        if not len(self.context):
-            return np.zeros(len(word), np.uint8), np.zeros(len(context), np.uint8)
-        at = np.minimum(np.searchsorted(self.context, context), len(self.context) - 1)
-        known = self.context[at] == context
-        weight = np.where(known, self.weights[at], 0).astype(np.uint8)
-        key = word + np.repeat(self.base[at], size)
-        found = np.minimum(np.searchsorted(self.word, key), len(self.word) - 1)
-        own = np.repeat(at, size)
-        hit = np.repeat(known, size) & (self.word[found] == key) & (found >= self.begin[own]) & (found < self.begin[own + 1])
-        return np.where(hit, self.codes[found], 0).astype(np.uint8), weight
-
-
-def tokens(t: pa.Table, known: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token hashes of all documents, each closed by the end; how many each has; whether it trains."""
-    end = np.array([known[END]], np.uint64)
-    docs = [np.concatenate([hashes(x or b"", known), end]) for x in t.column("text").to_pylist()]
-    return (np.concatenate(docs) if docs else np.empty(0, np.uint64)), np.fromiter(map(len, docs), np.int64, len(docs)), t.column("keep").to_numpy(zero_copy_only=False).astype(bool)
+    def nodes(self, context: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """Places of contexts; -1 where one is not known or not there."""
+        return self.contexts.find(context, known)
 
+    def begin(self, node: np.ndarray) -> np.ndarray:
+        return self.pointers.get(node).astype(np.int64)
 
-class Grams:
-    """The distinct n-grams of some documents, per level, in the order in which shards are asked."""
-
-    def __init__(self, token: np.ndarray, size: np.ndarray, train: np.ndarray, order: int, start: int):
-        self.token, self.size = token, size
-        trains = np.repeat(train, size)
-        first = np.repeat(np.cumsum(size) - size, size)
-        place = np.arange(len(token)) - first
-        self.levels = []
-        context = token
-        for k in range(1, order + 1):
-            if k == 1:
-                names, which = np.unique(token, return_inverse=True)
-                count = np.bincount(which, weights=trains, minlength=len(names)).astype(np.int64)
-                self.levels.append((names, np.ones(len(names), np.int64), np.zeros(len(names), np.uint64), count, which, which))
-                word, word_at = names, which
-                context = np.full(len(token), np.uint64(k))
-                continue
-            back = np.arange(len(token)) - (k - 1)
-            before = np.where(place >= k - 1, token[np.maximum(back, 0)], np.uint64(start))
-            context = mixed(context * np.uint64(0x9E3779B97F4A7C15) + before)
-            names, of = np.unique(context, return_inverse=True)
-            pair, which = np.unique(of.astype(np.uint64) << np.uint64(32) | word_at.astype(np.uint64), return_inverse=True)
-            count = np.bincount(which, weights=trains, minlength=len(pair)).astype(np.int64)
-            size_of = np.bincount((pair >> np.uint64(32)).astype(np.int64), minlength=len(names))
-            tails = word[(pair & np.uint64(0xFFFFFFFF)).astype(np.int64)] >> np.uint64(24)
-            self.levels.append((names, size_of, tails, count, which, of))
-
-    def questions(self, block: int, shards: int) -> Iterator[dict]:
-        for k, (names, size, word, count, _, _) in enumerate(self.levels, 1):
-            cut = np.searchsorted(shard_of(names, shards), np.arange(shards + 1))
-            ends = np.concatenate([[0], np.cumsum(size)])
-            for s in range(shards):
-                a, b = cut[s], cut[s + 1]
-                if a < b:
-                    i, j = ends[a], ends[b]
-                    w = word[i:j]
-                    yield {
-                        "level": k, "shard": s, "block": block, "contexts": gaps(names[a:b]), "sizes": packed(size[a:b].astype(np.uint32)), "counts": packed(count[i:j].astype(np.uint32)),
-                        "words": b"" if k == 1 else (w & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + (w >> np.uint64(32)).astype(np.uint8).tobytes(),
-                    }
-
-
-def shard_of(names: np.ndarray, shards: int) -> np.ndarray:
-    """Equal ranges of the hashes' upper half; ascending with the hash."""
-    return ((names >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
-
-
-QUESTIONS = "level int, shard int, block int, contexts binary, sizes binary, counts binary, words binary"
-_QUESTIONS = pa.schema([("level", pa.int32()), ("shard", pa.int32()), ("block", pa.int32()), *((n, pa.binary()) for n in ("contexts", "sizes", "counts", "words"))])
-
-
-def parsed(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    context, size, count = from_gaps(row["contexts"]), unpacked(row["sizes"], np.uint32).astype(np.int64), unpacked(row["counts"], np.uint32).astype(np.int64)
-    n = len(count)
-    raw = row["words"]
-    word = np.frombuffer(raw, np.uint32, n).astype(np.uint64) | np.frombuffer(raw, np.uint8, n, 4 * n).astype(np.uint64) << np.uint64(32) if raw else np.zeros(n, np.uint64)
-    return context, size, word, count
-
-
-def merged(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Contexts, where their words begin, words and summed counts, of what any block counted in training documents."""
-    names = np.unique(np.concatenate([r[0] for r in rows]))
-    key = np.concatenate([np.repeat(np.searchsorted(names, c).astype(np.uint64), size) << _TAIL | word for c, size, word, _ in rows])
-    count = np.concatenate([r[3] for r in rows])
-    key, count = key[count > 0], count[count > 0]
-    order = np.argsort(key)
-    key, count = key[order], count[order]
-    head = np.flatnonzero(np.diff(key, prepend=~key[:1]))
-    key, count = key[head], np.add.reduceat(count, head) if len(head) else count
-    of = (key >> _TAIL).astype(np.int64)
-    used, begin = np.unique(of, return_index=True)
-    return names[used], np.concatenate([begin, [len(key)]]).astype(np.int64), key & _MASK, count
-
-
-ANSWERS = "block int, level int, shard int, codes binary, weights binary"
-
-
-def answers(discount: float):
-    def run(t: pa.Table) -> pa.Table:
-        rows = t.to_pylist()
-        asked = [parsed(r) for r in rows]
-        context, begin, word, count = merged(asked)
-        out = []
-        if rows[0]["level"] == 1:  # counts themselves: the base needs them exactly
-            for r, (c, _, _, _) in zip(rows, asked, strict=True):
-                at = np.minimum(np.searchsorted(context, c), max(0, len(context) - 1))
-                out.append((r, packed(np.where(context[at] == c, count[at], 0).astype(np.uint32) if len(context) else np.zeros(len(c), np.uint32)), b""))
-        else:
-            trie = Shard.mapped(Shard.build(context, begin, word, count, discount)).opened()
-            for r, (c, size, w, _) in zip(rows, asked, strict=True):
-                out.append((r, *map(packed, trie.ask(c, size, w))))
-        return pa.table({n: pa.array([r[n] for r, _, _ in out], pa.int32()) for n in ("block", "level", "shard")} | {"codes": pa.array([x[1] for x in out], pa.binary()), "weights": pa.array([x[2] for x in out], pa.binary())})
+    def ask(self, node: np.ndarray, key: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """Places of the successors `key` of the contexts at `node`; -1 where there is none."""
+        ask = np.flatnonzero(known & (node >= 0))
+        out = np.full(len(node), -1)
+        for part in np.array_split(ask, max(1, len(ask) >> 17)):
+            begin, end = self.begin(node[part]), self.begin(node[part] + 1)
+            base = np.zeros(len(part), np.uint64)
+            later = begin > 0
+            base[later] = self.successors.get(begin[later] - 1) + np.uint64(1)
+            at = self.successors.find(base + key[part], np.ones(len(part), bool))
+            out[part] = np.where((at >= begin) & (at < end), at, -1)
+        return out
 
-    return run
 
+def mapped(levels: list[bytes]) -> list[Shard]:
+    """The levels of a shard, served from one memory map without a file."""
+    whole = mmap.mmap(-1, max(1, sum(map(len, levels))))
+    for raw in levels:
+        whole.write(raw)
+    raw, at, out = np.frombuffer(whole, np.uint8), 0, []
+    for level in levels:
+        out.append(Shard(raw[at : at + len(level)]))
+        at += len(level)
+    return out
 
-def totals(docs: DataFrame, shards: int) -> tuple[int, int]:
-    """Training tokens and distinct ones among them, from the first level alone."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, waiting, n = WordHashes(), [], 0
-        for batch in batches:
-            token, size, train = tokens(pa.table(batch), known)
-            waiting.append(token[np.repeat(train, size)])
-            n += len(waiting[-1])
-            if n > 1 << 21:
-                yield ask(waiting)
-                waiting, n = [], 0
-        if n:
-            yield ask(waiting)
+class Table:
+    """The most frequent words: hashes by rank, training counts, and over how many shards each one's contexts are split."""
 
-    def ask(parts: list[np.ndarray]) -> pa.RecordBatch:
-        token = np.concatenate(parts)
-        return pa.RecordBatch.from_pylist(list(Grams(token, np.array([len(token)]), np.array([True]), 1, 0).questions(0, shards)), _QUESTIONS)
+    def __init__(self, word: np.ndarray, count: np.ndarray, ways: np.ndarray):
+        self.word, self.count, self.ways = word, count, ways
+        self.order = np.argsort(word)
+        self.sorted = word[self.order]
 
-    def count(t: pa.Table) -> pa.Table:
-        context, _, _, n = merged([parsed(r) for r in t.to_pylist()])
-        return pa.table({"n": pa.array([int(n.sum())], pa.int64()), "v": pa.array([len(context)], pa.int64())})
+    def rank(self, word: np.ndarray) -> np.ndarray:
+        """Ranks of words; the number of ranks for those that have none."""
+        none = len(self.word)
+        if not none:
+            return np.zeros(len(word), np.int32)
+        at = np.minimum(np.searchsorted(self.sorted, word), none - 1)
+        return np.where(self.sorted[at] == word, self.order[at], none).astype(np.int32)
 
-    sums = docs.where("keep").select("text", "keep").mapInArrow(run, QUESTIONS).groupBy("shard").applyInArrow(count, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
-    return sums[0] or 0, sums[1] or 0
 
+def shard_of(before: np.ndarray, ways: np.ndarray, word: np.ndarray, shards: int) -> np.ndarray:
+    """By the word before; where that is split, by the word itself as well."""
+    first = (before >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
+    return ((first + mixed(word) % np.minimum(ways, shards).astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
 
-def tries(df: DataFrame, train: Column, order: int = 2, discount: float = DISCOUNT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The model itself: (level, shard, trie), the shards' levels as Shard reads them. Levels from 2 up; level 1 is the words' counts."""
-    docs, blocks = blocked(df.where(train), doc_id, text, F.lit(True))
-    shards = shard_count(df, text)
 
-    def build(t: pa.Table) -> pa.Table:
-        rows = t.to_pylist()
-        raw = Shard.build(*merged([parsed(r) for r in rows]), discount)
-        return pa.table({"level": pa.array([rows[0]["level"]], pa.int32()), "shard": pa.array([rows[0]["shard"]], pa.int32()), "trie": pa.array([raw], pa.binary())})
+class Tokens:
+    """Tokens with the words before them, in runs of one text each.
 
-    return docs.groupBy("block").applyInArrow(tidy(asker(order, shards)), QUESTIONS).groupBy("level", "shard").applyInArrow(build, "level int, shard int, trie binary")
+    chunk, place, length, weight: of each run; weight is how often its text trains. code: for the token, the
+    word before it, and so on, the ranks in the table; rare: the hashes of those that have none, in order.
+    """
 
+    def __init__(self, chunk: np.ndarray, place: np.ndarray, length: np.ndarray, weight: np.ndarray, code: list[np.ndarray], rare: list[np.ndarray]):
+        self.chunk, self.place, self.length, self.weight, self.code, self.rare = chunk, place, length, weight, code, rare
 
-def shard_count(df: DataFrame, text: str) -> int:
-    return max(1, -(-(df.agg(F.sum(F.octet_length(text))).first()[0] or 0) // SHARD_BYTES))
+    @classmethod
+    def joined(cls, parts: list[Tokens]) -> Tokens:
+        def lists(name: str) -> list[np.ndarray]:
+            return [np.concatenate(x) for x in zip(*(getattr(p, name) for p in parts), strict=True)]
+
+        return cls(*(np.concatenate([getattr(p, n) for p in parts]) for n in ("chunk", "place", "length", "weight")), lists("code"), lists("rare"))
+
+    def hashes(self, k: int, table: Table) -> np.ndarray:
+        out = np.concatenate([table.word, np.zeros(1, np.uint64)])[self.code[k]]
+        out[self.code[k] == len(table.word)] = self.rare[k]
+        return out
+
+    def dealt(self, to: np.ndarray, ways: int, table: Table) -> Iterator[tuple[int, Tokens]]:
+        """The tokens of each destination that has any."""
+        none = len(table.word)
+        order = np.argsort(to.astype(np.uint16), kind="stable")
+        cut = np.searchsorted(to[order], np.arange(ways + 1))
+        run = np.repeat(np.arange(len(self.length), dtype=np.int32), self.length)
+        nth = [np.cumsum(c == none) - 1 for c in self.code]
+        for d in np.flatnonzero(np.diff(cut)).tolist():
+            at = order[cut[d] : cut[d + 1]]
+            own = run[at]
+            head = np.flatnonzero(np.diff(own, prepend=-1))
+            code = [c[at] for c in self.code]
+            rare = [r[n[at[c == none]]] for r, n, c in zip(self.rare, nth, code, strict=True)]
+            runs = own[head]
+            yield d, Tokens(self.chunk[runs], self.place[runs], np.diff(head, append=len(at)), self.weight[runs], code, rare)
+
+    def message(self) -> dict:
+        n = sum(map(len, self.code))
+        runs = b"".join(np.ascontiguousarray(x).tobytes() for x in (self.chunk.astype(np.int64), self.place.astype(np.uint16), self.length.astype(np.uint32), self.weight.astype(np.uint16)))
+        planes = np.concatenate(self.code).astype(np.uint32).view(np.uint8).reshape(n, 4).T[:3]
+        return {"tokens": n // len(self.code), "runs": packed(np.frombuffer(runs, np.uint8)), "codes": packed(planes), "rare": np.concatenate(self.rare).tobytes(), "texts": None}
 
+    @classmethod
+    def read(cls, row: dict, order: int, table: Table) -> Tokens:
+        raw = unpacked(row["runs"], np.uint8)
+        m = len(raw) // 16
+        planes = unpacked(row["codes"], np.uint8).reshape(3, -1).astype(np.int32)
+        code = np.split(planes[0] | planes[1] << 8 | planes[2] << 16, order)
+        ends = np.cumsum([(c == len(table.word)).sum() for c in code])
+        return cls(
+            raw[: 8 * m].view(np.int64), raw[8 * m : 10 * m].view(np.uint16), raw[10 * m : 14 * m].view(np.uint32).astype(np.int64), raw[14 * m :].view(np.uint16).astype(np.int64),
+            code, np.split(np.frombuffer(row["rare"], np.uint64), ends[:-1]),
+        )
+
+
+MESSAGES = "shard int, tokens long, runs binary, codes binary, rare binary, texts binary"
+_MESSAGES = pa.schema([("shard", pa.int32()), ("tokens", pa.int64()), *((n, pa.binary()) for n in ("runs", "codes", "rare", "texts"))])
+
+
+class Chunk:
+    """Some documents, their distinct texts, and the hashes of all their tokens."""
+
+    def __init__(self, t: pa.RecordBatch, known: WordHashes):
+        self.ids, self.keep = t.column("id").to_pylist(), t.column("keep").to_numpy(zero_copy_only=False).astype(bool)
+        found: dict[bytes, int] = {}
+        self.place = np.fromiter((found.setdefault(x or b"", len(found)) for x in t.column("text").to_pylist()), np.int64, len(self.ids))
+        end = np.array([known[END]], np.uint64)
+        docs = [np.concatenate([hashes(x, known), end]) for x in found]
+        self.size = np.fromiter(map(len, docs), np.int64, len(docs))
+        self.word = np.concatenate(docs)
+        self.trains = np.bincount(self.place, weights=self.keep, minlength=len(docs)).astype(np.int64)
+        self.times = np.bincount(self.place, minlength=len(docs))
+
+    def before(self, k: int, start: int) -> np.ndarray:
+        """The word k places before each token; the start, where the text has none."""
+        at = np.arange(len(self.word))
+        return np.where(at - np.repeat(np.cumsum(self.size) - self.size, self.size) >= k, self.word[np.maximum(at - k, 0)], np.uint64(start)) if k else self.word
+
+
+def chunks(batches: Iterator[pa.RecordBatch], known: WordHashes, most: int) -> Iterator[Chunk]:
+    """Parts of about `most` bytes of text and at most BLOCK_ROWS rows; a longer text is a chunk."""
+    for batch in batches:
+        at, total = 0, 0
+        for i, n in enumerate(pc.binary_length(batch.column("text")).to_pylist()):
+            if i > at and (total + (n or 0) > most or i - at == BLOCK_ROWS):
+                yield Chunk(batch.slice(at, i - at), known)
+                at, total = i, 0
+            total += n or 0
+        if at < batch.num_rows:
+            yield Chunk(batch.slice(at), known)
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n: in training documents, every: in all); the start counts once for each document, but never trains."""
 
-def asker(order: int, shards: int):
-    def ask(key: tuple, t: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
-        return pa.Table.from_pylist(list(Grams(*tokens(in_order(t), known), order, known[START]).questions(key[0].as_py(), shards)), _QUESTIONS)
+        for c in chunks(batches, known, most):
+            word, which = np.unique(c.word, return_inverse=True)
+            n, every = (np.bincount(which, weights=np.repeat(x, c.size)).astype(np.int64) for x in (c.trains, c.times))
+            word, n, every = np.append(word, np.uint64(known[START])), np.append(n, 0), np.append(every, c.times.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n), pa.array(every)], ["word", "n", "every"])
 
-    return ask
+    most = blocks.BLOCK_BYTES
+    found = docs.select("text", "keep", "id").mapInArrow(tidy(run), "word long, n long, every long")
+    return found.groupBy("word").agg(F.sum("n").alias("n"), F.sum("every").alias("every"))
 
 
-SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+def sent(docs: DataFrame, order: int, table: Table, shards: int, total: int, fan: int = FAN) -> DataFrame:
+    """Messages of all documents, each with its shard; total: of tokens."""
+    rounds, most = 1, blocks.BLOCK_BYTES
+    while fan**rounds < shards:
+        rounds += 1
 
+    def group(shard: np.ndarray, done: int) -> np.ndarray:
+        """Where a shard's tokens go in the round after `done`."""
+        return shard // fan ** (rounds - 1 - done)
 
-def score(df: DataFrame, train: Column, order: int = 2, discount: float = DISCOUNT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Scores of all documents by the model of those where `train` holds."""
-    docs, blocks = blocked(df, doc_id, text, F.coalesce(train, F.lit(False)))
-    shards = max(1, blocks * 8 // 24)
-    n, v = totals(docs, shards)
-    floor = np.log10(float(n + v + 1))
-    asked = docs.groupBy("block").applyInArrow(tidy(asker(order, shards)), QUESTIONS)
-    answered = asked.groupBy("level", "shard").applyInArrow(tidy(answers(discount)), ANSWERS)
-
-    def run(t: pa.Table, got: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
-        t = in_order(t)
-        token, size, train = tokens(t, known)
-        grams = Grams(token, size, train, order, known[START])
-        parts: dict[int, list] = {k: [] for k in range(1, order + 1)}
-        for r in sorted(got.to_pylist(), key=lambda r: (r["level"], r["shard"])):
-            parts[r["level"]].append(r)
-        seen = np.concatenate([unpacked(r["codes"], np.uint32) for r in parts[1]]).astype(np.float64)[grams.levels[0][4]]
-        logs = np.log10(seen + 1)
-        p = (seen + 1) / (n + v + 1)
-        for k in range(2, order + 1):
-            code = np.concatenate([unpacked(r["codes"], np.uint8) for r in parts[k]])[grams.levels[k - 1][4]]
-            weight = np.concatenate([unpacked(r["weights"], np.uint8) for r in parts[k]])[grams.levels[k - 1][5]]
-            p = np.where(weight > 0, _P[code] + _P[weight] * p, p)
-        at = np.cumsum(size) - size
-        return pa.table({
-            "doc_id": t.column("id").cast(pa.int64()), "held_out": pa.array(~train), "n_tokens": pa.array(size, pa.int64()), "n_known": pa.array(np.add.reduceat((seen > 0).astype(np.int64), at)),
-            "train_tokens": pa.array(np.full(len(size), n, np.int64)), "base_score": pa.array(np.add.reduceat(logs, at) - size * floor), "score": pa.array(np.add.reduceat(np.log10(p), at)),
-        })
-
-    return docs.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(tidy(run), SCORES)
+        for i, c in enumerate(chunks(batches, known, most)):
+            name = TaskContext.get().partitionId() << 32 | i
+            word = [c.before(k, known[START]) for k in range(order)]
+            code = [table.rank(w) for w in word]
+            rare = [w[k == len(table.word)] for w, k in zip(word, code, strict=True)]
+            every = Tokens(np.full(len(c.size), name), np.arange(len(c.size)), c.size, c.trains, code, rare)
+            to = group(shard_of(word[1], np.append(table.ways, 1)[code[1]], word[0], shards), 0)
+            # the ids go along to one of the shards
+            at = np.argsort(c.place, kind="stable")
+            texts = {"place": pa.array(c.place[at].astype(np.int32)), "doc_id": pa.array([c.ids[j] for j in at.tolist()], pa.int64()), "held_out": pa.array(~c.keep[at]), "n_tokens": pa.array(c.size[c.place[at]]), "chunk": pa.array(np.full(len(at), name))}
+            with pa.BufferOutputStream() as sink:
+                with pa.ipc.new_stream(sink, (t := pa.table(texts)).schema) as out:
+                    out.write_table(t)
+                own = {"shard": int(group(np.array([mixed(np.array([name], np.uint64))[0] % np.uint64(shards)]).astype(np.int64), 0)[0]), "tokens": 0, "texts": sink.getvalue().to_pybytes()}
+            yield pa.RecordBatch.from_pylist([own, *({"shard": d} | m.message() for d, m in every.dealt(to, fan, table))], _MESSAGES)
+
+    def onward(done: int):
+        def deal(t: pa.Table) -> pa.Table:
+            rows = t.to_pylist()
+            out = []
+            for r in rows:
+                if r["texts"] is not None:
+                    # the least shard that is reached from here
+                    out.append(r | {"shard": r["shard"] * fan})
+            parts = [Tokens.read(r, order, table) for r in rows if r["texts"] is None]
+            if parts:
+                every = Tokens.joined(parts)
+                before = every.hashes(1, table)
+                shard = group(shard_of(before, np.append(table.ways, 1)[every.code[1]], every.hashes(0, table), shards), done)
+                low = int(shard.min())
+                out += [{"shard": low + d} | m.message() for d, m in every.dealt(shard - low, int(shard.max()) - low + 1, table)]
+            return pa.Table.from_pylist(out, _MESSAGES)
+
+        return deal
+
+    out = docs.mapInArrow(tidy(run), MESSAGES)
+    for done in range(1, rounds):
+        groups = -(-shards // fan ** (rounds - done))
+        parts = F.pmod(F.xxhash64("runs", "texts"), F.lit(max(1, -(-total // (groups * DEALT)))))
+        out = out.withColumn("part", parts).groupBy("shard", "part").applyInArrow(tidy(onward(done)), MESSAGES)
+    return out
+
+
+def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    values, which = np.unique(key, return_inverse=True)
+    return values, which.astype(np.int32)
+
+
+class Level:
+    """Contexts of one length and the n-grams that they begin, each distinct one once and in ascending order.
+
+    parent, last: of each context, the one that is one word shorter, and its farthest word; name: its hash;
+    context, word, up, count: of each n-gram, its context, its word, the n-gram that is one word shorter,
+    and how often it trains.
+    """
+
+    def __init__(self, parent: np.ndarray | None, last: np.ndarray, name: np.ndarray, context: np.ndarray, word: np.ndarray, up: np.ndarray | None, count: np.ndarray):
+        self.parent, self.last, self.name, self.context, self.word, self.up, self.count = parent, last, name, context, word, up, count
+
+
+class Grams:
+    """What a shard has been sent: its words in order of their hashes, its levels, and each token's longest n-gram."""
+
+    def __init__(self, parts: list[Tokens], order: int, table: Table):
+        every = Tokens.joined(parts)
+        none = len(table.word)
+        self.runs = every
+        self.rare = np.unique(np.concatenate(every.rare))
+        names = np.concatenate([table.word, self.rare])
+        self.by_hash = np.argsort(names)
+        self.names = names[self.by_hash]
+        place = np.empty(len(names), np.int32)
+        place[self.by_hash] = np.arange(len(names))
+        words = []
+        for code, rare in zip(every.code, every.rare, strict=True):
+            code = code.copy()
+            code[code == none] = none + np.searchsorted(self.rare, rare)
+            words.append(place[code])
+        every.code = every.rare = []
+        self.word = words[0]
+        trains = np.repeat(every.weight, every.length).astype(np.float64)
+        self.levels: list[Level] = []
+        for k in range(1, order):
+            if k == 1:
+                parent, (last, context) = None, distinct(words[1])
+                name = mixed(self.names[last])
+            else:
+                key, context = distinct(context.astype(np.int64) << 32 | words[k])
+                parent, last = key >> 32, key & 0xFFFFFFFF
+                name = mixed(self.levels[-1].name[parent] * _GOLDEN + self.names[last])
+            key, gram = distinct(context.astype(np.int64) << 32 | self.word)
+            up = None
+            if k > 1:
+                up = np.empty(len(key), np.int32)
+                up[gram] = self.gram
+            self.levels.append(Level(parent, last, name, key >> 32, key & 0xFFFFFFFF, up, np.bincount(gram, weights=trains, minlength=len(key))))
+            self.gram = gram
+        self.split = np.append(table.ways, np.ones(len(self.rare), np.int64))[self.by_hash] > 1
+
+    def splits(self) -> Iterator[tuple[Level, np.ndarray]]:
+        """Each level, and which of its contexts are split over shards."""
+        of = None
+        for level in self.levels:
+            of = self.split[level.last] if level.parent is None else of[level.parent]
+            yield level, of
+
+    def sums(self, level: Level) -> tuple[np.ndarray, np.ndarray]:
+        """Of each context: training tokens, and distinct ones, in this shard."""
+        return np.bincount(level.context, weights=level.count, minlength=len(level.last)), np.bincount(level.context, weights=level.count > 0, minlength=len(level.last))
+
+    def asks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(key, n, d): rarer words whose counts are wanted, with zeros; this shard's part of split contexts."""
+        used = np.zeros(len(self.names), bool)
+        used[self.word] = True
+        rare = self.names[used & (self.by_hash >= len(self.names) - len(self.rare))]
+        rows = [(rare, np.zeros(len(rare)), np.zeros(len(rare)))]
+        for level, split in self.splits():
+            n, d = self.sums(level)
+            own = split & (n > 0)
+            rows.append((level.name[own], n[own], d[own]))
+        return tuple(np.concatenate(x) for x in zip(*rows, strict=True))
+
+    def trie(self, name: np.ndarray, total: np.ndarray, kinds: np.ndarray, discount: float) -> list[bytes]:
+        """The levels; name: ascending, of split contexts, with their totals and distinct words over all shards."""
+        out = []
+        for k, (level, split) in enumerate(self.splits()):
+            n, d = self.sums(level)
+            own = np.flatnonzero(split & (n > 0))
+            at = np.searchsorted(name, level.name[own])
+            n[own], d[own] = total[at], kinds[at]
+            seen = np.flatnonzero(level.count > 0)
+            of = level.context[seen]
+            used, begin = np.unique(of, return_index=True)
+            begin = np.append(begin, len(seen))
+            code, weight = quantised((level.count[seen] - discount) / n[of]), quantised(discount * d[used] / n[used])
+            if k == 0:
+                context, key = self.names[level.last[used]], self.names[level.word[seen]] >> _CUT
+            else:
+                context = node[level.parent[used]].astype(np.uint64) << _TAIL | self.names[level.last[used]] >> _CUT
+                key = (place[level.up[seen]] - first[level.parent[of]]).astype(np.uint64)
+            out.append(Shard.build(context, begin, key, code, weight))
+            node, first, place = np.full(len(level.last), -1), np.zeros(len(level.last), np.int64), np.full(len(level.count), -1)
+            node[used], first[used], place[seen] = np.arange(len(used)), begin[:-1], np.arange(len(seen))
+        return out
+
+    def probabilities(self, trie: list[Shard], plain: np.ndarray) -> np.ndarray:
+        """Of each n-gram of the last level; plain: of each word by itself."""
+        for k, (level, shard) in enumerate(zip(self.levels, trie, strict=True)):
+            tails = self.names[level.last] >> _CUT
+            if k == 0:
+                new = shard.nodes(self.names[level.last], np.ones(len(tails), bool))
+                key, known, lower = self.names[level.word] >> _CUT, np.ones(len(level.word), bool), plain[level.word]
+            else:
+                parent = node[level.parent]
+                new = shard.nodes(np.maximum(parent, 0).astype(np.uint64) << _TAIL | tails, parent >= 0)
+                at = place[level.up]
+                key, known, lower = np.maximum(at - first[level.parent[level.context]], 0).astype(np.uint64), at >= 0, p[level.up]
+            node = new
+            place = shard.ask(node[level.context], key, known)
+            first = np.zeros(len(node), np.int64)
+            first[node >= 0] = shard.begin(node[node >= 0])
+            weight = np.zeros(len(node), np.uint16)
+            weight[node >= 0] = shard.weights[node[node >= 0]]
+            code = np.zeros(len(place), np.uint16)
+            code[place >= 0] = shard.codes[place[place >= 0]]
+            weight = weight[level.context]
+            p = np.where(weight > 0, np.minimum(_P[code] + _P[weight] * lower, 1.0), lower)
+        return p
+
+
+class Model:
+    """The words' counts, the messages of all documents, and the answers to what shards ask."""
+
+    def __init__(self, df: DataFrame, train: Column, order: int, doc_id: str, text: str, shard_tokens: int = SHARD_TOKENS, fan: int = FAN, ranked: int = TABLE):
+        if order < 2:
+            raise ValueError("order is 2 at least")
+        docs = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("binary").alias("text"), F.coalesce(train, F.lit(False)).alias("keep"))
+        self.order, self.words = order, stored(word_counts(docs))
+        n, v, every = self.words.agg(F.sum("n"), F.count_if(F.col("n") > 0), F.sum("every")).first()
+        self.n, self.v = n or 0, v
+        top = self.words.orderBy(F.desc("every"), "word").limit(ranked).toArrow()
+        word, count, times = (top.column(x).to_numpy() for x in ("word", "n", "every"))
+        self.table = Table(word.view(np.uint64), count, -(-times // shard_tokens))
+        self.shards = max(1, -(-(every or 0) // shard_tokens))
+        self.messages = sent(docs, order, self.table, self.shards, every or 0, fan)
+        self.answers = self._answers()
+
+    def grams(self):
+        """A function of a shard's messages: those that hold texts, and the tokens."""
+        order, table = self.order, self.table
+
+        def read(t: pa.Table) -> tuple[list[dict], Grams | None]:
+            rows = t.to_pylist()
+            parts = [Tokens.read(r, order, table) for r in rows if r["texts"] is None]
+            return [r for r in rows if r["texts"] is not None], Grams(parts, order, table) if parts else None
+
+        return read
+
+    def _answers(self) -> DataFrame:
+        """(shard, key, n, d): of rarer words the training count (d: 0), of split contexts the totals."""
+        grams = self.grams()
+
+        def run(key: tuple, t: pa.Table) -> pa.Table:
+            _, g = grams(t)
+            name, n, d = g.asks() if g else (np.empty(0, np.uint64), np.empty(0), np.empty(0))
+            return pa.table({"shard": pa.array(np.full(len(name), key[0].as_py(), np.int32)), "key": pa.array(name.view(np.int64)), "n": pa.array(n.astype(np.int64)), "d": pa.array(d.astype(np.int64))})
+
+        asks = self.messages.groupBy("shard").applyInArrow(tidy(run), "shard int, key long, n long, d long")
+        counts = self.words.where("n > 0").select(F.lit(None).cast("int").alias("shard"), F.col("word").alias("key"), "n", F.lit(0).cast("long").alias("d"))
+        # a word's count comes from one row, a context's totals from those of its shards: at most one row a shard and key
+        key = Window.partitionBy("key")
+        return asks.unionByName(counts).select("shard", "key", F.sum("n").over(key).alias("n"), F.sum("d").over(key).alias("d")).where("shard is not null")
+
+    def tried(self, run, schema: str) -> DataFrame:
+        """run(texts, grams, answers, shard) of each shard."""
+        grams = self.grams()
+
+        def call(key: tuple, t: pa.Table, got: pa.Table) -> pa.Table:
+            texts, g = grams(t)
+            got = got.sort_by("key")
+            return run(texts, g, *(got.column(x).to_numpy() for x in ("key", "n", "d")), key[0].as_py())
+
+        return self.messages.groupBy("shard").cogroup(self.answers.groupBy("shard")).applyInArrow(tidy(call), schema)
+
+
+def by_name(key: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+    """Hashes, which travel as signed numbers, and values in their order."""
+    name = key.view(np.uint64)
+    order = np.argsort(name)
+    return [name[order], *(x[order] for x in values)]
+
+
+def trie_of(g: Grams, key: np.ndarray, n: np.ndarray, d: np.ndarray, discount: float) -> list[bytes]:
+    context = d > 0
+    return g.trie(*by_name(key[context], n[context], d[context]), discount)
+
+
+def tries(df: DataFrame, train: Column, order: int = 2, discount: float = DISCOUNT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The model itself: (level, shard, trie), as Shard reads it. Level 1, dealt by word, has one context and add-one probabilities."""
+    model = Model(df, train, order, doc_id, text)
+    n, v = model.n, model.v
+
+    def words(key: tuple, t: pa.Table) -> pa.Table:
+        name, count = by_name(t.column("word").to_numpy(), t.column("n").to_numpy())
+        raw = Shard.build(np.zeros(1, np.uint64), np.array([0, len(name)]), name >> _CUT, quantised((count + 1) / (n + v + 1)), np.zeros(1, np.uint16))
+        return pa.table({"level": pa.array([1], pa.int32()), "shard": pa.array([key[0].as_py()], pa.int32()), "trie": pa.array([raw], pa.binary())})
+
+    def levels(texts: list, g: Grams | None, key: np.ndarray, n: np.ndarray, d: np.ndarray, shard: int) -> pa.Table:
+        raw = trie_of(g, key, n, d, discount) if g else []
+        return pa.table({"level": pa.array(range(2, 2 + len(raw)), pa.int32()), "shard": pa.array([shard] * len(raw), pa.int32()), "trie": pa.array(raw, pa.binary())})
+
+    first = model.words.where("n > 0").withColumn("shard", F.pmod("word", F.lit(model.shards)).cast("int")).groupBy("shard").applyInArrow(words, "level int, shard int, trie binary")
+    return first.unionByName(model.tried(levels, "level int, shard int, trie binary"))
+
+
+_PARTS = pa.schema([
+    ("chunk", pa.int64()), ("place", pa.int32()), ("docs", pa.list_(pa.struct([("doc_id", pa.int64()), ("held_out", pa.bool_())]))),
+    ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()),
+])
+
+
+def owners(raw: bytes) -> pa.Table:
+    """The documents of each text of a chunk."""
+    t = pa.ipc.open_stream(raw).read_all().combine_chunks()
+    place = t.column("place").to_numpy()
+    head = np.flatnonzero(np.diff(place, prepend=-1))
+    docs = pa.StructArray.from_arrays([t.column(n).combine_chunks() for n in ("doc_id", "held_out")], ["doc_id", "held_out"])
+    zeros = np.zeros(len(head))
+    return pa.table({
+        "chunk": t.column("chunk").take(head), "place": t.column("place").take(head), "docs": pa.ListArray.from_arrays(np.append(head, len(place)).astype(np.int32), docs),
+        "n_tokens": t.column("n_tokens").take(head), "n_known": pa.array(zeros.astype(np.int64)), "base": pa.array(zeros), "score": pa.array(zeros),
+    }).cast(_PARTS)
+
+
+def score(df: DataFrame, train: Column, order: int = 2, discount: float = DISCOUNT, doc_id: str = "doc_id", text: str = "text", **sizes: int) -> DataFrame:
+    """Scores of all documents by the model of those where `train` holds. sizes: shard_tokens, fan and ranked words, which don't change results."""
+    model = Model(df, train, order, doc_id, text, **sizes)
+    n, v = model.n, model.v
+    floor = float(np.log10(float(n + v + 1)))
+    table = model.table
+
+    def run(texts: list, g: Grams | None, key: np.ndarray, count: np.ndarray, d: np.ndarray, shard: int) -> pa.Table:
+        out = [owners(r["texts"]) for r in texts]
+        if g:
+            trie = mapped(trie_of(g, key, count, d, discount))
+            # of words: the table's counts and the answers, in order of hashes
+            name, found = by_name(key[d == 0], count[d == 0])
+            at = np.minimum(np.searchsorted(name, g.rare), max(0, len(name) - 1))
+            rare = np.where(name[at] == g.rare, found[at], 0) if len(name) else np.zeros(len(g.rare), np.int64)
+            seen = np.concatenate([table.count, rare])[g.by_hash]
+            logs = np.log10(g.probabilities(trie, (seen + 1) / (n + v + 1)))[g.gram]
+            runs = g.runs
+            begin = np.cumsum(runs.length) - runs.length
+            base = np.log10(seen + 1.0)[g.word]
+            known = (seen > 0)[g.word].astype(np.int64)
+            out.append(pa.table({
+                "chunk": pa.array(runs.chunk), "place": pa.array(runs.place.astype(np.int32)), "docs": pa.nulls(len(begin), _PARTS.field("docs").type), "n_tokens": pa.array(np.zeros(len(begin), np.int64)),
+                "n_known": pa.array(np.add.reduceat(known, begin)), "base": pa.array(np.add.reduceat(base, begin)), "score": pa.array(np.add.reduceat(logs, begin)),
+            }, schema=_PARTS))
+        return pa.concat_tables(out) if out else _PARTS.empty_table()
+
+    parts = model.tried(run, "chunk long, place int, docs array<struct<doc_id:long,held_out:boolean>>, n_tokens long, n_known long, base double, score double")
+    sums = parts.groupBy("chunk", "place").agg(F.first("docs", ignorenulls=True).alias("docs"), *(F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base", "score")))
+    return sums.select(F.explode("docs").alias("doc"), "n_tokens", "n_known", "base", "score").select(
+        "doc.doc_id", "doc.held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * floor).alias("base_score"), "score"
+    )
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 7) != 2, order=ORDER)
+    return score(read_table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 7) != 2, order=ORDER)

@@ -29,6 +29,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -351,7 +352,7 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", keep: list[st
     def pieces_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         """Parts of at most about 4 MB of text, or one row."""
         at, total = 0, 0
-        for i, n in enumerate(pa.compute.binary_length(batch.column(text)).to_pylist()):
+        for i, n in enumerate(pc.binary_length(batch.column(text)).to_pylist()):
             if total and total + (n or 0) > 4 << 20:
                 yield batch.slice(at, i - at)
                 at, total = i, 0

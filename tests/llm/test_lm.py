@@ -102,3 +102,52 @@ def test_query_scores_contexts_of_two_words(spark, tmp_path, rows):
     want = brute(rows, 3)
     for r in lm.op9_lm_score(spark, save(docs(spark, rows), tmp_path)).collect():
         assert r.score == pytest.approx(want[r.doc_id][5], abs=0.03 * r.n_tokens)
+
+
+def test_scores_are_log_probabilities(spark):
+    rows = [(i, "alpha beta") for i in range(3000)] + [(5000 + i, " ".join(words(i, 30))) for i in range(20)]
+    want = brute(rows, 3)
+    for r in lm.score(docs(spark, rows), F.lit(True), order=3).collect():
+        assert r.score <= 0 and r.base_score <= 0
+    for r in lm.score(docs(spark, rows), (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7) != 2, order=3).collect():
+        assert r.score == pytest.approx(want[r.doc_id][5], abs=0.001 * r.n_tokens)
+
+
+@pytest.mark.parametrize("sizes", [{"shard_tokens": 4000, "fan": 3, "ranked": 50}, {"shard_tokens": 300, "fan": 256, "ranked": 1000}, {"ranked": 1}])
+def test_sizes_of_shards_and_messages_do_not_change_scores(spark, rows, sizes, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 20000)
+    want = brute(rows, 3)
+    train = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7) != 2
+    got = lm.score(docs(spark, rows), train, order=3, **sizes).collect()
+    assert sorted(r.doc_id for r in got) == sorted(i for i, _ in rows)
+    for r in got:
+        held, n, known, total, base, score = want[r.doc_id]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held, n, known, total)
+        assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(score, abs=0.001 * n)
+
+
+def test_repeated_and_null_rows(spark):
+    rows = [(i, None) for i in range(20000)] + [(7, "one and the same text")] * 3000 + [(None, "one and the same text")] * 5
+    got = lm.score(docs(spark, rows), F.lit(True), order=3)
+    assert got.count() == len(rows)
+    of = {(r.doc_id, r.n_tokens): r["count"] for r in got.groupBy("doc_id", "n_tokens").count().collect()}
+    assert of[(7, 6)] == 3000 and of[(None, 6)] == 5 and of[(7, 1)] == 1
+    assert got.select("n_tokens", F.round("score", 9)).distinct().count() == 2
+
+
+def test_no_context_gives_away_more_than_its_mass():
+    r = np.random.default_rng(1)
+    for size in (1, 2, 5, 300):
+        count = r.integers(1, 1000, size)
+        codes = lm.quantised((count - lm.DISCOUNT) / count.sum())
+        weight = lm.quantised(np.array([lm.DISCOUNT * size / count.sum()]))
+        assert 0.998 < lm._P[codes].sum() + lm._P[weight][0] <= 1
+
+
+@pytest.mark.parametrize("n", [1, 3, 700, 5000])
+def test_successor_search(n):
+    r = np.random.default_rng(n)
+    for values in (np.sort(r.integers(0, 1 << 62, n).astype(np.uint64)), np.arange(n, dtype=np.uint64), np.concatenate([np.arange(n - n // 2), np.sort(r.integers(1 << 40, 1 << 41, n // 2))]).astype(np.uint64)):
+        coded = lm.EliasFano.of(values)
+        ask = np.concatenate([values, values + np.uint64(1), np.maximum(values, np.uint64(1)) - np.uint64(1), np.array([0, (1 << 64) - 1], np.uint64)])
+        assert (coded.successor(ask) == np.searchsorted(values, ask)).all() and (coded.get(np.arange(n)) == values).all()
