@@ -15,7 +15,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text in a block, about, and rows at most.
@@ -63,12 +63,16 @@ def shingles(h: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def blocked(df: DataFrame, doc_id: str, text: str, keep: Column | None = None) -> tuple[DataFrame, int]:
-    """(id, text as bytes, keep, block), and the number of blocks, which follows the bytes of text. Hot ids are spread by the text's hash."""
-    total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_BYTES))
-    rows = df.select(F.col(doc_id).alias("id"), F.col(text).cast("binary").alias("text"), *([] if keep is None else [keep.alias("keep")]))
-    return rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int")), blocks
+def blocked(df: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, int]:
+    """(id, text as bytes, h: its hash, block), and the number of blocks, which follows the bytes of text and the rows.
+
+    Rows that repeat an id and a text are spread by their place in the input, so no block gathers them; the
+    input is a table, or anything else whose rows come in the same order when a lost task is repeated.
+    """
+    total, rows = df.agg(F.sum(F.octet_length(text)), F.count("*")).first()
+    blocks = max(1, -(-(total or 0) // BLOCK_BYTES), -(-rows // BLOCK_ROWS))
+    docs = df.select(F.col(doc_id).alias("id"), F.col(text).cast("binary").alias("text"), F.xxhash64(text).alias("h"))
+    return docs.withColumn("block", F.pmod(F.xxhash64("id", "h", F.monotonically_increasing_id()), F.lit(blocks)).cast("int")), blocks
 
 
 def in_order(t: pa.Table) -> pa.Table:

@@ -270,6 +270,10 @@ class Tokens:
 
         return cls(*(np.concatenate([getattr(p, n) for p in parts]) for n in ("chunk", "place", "length", "weight")), lists("code"), lists("rare"))
 
+    def where(self, keep: np.ndarray, table: Table) -> Tokens:
+        """Some of the tokens."""
+        return next((t for _, t in self.dealt(np.where(keep, 0, 1), 1, table)), Tokens(*[np.empty(0, np.int64)] * 4, [c[:0] for c in self.code], [r[:0] for r in self.rare]))
+
     def hashes(self, k: int, table: Table) -> np.ndarray:
         out = np.concatenate([table.word, np.zeros(1, np.uint64)])[self.code[k]]
         out[self.code[k] == len(table.word)] = self.rare[k]
@@ -328,10 +332,10 @@ class Chunk:
         self.trains = np.bincount(self.place, weights=self.keep, minlength=len(docs)).astype(np.int64)
         self.times = np.bincount(self.place, minlength=len(docs))
 
-    def before(self, k: int, start: int) -> np.ndarray:
-        """The word k places before each token; the start, where the text has none."""
-        at = np.arange(len(self.word))
-        return np.where(at - np.repeat(np.cumsum(self.size) - self.size, self.size) >= k, self.word[np.maximum(at - k, 0)], np.uint64(start)) if k else self.word
+    def before(self, values: np.ndarray, k: int, start: int) -> np.ndarray:
+        """Of values of the tokens, the one k places before each; the start's, where the text has none."""
+        at = np.arange(len(values))
+        return np.where(at - np.repeat(np.cumsum(self.size) - self.size, self.size) >= k, values[np.maximum(at - k, 0)], values.dtype.type(start)) if k else values
 
 
 def chunks(batches: Iterator[pa.RecordBatch], known: WordHashes, most: int) -> Iterator[Chunk]:
@@ -377,8 +381,9 @@ def sent(docs: DataFrame, order: int, table: Table, shards: int, total: int, fan
         known = WordHashes()
         for i, c in enumerate(chunks(batches, known, most)):
             name = TaskContext.get().partitionId() << 32 | i
-            word = [c.before(k, known[START]) for k in range(order)]
-            code = [table.rank(w) for w in word]
+            word = [c.before(c.word, k, known[START]) for k in range(order)]
+            rank, start = table.rank(c.word), int(table.rank(np.array([known[START]], np.uint64))[0])
+            code = [c.before(rank, k, start) for k in range(order)]
             rare = [w[k == len(table.word)] for w, k in zip(word, code, strict=True)]
             every = Tokens(np.full(len(c.size), name), np.arange(len(c.size)), c.size, c.trains, code, rare)
             to = group(shard_of(word[1], np.append(table.ways, 1)[code[1]], word[0], shards), 0)
@@ -419,8 +424,18 @@ def sent(docs: DataFrame, order: int, table: Table, shards: int, total: int, fan
 
 
 def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    values, which = np.unique(key, return_inverse=True)
-    return values, which.astype(np.int32)
+    """The distinct values, none of them negative, and which of them each is."""
+    place = max(1, len(key) - 1).bit_length()
+    if not len(key) or int(key.max()).bit_length() + place > 63:
+        values, which = np.unique(key, return_inverse=True)
+        return values, which.astype(np.int32)
+    # values with their places behind them are sorted much faster than places by value
+    both = np.sort(key.astype(np.int64) << place | np.arange(len(key)))
+    key = both >> place
+    new = np.diff(key, prepend=-1) > 0
+    which = np.empty(len(key), np.int32)
+    which[both & ((1 << place) - 1)] = np.cumsum(new, dtype=np.int32) - 1
+    return key[new], which
 
 
 class Level:
@@ -436,10 +451,9 @@ class Level:
 
 
 class Grams:
-    """What a shard has been sent: its words in order of their hashes, its levels, and each token's longest n-gram."""
+    """The words of some tokens in order of their hashes, their levels, and each token's longest n-gram. Uses the tokens up."""
 
-    def __init__(self, parts: list[Tokens], order: int, table: Table):
-        every = Tokens.joined(parts)
+    def __init__(self, every: Tokens, order: int, table: Table):
         none = len(table.word)
         self.runs = every
         self.rare = np.unique(np.concatenate(every.rare))
@@ -457,20 +471,22 @@ class Grams:
         self.word = words[0]
         trains = np.repeat(every.weight, every.length).astype(np.float64)
         self.levels: list[Level] = []
+        wide = max(1, len(self.names)).bit_length()
+        low = (1 << wide) - 1
         for k in range(1, order):
             if k == 1:
                 parent, (last, context) = None, distinct(words[1])
                 name = mixed(self.names[last])
             else:
-                key, context = distinct(context.astype(np.int64) << 32 | words[k])
-                parent, last = key >> 32, key & 0xFFFFFFFF
+                key, context = distinct(context.astype(np.int64) << wide | words[k])
+                parent, last = key >> wide, key & low
                 name = mixed(self.levels[-1].name[parent] * _GOLDEN + self.names[last])
-            key, gram = distinct(context.astype(np.int64) << 32 | self.word)
+            key, gram = distinct(context.astype(np.int64) << wide | self.word)
             up = None
             if k > 1:
                 up = np.empty(len(key), np.int32)
                 up[gram] = self.gram
-            self.levels.append(Level(parent, last, name, key >> 32, key & 0xFFFFFFFF, up, np.bincount(gram, weights=trains, minlength=len(key))))
+            self.levels.append(Level(parent, last, name, key >> wide, key & low, up, np.bincount(gram, weights=trains, minlength=len(key))))
             self.gram = gram
         self.split = np.append(table.ways, np.ones(len(self.rare), np.int64))[self.by_hash] > 1
 
@@ -485,12 +501,9 @@ class Grams:
         """Of each context: training tokens, and distinct ones, in this shard."""
         return np.bincount(level.context, weights=level.count, minlength=len(level.last)), np.bincount(level.context, weights=level.count > 0, minlength=len(level.last))
 
-    def asks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(key, n, d): rarer words whose counts are wanted, with zeros; this shard's part of split contexts."""
-        used = np.zeros(len(self.names), bool)
-        used[self.word] = True
-        rare = self.names[used & (self.by_hash >= len(self.names) - len(self.rare))]
-        rows = [(rare, np.zeros(len(rare)), np.zeros(len(rare)))]
+    def parts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(key, n, d): this shard's part of split contexts."""
+        rows = []
         for level, split in self.splits():
             n, d = self.sums(level)
             own = split & (n > 0)
@@ -562,24 +575,32 @@ class Model:
         self.messages = sent(docs, order, self.table, self.shards, every or 0, fan)
         self.answers = self._answers()
 
-    def grams(self):
-        """A function of a shard's messages: those that hold texts, and the tokens."""
+    def reader(self):
+        """A function of a shard's messages: those that hold texts, and the tokens, if there are any."""
         order, table = self.order, self.table
 
-        def read(t: pa.Table) -> tuple[list[dict], Grams | None]:
+        def read(t: pa.Table) -> tuple[list[dict], Tokens | None]:
             rows = t.to_pylist()
             parts = [Tokens.read(r, order, table) for r in rows if r["texts"] is None]
-            return [r for r in rows if r["texts"] is not None], Grams(parts, order, table) if parts else None
+            return [r for r in rows if r["texts"] is not None], Tokens.joined(parts) if parts else None
 
         return read
 
     def _answers(self) -> DataFrame:
         """(shard, key, n, d): of rarer words the training count (d: 0), of split contexts the totals."""
-        grams = self.grams()
+        read, order, table = self.reader(), self.order, self.table
+        ways = np.append(table.ways, 1)
 
         def run(key: tuple, t: pa.Table) -> pa.Table:
-            _, g = grams(t)
-            name, n, d = g.asks() if g else (np.empty(0, np.uint64), np.empty(0), np.empty(0))
+            _, tokens = read(t)
+            rows = []
+            if tokens:
+                rare = np.unique(tokens.rare[0])
+                rows = [(rare, np.zeros(len(rare)), np.zeros(len(rare)))]
+                split = tokens.where(ways[tokens.code[1]] > 1, table)
+                if len(split.length):
+                    rows.append(Grams(split, order, table).parts())
+            name, n, d = (np.concatenate(x) for x in zip(*rows, strict=True)) if rows else (np.empty(0, np.uint64), np.empty(0), np.empty(0))
             return pa.table({"shard": pa.array(np.full(len(name), key[0].as_py(), np.int32)), "key": pa.array(name.view(np.int64)), "n": pa.array(n.astype(np.int64)), "d": pa.array(d.astype(np.int64))})
 
         asks = self.messages.groupBy("shard").applyInArrow(tidy(run), "shard int, key long, n long, d long")
@@ -590,12 +611,11 @@ class Model:
 
     def tried(self, run, schema: str) -> DataFrame:
         """run(texts, grams, answers, shard) of each shard."""
-        grams = self.grams()
+        read, order, table = self.reader(), self.order, self.table
 
         def call(key: tuple, t: pa.Table, got: pa.Table) -> pa.Table:
-            texts, g = grams(t)
-            got = got.sort_by("key")
-            return run(texts, g, *(got.column(x).to_numpy() for x in ("key", "n", "d")), key[0].as_py())
+            texts, tokens = read(t)
+            return run(texts, Grams(tokens, order, table) if tokens else None, *(got.column(x).to_numpy() for x in ("key", "n", "d")), key[0].as_py())
 
         return self.messages.groupBy("shard").cogroup(self.answers.groupBy("shard")).applyInArrow(tidy(call), schema)
 
@@ -630,23 +650,9 @@ def tries(df: DataFrame, train: Column, order: int = 2, discount: float = DISCOU
     return first.unionByName(model.tried(levels, "level int, shard int, trie binary"))
 
 
-_PARTS = pa.schema([
-    ("chunk", pa.int64()), ("place", pa.int32()), ("docs", pa.list_(pa.struct([("doc_id", pa.int64()), ("held_out", pa.bool_())]))),
-    ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()),
-])
-
-
-def owners(raw: bytes) -> pa.Table:
-    """The documents of each text of a chunk."""
-    t = pa.ipc.open_stream(raw).read_all().combine_chunks()
-    place = t.column("place").to_numpy()
-    head = np.flatnonzero(np.diff(place, prepend=-1))
-    docs = pa.StructArray.from_arrays([t.column(n).combine_chunks() for n in ("doc_id", "held_out")], ["doc_id", "held_out"])
-    zeros = np.zeros(len(head))
-    return pa.table({
-        "chunk": t.column("chunk").take(head), "place": t.column("place").take(head), "docs": pa.ListArray.from_arrays(np.append(head, len(place)).astype(np.int32), docs),
-        "n_tokens": t.column("n_tokens").take(head), "n_known": pa.array(zeros.astype(np.int64)), "base": pa.array(zeros), "score": pa.array(zeros),
-    }).cast(_PARTS)
+_PARTS = pa.schema([("chunk", pa.int64()), ("shard", pa.int32()), ("texts", pa.binary()), ("sums", pa.binary())])
+_SUMS = np.dtype([("place", np.uint16), ("known", np.uint32), ("base", np.float64), ("score", np.float64)])
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def score(df: DataFrame, train: Column, order: int = 2, discount: float = DISCOUNT, doc_id: str = "doc_id", text: str = "text", **sizes: int) -> DataFrame:
@@ -657,7 +663,8 @@ def score(df: DataFrame, train: Column, order: int = 2, discount: float = DISCOU
     table = model.table
 
     def run(texts: list, g: Grams | None, key: np.ndarray, count: np.ndarray, d: np.ndarray, shard: int) -> pa.Table:
-        out = [owners(r["texts"]) for r in texts]
+        """Sums of this shard's tokens, for each chunk those of its texts."""
+        out = [{"chunk": pa.ipc.open_stream(r["texts"]).read_all().column("chunk")[0].as_py(), "texts": r["texts"]} for r in texts]
         if g:
             trie = mapped(trie_of(g, key, count, d, discount))
             # of words: the table's counts and the answers, in order of hashes
@@ -668,19 +675,29 @@ def score(df: DataFrame, train: Column, order: int = 2, discount: float = DISCOU
             logs = np.log10(g.probabilities(trie, (seen + 1) / (n + v + 1)))[g.gram]
             runs = g.runs
             begin = np.cumsum(runs.length) - runs.length
-            base = np.log10(seen + 1.0)[g.word]
-            known = (seen > 0)[g.word].astype(np.int64)
-            out.append(pa.table({
-                "chunk": pa.array(runs.chunk), "place": pa.array(runs.place.astype(np.int32)), "docs": pa.nulls(len(begin), _PARTS.field("docs").type), "n_tokens": pa.array(np.zeros(len(begin), np.int64)),
-                "n_known": pa.array(np.add.reduceat(known, begin)), "base": pa.array(np.add.reduceat(base, begin)), "score": pa.array(np.add.reduceat(logs, begin)),
-            }, schema=_PARTS))
-        return pa.concat_tables(out) if out else _PARTS.empty_table()
-
-    parts = model.tried(run, "chunk long, place int, docs array<struct<doc_id:long,held_out:boolean>>, n_tokens long, n_known long, base double, score double")
-    sums = parts.groupBy("chunk", "place").agg(F.first("docs", ignorenulls=True).alias("docs"), *(F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base", "score")))
-    return sums.select(F.explode("docs").alias("doc"), "n_tokens", "n_known", "base", "score").select(
-        "doc.doc_id", "doc.held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * floor).alias("base_score"), "score"
-    )
+            sums = np.empty(len(begin), _SUMS)
+            sums["place"], sums["known"] = runs.place, np.add.reduceat((seen > 0)[g.word].astype(np.int64), begin)
+            sums["base"], sums["score"] = np.add.reduceat(np.log10(seen + 1.0)[g.word], begin), np.add.reduceat(logs, begin)
+            names, of = np.unique(runs.chunk, return_inverse=True)
+            sums = sums[np.argsort(of, kind="stable")]
+            ends = np.cumsum(np.bincount(of))
+            out += [{"chunk": c, "shard": shard, "sums": sums[b:e].tobytes()} for c, b, e in zip(names.tolist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        return pa.Table.from_pylist(out, _PARTS)
+
+    def total(t: pa.Table) -> pa.Table:
+        """The documents of a chunk with the sums of their texts over all shards."""
+        rows = t.to_pylist()
+        docs = pa.ipc.open_stream(next(r["texts"] for r in rows if r["texts"])).read_all()
+        place = docs.column("place").to_numpy()
+        sums = np.concatenate([np.frombuffer(r["sums"], _SUMS) for r in sorted((r for r in rows if r["sums"]), key=lambda r: r["shard"])])
+        known, base, score = (np.bincount(sums["place"], weights=sums[x], minlength=place.max() + 1)[place] for x in ("known", "base", "score"))
+        size = docs.column("n_tokens").to_numpy()
+        return pa.table({
+            "doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": docs.column("n_tokens"), "n_known": pa.array(known.astype(np.int64)),
+            "train_tokens": pa.array(np.full(len(size), n, np.int64)), "base_score": pa.array(base - size * floor), "score": pa.array(score),
+        })
+
+    return model.tried(run, "chunk long, shard int, texts binary, sums binary").groupBy("chunk").applyInArrow(tidy(total), SCORES)
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
