@@ -49,7 +49,7 @@ BIN_BYTES = 1 << 20
 
 _QUESTIONS = "shard int, block int, values binary, counts binary"
 _ANSWERS = "shard int, block int, classes binary"
-_SETS = "id long, n long, k binary, tokens array<long>, shingles binary"
+_SETS = "id long, h long, n long, k binary, tokens array<long>, shingles binary"
 
 
 def sets_of(t: pa.Table, width: int) -> list[np.ndarray]:
@@ -104,13 +104,13 @@ def keeper(width: int, percent: int):
             raw.append(s.tobytes() if len(head) else None)
         sizes = [len(s) for s in sets]
         lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in tokens])]).astype(np.int32), np.concatenate(tokens) if tokens else np.empty(0, np.int64))
-        return pa.table({"id": t.column("id").cast(pa.int64()), "n": pa.array(sizes, pa.int64()), "k": pa.array(names, pa.binary()), "tokens": lists, "shingles": pa.array(raw, pa.binary())})
+        return pa.table({"id": t.column("id").cast(pa.int64()), "h": t.column("h"), "n": pa.array(sizes, pa.int64()), "k": pa.array(names, pa.binary()), "tokens": lists, "shingles": pa.array(raw, pa.binary())})
 
     return keep
 
 
 def shingle_sets(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """Steps 1 and 2: (id, n, k: the set's name, tokens: its kept shingles, shingles: the set, if any is kept)."""
+    """Steps 1 and 2: (id, h: the text's hash, n, k: the set's name, tokens: its kept shingles, shingles: the set, if any is kept)."""
     docs, blocks = blocked(df, doc_id, text)
     asked = docs.groupBy("block").applyInArrow(tidy(asker(width, max(1, blocks // 3))), _QUESTIONS)
     answered = asked.groupBy("shard").applyInArrow(tidy(answer), _ANSWERS)
@@ -213,20 +213,43 @@ def links(nodes: DataFrame, groups: DataFrame, percent: int = PERCENT, tile_byte
     return done.unionByName(components(found.unionByName(second)))
 
 
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, tile_bytes: int = TILE_BYTES, tile_sets: int = TILE_SETS) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row."""
+def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, tile_bytes: int = TILE_BYTES, tile_sets: int = TILE_SETS) -> tuple[DataFrame, DataFrame]:
+    """(id, h, n, k) of every row, and (k, class) of every set: the sets that links connect have one class."""
     sets = stored(shingle_sets(df, doc_id, text, width, percent))
     nodes = stored(sets.where(F.size("tokens") > 0).groupBy("k").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("shingles").alias("shingles")))
     kept = nodes.select("k", F.explode("tokens").alias("token"))
     shared = kept.groupBy("token").agg(F.min("k").alias("b"), F.max("k").alias("last")).where("b < last").select("token", "b")
     edges = kept.join(shared, "token").where(F.col("k") != F.col("b")).select(F.col("k").alias("a"), "b").distinct()
     linked = links(nodes.select("k", "n", "shingles"), components(edges), percent, tile_bytes, tile_sets)
-    least = sets.where(F.col("k").isNotNull()).groupBy("k").agg(F.min("id").alias("least"))
-    classes = least.join(linked, least["k"] == linked["node"], "left").select("k", "least", F.coalesce("component", "k").alias("class"))
-    reached = classes.groupBy("class").agg(F.min("least").alias("component_id"))
-    by_set = classes.join(reached, "class").select(F.col("k").alias("_k"), "component_id")
-    out = sets.select("id", "n", "k").join(by_set, F.col("k") == F.col("_k"), "left")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    names = sets.where(F.col("k").isNotNull()).select("k").distinct()
+    return sets.select("id", "h", "n", "k"), names.join(linked, names["k"] == linked["node"], "left").select("k", F.coalesce("component", "k").alias("class"))
+
+
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **sizes: int) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row."""
+    sets, of = classes(df, doc_id, text, **sizes)
+    least = sets.where(F.col("k").isNotNull()).groupBy("k").agg(F.min("id").alias("least")).join(of, "k")
+    reached = least.groupBy("class").agg(F.min("least").alias("component_id"))
+    by_set = least.join(reached, "class").select("k", "component_id")
+    return sets.join(by_set, "k", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+
+
+def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **sizes: int) -> DataFrame:
+    """One row of df of each class: that with the least id (null ids last), then the least hash of the text.
+
+    Rows are told by id and text, so rows that share an id only are kept or dropped by themselves. Of rows that
+    repeat both, one stays. Rows without words link with nothing and all stay. df's columns, whatever their names.
+    """
+    sets, of = classes(df, doc_id, text, **sizes)
+    place = F.struct(F.col("id").isNull(), "id", "h")
+    per_set = sets.where(F.col("k").isNotNull()).groupBy("k").agg(F.min(place).alias("p"))
+    first = per_set.join(of, "k").groupBy("class").agg(F.min("p").alias("p")).select("p.id", "p.h").withColumn("first", F.lit(True))
+    plain = sets.where(F.col("k").isNull()).select("id", "h").distinct().withColumn("first", F.lit(False))
+    keep = first.unionByName(plain)
+    row = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("h"))
+    met = row.join(keep, row["id"].eqNullSafe(keep["id"]) & (row["h"] == keep["h"])).select("row", row["id"], row["h"], "first")
+    ones = met.where("first").groupBy("id", "h").agg(F.first("row").alias("row")).select("row.*")
+    return ones.unionByName(met.where("not first").select("row.*"))
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

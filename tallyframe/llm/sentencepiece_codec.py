@@ -44,7 +44,7 @@ _OWN_MARK = "\ud800"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEED, ALPHA, BYTE_WEIGHT = 1, 1.0, 1e-6
 #: Characters of distinct words whose lattices a task remembers; beyond them it starts again.
-REMEMBERED_CHARS = 6 << 20
+REMEMBERED_CHARS = 2 << 20
 #: Words that step backwards together, about.
 TOGETHER = 1 << 17
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+$")

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyframe.llm import graph, jaccard
 
@@ -56,3 +57,19 @@ def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(n)] + [(100, 101), (101, 100), (7, 7)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(n + 1)}, 100: 100, 101: 100}
+
+
+def test_blocks_stay_within_bounds(spark):
+    from tallyframe.llm import blocks
+
+    for rows in (spark.range(100000).selectExpr("id AS doc_id", "CAST(NULL AS STRING) AS text"), spark.range(20000).selectExpr("1L AS doc_id", f"repeat('word ', 2000) AS text")):
+        dealt, n = blocks.blocked(rows, "doc_id", "text")
+        sizes = [(r["c"], r["b"]) for r in dealt.groupBy("block").agg(F.count("*").alias("c"), F.sum(F.length("text")).alias("b")).collect()]
+        assert n > 1 and max(c for c, _ in sizes) < 1.5 * blocks.BLOCK_ROWS and max(b or 0 for _, b in sizes) < 1.5 * blocks.BLOCK_BYTES
+
+
+def test_many_rows_without_words_and_repeats(spark):
+    rows = [(i, None) for i in range(40000)] + [(7, "a b c d e f g")] * 300 + [(9, "a b c d e f g h")]
+    out = jaccard.near_duplicates(docs(spark, rows))
+    assert out.count() == len(rows)
+    assert {(r.n_shingles, r.component_id) for r in out.where("n_shingles > 0").collect()} == {(3, 7), (4, 7)}

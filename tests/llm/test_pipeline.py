@@ -64,3 +64,12 @@ def test_passages_inside_lines_go(spark, tmp_path):
 
 def test_null_texts_stay_in_line_dedup(spark, tmp_path):
     assert corpus_pipeline.drop_repeated_lines(spark, docs(spark, [(1, None), (2, "a b")]), str(tmp_path)).count() == 2
+
+
+def test_one_row_of_each_group_stays(spark, tmp_path):
+    a, b = " ".join(words(1, 60)), " ".join(words(2, 60))
+    rows = [(3, a), (5, a), (5, b), (None, a), (None, near_copy(b, 1, 1)), (8, None), (8, None), (9, " "), (5, b)]
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs(spark, rows), str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted([(3, a), (5, b), (8, None), (8, None), (9, " ")], key=str)
+    clash = docs(spark, [(1, a), (2, a)]).selectExpr("*", "1 AS row", "2 AS id", "3 AS h", "4 AS first", "5 AS nth")
+    assert [(r.doc_id, r.row, r.nth) for r in corpus_pipeline.drop_near_duplicates(spark, clash, str(tmp_path)).collect()] == [(1, 1, 5)]
