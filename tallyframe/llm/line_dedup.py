@@ -12,7 +12,7 @@ its units go, and `n_lines` and `n_removed` count units. The query cuts by lines
 Cases: a text of fewer than three lines has no window and stays as it is, as does a null or empty text.
 Later windows within one document count like those of others. Rows that share doc_id and text are one
 document and get one result, each. Equal windows are told by 96 bits of hash. Empty tables give no rows.
-Extra columns pass through; `n_lines` and `n_removed` are replaced where they exist.
+Extra columns pass through, whatever their names; `n_lines` and `n_removed` are replaced where they exist.
 
 Scale: only (96-bit hash, key, position) is shuffled for the search, with partial minimums before the
 shuffle, so a window that a third of all lines hold is one row per task; the join back is a sort-merge
@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, word_count
+from .common import fresh, table, word_count
 
 WINDOW = 3
 #: Where a sentence ends inside a line.
@@ -84,21 +84,20 @@ def _restored(kept: Column) -> Column:
 
 def dedup_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WINDOW, sentences: bool = False) -> DataFrame:
     """df with the text cut, and n_lines and n_removed."""
-    df = df.drop(*[c for c in ("n_lines", "n_removed") if c not in (text, doc_id)])
-    found = later_windows(df, text, doc_id, width, sentences)
-    keyed = df.withColumn("_key", F.xxhash64(text))
-    both = keyed.join(found, (keyed["_key"] == found["_text"]) & keyed[doc_id].eqNullSafe(found["_id"]), "left").drop("_id", "_text", "_key")
-    both = both.withColumn("_lines", (_units if sentences else _lines)(F.col(text)))
-    lines, at = F.col("_lines"), F.col("positions")
+    df = df.drop(*[c for c in df.columns if c.lower() in ("n_lines", "n_removed") and c not in (text, doc_id)])
+    key, of_id, of_text, units, stay, rest, cuts = fresh(df, "key", "id", "text", "lines", "kept", "rest", "positions")
+    found = later_windows(df, text, doc_id, width, sentences).select(F.col("_id").alias(of_id), F.col("_text").alias(of_text), F.col("positions").alias(cuts))
+    keyed = df.withColumn(key, F.xxhash64(text))
+    both = keyed.join(found, (keyed[key] == found[of_text]) & keyed[doc_id].eqNullSafe(found[of_id]), "left")
+    both = both.withColumn(units, (_units if sentences else _lines)(F.col(text)))
+    lines, at, kept = F.col(units), F.col(cuts), F.col(stay)
     covered = F.flatten(F.transform(at, lambda p: F.sequence(p["pos"], p["pos"] + p["n"] - 1)))
-    kept = F.col("_kept")
-    rest = F.transform(kept, lambda i: F.get(lines, i))
     return (
-        both.withColumn("_kept", F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered))
+        both.withColumn(stay, F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered))
         .withColumn("n_lines", F.when(F.col(text).isNotNull(), F.size(lines)))
         .withColumn("n_removed", F.when(F.col(text).isNotNull(), F.when(at.isNull(), 0).otherwise(F.size(lines) - F.size(kept))))
-        .withColumn("_rest", F.when(at.isNotNull(), rest))
-        .withColumn(text, F.when(at.isNull(), F.col(text)).otherwise(_restored(F.col("_rest")) if sentences else F.array_join("_rest", "\n")))
+        .withColumn(rest, F.when(at.isNotNull(), F.transform(kept, lambda i: F.get(lines, i))))
+        .withColumn(text, F.when(at.isNull(), F.col(text)).otherwise(_restored(F.col(rest)) if sentences else F.array_join(rest, "\n")))
         .select(*df.columns, "n_lines", "n_removed")
     )
 

@@ -6,7 +6,7 @@ all documents and different values of one format different ones:
 card    13 to 19 digits, plain or grouped, valid by Luhn: the first digit and the grouping stay, the check digit is made to fit
 iban    valid by modulo 97: country and letters stay, the other digits are permuted, the check digits made to fit
 ip      four numbers up to 255
-phone   + country code and 7 to 14 digits, or (ddd) ddd-dddd or ddd-ddd-dddd: the code and the layout stay
+phone   + country code (1 to 3 digits) and the rest, 8 to 15 digits in all, or (ddd) ddd-dddd or ddd-ddd-dddd: the code and the layout stay
 ssn     ddd-dd-dddd within the issued ranges
 date    y-m-d, d/m/y, m/d/y or d.m.y, a real day of 1900 to 2099: another real day of these years, in the same layout
 email   letters and digits of the local part move within their class; the domain stays
@@ -17,7 +17,7 @@ of its range, and an even number of rounds restores the ranges; this is a permut
 Cases: a null text stays null, an empty one empty; invalid numbers (Luhn, 97, ranges, days) and plain digit
 runs stay as they are. Repeated rows get equal results. No value is looked up anywhere: one scan, no
 shuffle, each row by itself, so hot values and long texts make no difference. Empty tables give no rows.
-Extra columns pass through unless named like a result.
+Extra columns pass through unless named like a result (n_replaced, kinds, pseudonyms).
 """
 
 from __future__ import annotations
@@ -27,9 +27,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
 
-KEY = "not-a-secret-change-me"
+#: Of the registered query only: whoever uses the operator brings a key.
+EXAMPLE_KEY = "not-a-secret-change-me"
 ROUNDS = 8
 _SEP = r"[ .\-]?"
 #: Kinds in the order in which they are tried; none holds a capturing group.
@@ -43,6 +44,11 @@ SHAPES = {
     "card": r"(?<![\w.\-])\d{13,19}(?![\w\-])|(?<![\w.\-])\d{4}([ \-])\d{4}\1\d{4}\1\d{1,7}(?![\w\-])|(?<![\w.\-])\d{4}[ \-]\d{6}[ \-]\d{5}(?![\w\-])".replace(r"([ \-])\d{4}\1\d{4}\1", r"[ \-]\d{4}[ \-]\d{4}[ \-]"),
 }
 PATTERN = "|".join(SHAPES.values())
+# Country calling codes of two digits (ITU-T E.164); 1 and 7 are codes of one digit, all others have three.
+_TWO_DIGIT_CODES = (
+    "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58",
+    "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98",
+)
 #: 1900-01-01 and the number of days to 2099-12-31; its two factors are the ranges of the halves.
 _DAY_ONE, _DAY_HALVES = "1900-01-01", (17, 4297)
 _LAYOUTS = (("y-m-d", r"^\d{4}-", "yyyy-MM-dd", "y-M-d"), ("d/m/y", "/", "dd/MM/yyyy", "d/M/y"), ("m/d/y", "/", "MM/dd/yyyy", "M/d/y"), ("d.m.y", r"\.", "dd.MM.yyyy", "d.M.y"))
@@ -135,7 +141,7 @@ def _day(m: Column) -> Column:
     return out
 
 
-def pseudonyms(matches: Column, key: str = KEY) -> Column:
+def pseudonyms(matches: Column, key: str) -> Column:
     """An array of what the pattern matched, to structs (m, kind, new); kind is null where it isn't valid, and new is m then."""
 
     def kind(m: Column) -> Column:
@@ -166,7 +172,7 @@ def pseudonyms(matches: Column, key: str = KEY) -> Column:
     def moving(s: Column) -> Column:
         """The digits that are permuted as one decimal number."""
         d, k = s["d"], s["kind"]
-        code = F.when(~s["m"].startswith("+"), 0).when(s["m"].startswith("+1"), 1).otherwise(2)
+        code = F.when(~s["m"].startswith("+"), 0).when(F.substring(d, 1, 1).isin("1", "7"), 1).when(F.substring(d, 1, 2).isin(*_TWO_DIGIT_CODES), 2).otherwise(3)
         return F.when(k == "card", F.substr(d, F.lit(2), s["n"] - 2)).when(k == "iban", F.substr(d, F.lit(3))).when(k == "phone", F.substr(d, code + 1))
 
     step = F.transform(step, lambda s: _with(s, has, core=moving(s)))
@@ -228,24 +234,25 @@ def pseudonyms(matches: Column, key: str = KEY) -> Column:
     return F.transform(step, lambda s: F.struct(s["m"].alias("m"), s["kind"].alias("kind"), new(s).alias("new")))
 
 
-def pseudonymise(df: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
-    """df with the text's personal data replaced, n_replaced, kinds and pseudonyms in order of the text."""
-    made = ("_found", "_new", "n_replaced", "kinds", "pseudonyms")
-    df = df.drop(*[c for c in made if c != text])
-    found = df.withColumn("_found", F.when(F.col(text).rlike(PATTERN), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))))
-    new = found.withColumn("_new", F.when(F.col("_found").isNotNull(), pseudonyms(F.col("_found"), key)))
+def pseudonymise(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """df with the text's personal data replaced, n_replaced, kinds and pseudonyms in order of the text. key: a secret of the caller's."""
+    made = ("n_replaced", "kinds", "pseudonyms")
+    df = df.drop(*[c for c in df.columns if c.lower() in made and c != text])
+    matches, replaced, valid = fresh(df, "found", "new", "valid")
+    found = df.withColumn(matches, F.when(F.col(text).rlike(PATTERN), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))))
+    new = found.withColumn(replaced, F.when(F.col(matches).isNotNull(), pseudonyms(F.col(matches), key)))
     between = F.split(F.col(text), PATTERN, -1)
-    whole = F.array_join(F.flatten(F.zip_with(between, F.col("_new")["new"], lambda x, y: F.array(x, F.coalesce(y, F.lit(""))))), "")
-    valid = F.filter(F.coalesce(F.col("_new"), F.array().cast("array<struct<m:string,kind:string,new:string>>")), lambda s: s["kind"].isNotNull())
+    whole = F.array_join(F.flatten(F.zip_with(between, F.col(replaced)["new"], lambda x, y: F.array(x, F.coalesce(y, F.lit(""))))), "")
+    own = F.filter(F.coalesce(F.col(replaced), F.array().cast("array<struct<m:string,kind:string,new:string>>")), lambda s: s["kind"].isNotNull())
     return (
-        new.withColumn("_valid", valid)
-        .withColumn(text, F.when(F.size("_valid") > 0, whole).otherwise(F.col(text)))
-        .withColumn("n_replaced", F.when(F.col(text).isNotNull(), F.size("_valid")))
-        .withColumn("kinds", F.when(F.col(text).isNotNull(), F.transform("_valid", lambda s: s["kind"])))
-        .withColumn("pseudonyms", F.when(F.col(text).isNotNull(), F.transform("_valid", lambda s: s["new"])))
-        .select(*df.columns, "n_replaced", "kinds", "pseudonyms")
+        new.withColumn(valid, own)
+        .withColumn(text, F.when(F.size(valid) > 0, whole).otherwise(F.col(text)))
+        .withColumn("n_replaced", F.when(F.col(text).isNotNull(), F.size(valid)))
+        .withColumn("kinds", F.when(F.col(text).isNotNull(), F.transform(valid, lambda s: s["kind"])))
+        .withColumn("pseudonyms", F.when(F.col(text).isNotNull(), F.transform(valid, lambda s: s["new"])))
+        .select(*df.columns, *made)
     )
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), EXAMPLE_KEY)

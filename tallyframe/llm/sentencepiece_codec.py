@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import mixed, release
-from .common import table
+from .common import fresh, table
 
 MARK = "▁"
 #: Stands for a space mark that the text itself holds; valid text holds no lone surrogate.
@@ -332,19 +332,23 @@ def encode_texts(texts: list[str | None], keys: list[str], known: Lattices, seed
     return np.concatenate(parts) if parts else np.empty(0, np.int32), ends
 
 
-def encode(df: DataFrame, key: str = "doc_id", text: str = "text", keep: list[str] | None = None, model: str = MODEL, seed: int = SEED, alpha: float = ALPHA, byte_weight: float = BYTE_WEIGHT) -> DataFrame:
-    """`keep` columns (all, if not given) with ids array<int>, n_pieces, text_crc32, and decoded_crc32 of what the ids decode to."""
+def encode(df: DataFrame, key: str = "doc_id", text: str = "text", keep: list[str] | None = None, model: str = MODEL, seed: int = SEED, alpha: float = ALPHA, byte_weight: float = BYTE_WEIGHT, copies: bool = False) -> DataFrame:
+    """`keep` columns (all, if not given) with ids array<int>, n_pieces, text_crc32, and decoded_crc32 of what the ids decode to.
+
+    With `copies`, a row that repeats the key and text of the row before it draws anew, by its number in the run as well.
+    """
     proto = model_bytes(model)
-    names = [c for c in (keep if keep is not None else df.columns) if c not in ("ids", "n_pieces", "text_crc32", "decoded_crc32") and c != "_key"]
-    rows = df.select(*names, *([] if text in names else [text]), F.coalesce(F.col(key).cast("string"), F.lit("\0null")).alias("_key"))
+    names = [c for c in (keep if keep is not None else df.columns) if c not in ("ids", "n_pieces", "text_crc32", "decoded_crc32") ]
+    (own,) = fresh(df, "key")
+    rows = df.select(*names, *([] if text in names else [text]), F.coalesce(F.col(key).cast("string"), F.lit("\0null")).alias(own))
     schema = df.select(*names).schema.add("n_pieces", T.IntegerType()).add("ids", T.ArrayType(T.IntegerType())).add("text_crc32", T.LongType()).add("decoded_crc32", T.LongType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = lattices(proto, alpha, byte_weight)
+        known, last = lattices(proto, alpha, byte_weight), [None, None, 0]
         try:
             for batch in batches:
                 for piece in pieces_of(batch):
-                    yield from one(piece, known)
+                    yield from one(piece, known, last)
         finally:
             known.clear()
             release()
@@ -360,8 +364,12 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", keep: list[st
         if at < batch.num_rows:
             yield batch.slice(at)
 
-    def one(batch: pa.RecordBatch, known: Lattices) -> Iterator[pa.RecordBatch]:
-        texts, keys = batch.column(text).to_pylist(), batch.column("_key").to_pylist()
+    def one(batch: pa.RecordBatch, known: Lattices, last: list) -> Iterator[pa.RecordBatch]:
+        texts, keys = batch.column(text).to_pylist(), batch.column(own).to_pylist()
+        if copies:
+            for i, pair in enumerate(zip(keys, texts, strict=True)):
+                last[:] = [*pair, last[2] + 1 if tuple(last[:2]) == pair else 0]
+                keys[i] = f"{pair[0]}\0{last[2]}" if last[2] else pair[0]
         ids, ends = encode_texts(texts, keys, known, seed)
         null = np.array([t is None for t in texts], bool)
         offsets = np.concatenate([[0], ends]).astype(np.int32)
@@ -371,9 +379,9 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", keep: list[st
         for t, stop in zip(texts, stops.tolist(), strict=True):
             back.append(None if t is None else zlib.crc32(raw[begin + 1 : stop]))
             begin = stop
-        own = [None if t is None else zlib.crc32(t.encode()) for t in texts]
+        plain = [None if t is None else zlib.crc32(t.encode()) for t in texts]
         pieces = pa.array(np.diff(offsets), pa.int32(), mask=null)
-        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pieces, lists, pa.array(own, pa.int64()), pa.array(back, pa.int64())], names=[*names, "n_pieces", "ids", "text_crc32", "decoded_crc32"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pieces, lists, pa.array(plain, pa.int64()), pa.array(back, pa.int64())], names=[*names, "n_pieces", "ids", "text_crc32", "decoded_crc32"])
 
     return rows.mapInArrow(run, schema)
 

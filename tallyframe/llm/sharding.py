@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
 
 MULTIPLIER = 2862933555777941757
 _LOW = 0xFFFFFFFF
@@ -61,22 +61,23 @@ def shard(df: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "tex
         number = F.coalesce(F.col(key).cast("long"), F.lit(0).cast("long"))
     else:
         number = F.xxhash64(F.col(key))
-    made = ("size", "text_crc32", "law", "shard", "grown_shard", "slot", "_jump", "_bucket", "_before")
-    df = df.drop(*[c for c in made if c not in (key, text)])
+    made = ("size", "text_crc32", "law", "shard", "grown_shard", "slot")
+    df = df.drop(*[c for c in df.columns if c.lower() in made and c not in (key, text)])
+    state, bucket, before_it, nth = fresh(df, "jump", "bucket", "before", "n")
     rows = (
         df.withColumn("size", F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long") + 1)
         .withColumn("text_crc32", F.crc32(F.col(text).cast("binary")))
-        .withColumn("_jump", jump(number, shards))
-        .withColumn("_bucket", F.pmod(F.coalesce(F.col("text_crc32"), F.lit(0)) + F.pmod(number, F.lit(BUCKETS)), F.lit(BUCKETS)).cast("int"))
-        .select("*", "_jump.shard", "_jump.grown_shard").drop("_jump")
+        .withColumn(state, jump(number, shards))
+        .withColumn(bucket, F.pmod(F.coalesce(F.col("text_crc32"), F.lit(0)) + F.pmod(number, F.lit(BUCKETS)), F.lit(BUCKETS)).cast("int"))
+        .select("*", f"{state}.shard", f"{state}.grown_shard").drop(state)
     )
-    counts = rows.groupBy("shard", "_bucket").count()
-    so_far = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select("shard", "_bucket", F.coalesce(F.sum("count").over(so_far), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("shard", "_bucket").orderBy(key, "text_crc32", "size")
+    counts = rows.groupBy("shard", bucket).count()
+    so_far = Window.partitionBy("shard").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("shard", bucket, F.coalesce(F.sum("count").over(so_far), F.lit(0)).alias(before_it))
+    within = Window.partitionBy("shard", bucket).orderBy(key, "text_crc32", "size")
     return (
-        rows.withColumn("_n", F.row_number().over(within)).join(F.broadcast(before), ["shard", "_bucket"])
-        .withColumn("slot", F.col("_before") + F.col("_n") - 1).drop("_bucket", "_before", "_n").withColumn("law", F.lit("key"))
+        rows.withColumn(nth, F.row_number().over(within)).join(F.broadcast(before), ["shard", bucket])
+        .withColumn("slot", F.col(before_it) + F.col(nth) - 1).drop(bucket, before_it, nth).withColumn("law", F.lit("key"))
     )
 
 

@@ -45,3 +45,12 @@ def test_sentences_cover_passages_inside_lines(spark):
 def test_few_short_sentences_stay(spark):
     rows = [(1, "a b. c. d.\ne f. g h."), (2, "x. y. z. q. a b. c. Then.\ne f. g h."), (3, "g h. " * 2 + "p.")]
     assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs(spark, rows), sentences=True).collect()} == dict(rows)
+
+
+def test_columns_keep_their_values(spark):
+    names = ["positions", "_key", "_id", "_text", "_lines", "_kept", "_rest", "w", "pos", "h", "g"]
+    clash = docs(spark, [(1, "a\nb\nc\nd"), (2, "a\nb\nc\ne"), (3, None)]).selectExpr("*", *[f"{i} AS {n}" for i, n in enumerate(names)])
+    for sentences in (False, True):
+        out = line_dedup.dedup_lines(clash, sentences=sentences)
+        assert [tuple(r) for r in out.select(*names).distinct().collect()] == [tuple(range(len(names)))]
+        assert {r.doc_id: r.text for r in out.collect()} == {1: "a\nb\nc\nd", 2: "e", 3: None}

@@ -75,3 +75,23 @@ def test_expected_rate(spark):
 def test_empty(spark):
     assert mixing.copies(docs(spark, [])).count() == 0
     assert mixing.mix(docs(spark, [(1, "a", None, None)]).selectExpr("*", "5 AS extra")).count() in (1, 2)
+
+
+def test_columns_keep_their_values(spark, rows):
+    names = ["_size", "_source_size", "_target", "_copies", "_source", "_copy", "k", "row", "top", "w"]
+    clash = docs(spark, rows).selectExpr("*", *[f"{i} AS {n}" for i, n in enumerate(names)])
+    out = mixing.mix(clash)
+    assert out.columns == clash.columns
+    assert [tuple(r) for r in out.select(*names).distinct().collect()] == [tuple(range(len(names)))]
+    assert mixing.mix(docs(spark, rows)).count() == out.count()
+
+
+def test_many_sources(spark):
+    rows = [(i, "w " * (1 + i % 11), None, f"http://s{i * 7919 % 3000:04d}") for i in range(6000)] + [(9999, "w " * 4000, None, "a"), (10000, "w", None, None)]
+    sizes = {}
+    for _, t, _, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    sized = docs(spark, rows).repartition(7).selectExpr("source", "size(split(trim(text), ' ')) AS size")
+    got = {r.source: r.target for r in mixing.source_targets(sized).collect()}
+    want = fixpoint(sizes)
+    assert got.keys() == want.keys() and all(got[s] == pytest.approx(want[s]) for s in want)

@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 import re
 
 import pytest
@@ -7,6 +8,8 @@ from tallyframe.llm import pii
 
 from .helpers import corpus, docs, save
 
+KEY = "a key of the tests"
+
 
 def luhn(s):
     d = [int(c) for c in s][::-1]
@@ -18,7 +21,7 @@ def mod97(s):
 
 
 def changed(spark, texts):
-    return [r for r in pii.pseudonymise(docs(spark, list(enumerate(texts)))).orderBy("doc_id").collect()]
+    return [r for r in pii.pseudonymise(docs(spark, list(enumerate(texts))), KEY).orderBy("doc_id").collect()]
 
 
 def test_cards(spark):
@@ -79,12 +82,65 @@ def test_query_and_cases(spark, tmp_path):
     out = pii.op5_pii(spark, save(docs(spark, rows), tmp_path)).collect()
     assert {r.doc_id: r.text for r in out} == dict(rows)
     assert all(r.n_replaced == (None if r.text is None else 0) for r in out)
-    assert pii.pseudonymise(docs(spark, [])).count() == 0
+    assert pii.pseudonymise(docs(spark, []), KEY).count() == 0
     clash = docs(spark, [(None, "10.0.0.1"), (1, "10.0.0.1")]).selectExpr("*", "1 AS kinds", "2 AS m")
-    got = pii.pseudonymise(clash).collect()
+    got = pii.pseudonymise(clash, KEY).collect()
     assert len({r.text for r in got}) == 1 and got[0].kinds == ["ip"]
 
 
 def test_plan_is_native(spark):
-    plan = pii.pseudonymise(docs(spark, [(1, "a")]))._jdf.queryExecution().toString()
+    plan = pii.pseudonymise(docs(spark, [(1, "a")]), KEY)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def feistel(kind, a, b, ma, mb):
+    """The permutation, written anew."""
+    for i in range(pii.ROUNDS):
+        m = ma if i % 2 == 0 else mb
+        draw = int(hashlib.sha256(f"{KEY}|{kind}|{ma}|{mb}|{i}|{b}".encode()).hexdigest()[:15], 16)
+        a, b = b, (a + draw) % m
+    return a, b
+
+
+def test_numbers_against_a_plain_version(spark):
+    ips = ["10.0.0.1", "192.168.3.250", "8.8.8.8"]
+    cards = ["4111111111111111", "5500005555555559", "378282246310005"]
+    phones = ["+353861234567", "+442079460958", "+12125551234", "+79161234567", "(212) 555-1234"]
+    days = ["2021-02-28", "1999-12-31"]
+    want = []
+    for x in ips:
+        o = [int(n) for n in x.split(".")]
+        a, b = feistel("ip", o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536)
+        want.append(f"{a >> 8}.{a % 256}.{b >> 8}.{b % 256}")
+
+    def core(kind, digits):
+        cut = len(digits) // 2
+        a, b = feistel(kind, int(digits[:cut]), int(digits[cut:]), 10**cut, 10 ** (len(digits) - cut))
+        return f"{a:0{cut}d}{b:0{len(digits) - cut}d}"
+
+    for x in cards:
+        start = x[0] + core("card", x[1:-1])
+        want.append(next(start + str(c) for c in range(10) if luhn(start + str(c))))
+    for x, code in zip(phones, (3, 2, 1, 1, 0), strict=True):
+        d = re.sub(r"\D", "", x)
+        new = iter(d[:code] + core("phone", d[code:]))
+        want.append("".join(next(new) if c.isdigit() else c for c in x))
+    for x in days:
+        n = (dt.date.fromisoformat(x) - dt.date(1900, 1, 1)).days
+        a, b = feistel("date", n // 4297, n % 4297, 17, 4297)
+        want.append(str(dt.date(1900, 1, 1) + dt.timedelta(a * 4297 + b)))
+    got = [p for r in changed(spark, [f"see {x} now" for x in ips + cards + phones + days]) for p in r.pseudonyms]
+    assert got == want
+
+
+def test_country_codes_stay(spark):
+    (r,) = changed(spark, ["+353 86 123 4567 x +353 86 123 4568 +30 21 0123 4567"])
+    assert re.fullmatch(r"\+353 \d\d \d{3} \d{4} x \+353 \d\d \d{3} \d{4} \+30 \d\d \d{4} \d{4}", r.text)
+
+
+def test_a_key_is_required_and_columns_keep_their_values(spark):
+    with pytest.raises(TypeError):
+        pii.pseudonymise(docs(spark, [(1, "a")]))
+    clash = docs(spark, [(1, "ip 10.0.0.1")]).selectExpr("*", "1 AS _found", "2 AS _new", "3 AS _VALID", "4 AS __valid")
+    r = pii.pseudonymise(clash, KEY).first()
+    assert (r._found, r._new, r["_VALID"], r["__valid"], r.n_replaced) == (1, 2, 3, 4, 1)

@@ -4,7 +4,7 @@ import pytest
 
 from tallyframe.llm import sentencepiece_codec as sp
 
-from .helpers import corpus, docs, save
+from .helpers import corpus, docs, save, words
 
 TEXTS = ["a", "  a", "", " ", " a\n\n b", "ﬁ ½ é é ▁x\x00 ▁▁ 漢字 🎉", "x" * 5000, "▁", "the " * 3, "漢" * 40, "\t\r\n", "é" * 33]
 
@@ -96,3 +96,24 @@ def test_empty_table_and_clashing_names(spark):
     assert sp.encode(docs(spark, [])).count() == 0
     clash = docs(spark, [(1, "a b")]).selectExpr("doc_id", "text", "'x' AS ids", "'y' AS n_pieces", "1 AS _key")
     assert sp.encode(clash).first().n_pieces == 2
+
+
+def test_copies_draw_anew(spark):
+    text = " ".join(words(3, 60))
+    frame = docs(spark, [(1, text)] * 3 + [(2, text), (2, text + " x"), (3, None), (3, None)]).coalesce(1)
+    got = sp.encode(frame, keep=["doc_id"], copies=True).collect()
+    ids = [None if r.ids is None else tuple(r.ids) for r in got if r.doc_id == 1]
+    assert len(set(ids)) == 3 and all(r.text_crc32 == r.decoded_crc32 for r in got)
+    assert len({tuple(r.ids) for r in sp.encode(frame, keep=["doc_id"]).where("doc_id = 1").collect()}) == 1
+    assert sp.encode(frame.selectExpr("*", "7 AS _key")).first()._key == 7
+
+
+def test_texts_over_several_parts_of_a_batch(spark):
+    """Parts of a batch of about 4 MB don't change what a row gets."""
+    long = " ".join(words(4, 400000))
+    rows = [(i, " ".join(words(i, 30))) for i in range(40)] + [(100, long), (101, long), (102, None)] + [(200 + i, " ".join(words(i, 30))) for i in range(40)]
+    whole = {r.doc_id: r for r in sp.encode(docs(spark, rows).coalesce(1), keep=["doc_id"]).collect()}
+    assert all(r.text_crc32 == r.decoded_crc32 for r in whole.values()) and len(whole) == len(rows)
+    for i in (0, 39, 200, 239):
+        one = sp.encode(docs(spark, [(i, dict(rows)[i])]), keep=["doc_id"]).first()
+        assert list(one.ids) == list(whole[i].ids)

@@ -48,3 +48,10 @@ def test_text_keys(spark):
 def test_plan_is_native(spark):
     plan = sharding.shard(docs(spark, [(1, "a")]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_columns_keep_their_values(spark):
+    names = ["_n", "_jump", "_bucket", "_before", "hi", "lo"]
+    clash = docs(spark, [(1, "a"), (1, "a"), (2, None)]).selectExpr("*", *[f"{i} AS {n}" for i, n in enumerate(names)])
+    out = sharding.shard(clash)
+    assert [tuple(r) for r in out.select(*names).distinct().collect()] == [tuple(range(len(names)))] and out.count() == 3
