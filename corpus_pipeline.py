@@ -35,13 +35,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's rate draws them."""
+    """Documents as often as their source's rate draws them, decided by their id; null sources are a source, null texts have no words. Repeated rows are drawn alike."""
     return mixing.mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sampled piece ids of every copy."""
-    return sentencepiece_codec.encode(docs, keep=["doc_id", "lang", "source"])
+    """Sampled piece ids of every copy; copies, which lie next to each other, draw each for itself. A null text has null ids."""
+    return sentencepiece_codec.encode(docs, keep=["doc_id", "lang", "source"], copies=True)
 
 
 STAGES = [
