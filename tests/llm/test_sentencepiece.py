@@ -99,7 +99,7 @@ def test_empty_table_and_clashing_names(spark):
 
 
 def test_copies_draw_anew(spark):
-    text = " ".join(words(3, 60))
+    text = "many other people read this whole story again and wonder about its ending " * 6
     frame = docs(spark, [(1, text)] * 3 + [(2, text), (2, text + " x"), (3, None), (3, None)]).coalesce(1)
     got = sp.encode(frame, keep=["doc_id"], copies=True).collect()
     ids = [None if r.ids is None else tuple(r.ids) for r in got if r.doc_id == 1]
