@@ -81,7 +81,8 @@ def upsert(old: DataFrame, new: DataFrame, key: str, version: str | None = None)
     """old with new's rows by key: new columns win where they are set; with a version, the later row wins whole."""
     if version:
         both = old.unionByName(new, allowMissingColumns=True)
-        last = Window.partitionBy(key).orderBy(F.desc(version))
+        # of equal versions the greatest content, so that the result is determined
+        last = Window.partitionBy(key).orderBy(F.desc(version), F.desc(F.to_json(F.struct(*[c for c in both.columns if c != key]))))
         return both.withColumn("_k", F.row_number().over(last)).where("_k = 1").drop("_k")
     other = new.select(*[F.col(c).alias(f"_{c}") for c in new.columns])
     out = old.join(other, old[key] == other[f"_{key}"], "full_outer")

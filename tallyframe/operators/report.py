@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.functions.fields import promotable, relative_text
+from tallyframe.functions.fields import promotable, relative_text, requires_review
 from tallyframe.functions.geometry import Box
 from tallyframe.functions.text import trimmed
 
@@ -65,6 +65,24 @@ def can_teach(holes: DataFrame) -> DataFrame:
     return holes.groupBy("card_id").agg(F.bool_and(promotable(F.col("par.value"), F.col("par.provenance"))).alias("can_teach"))
 
 
+def can_offer_remote(holes: DataFrame, players: DataFrame) -> DataFrame:
+    """(card_id, offer_remote): some score needs review, or no row was found. players: (card_id, n_players)."""
+    weak = requires_review(F.col("score.value"), F.col("score.confidence"), F.col("score.provenance"))
+    open_cards = holes.groupBy("card_id").agg(F.bool_or(weak).alias("weak"))
+    return open_cards.join(players.select("card_id", "n_players"), "card_id", "left").select("card_id", (F.col("weak") | (F.coalesce("n_players", F.lit(0)) == 0)).alias("offer_remote"))
+
+
+def half_text(half: Column, outcome: Column, total: Column, written: Column, unread: Column, hole: Column, missing: Column) -> Column:
+    """What to tell of a half's checksum; null where all is well."""
+    side = F.concat(half, F.lit(" nine"))
+    return (
+        F.when(outcome == "discrepancy", F.concat(side, F.lit(": scores sum to "), total.cast("string"), F.lit(", written is "), written.cast("string")))
+        .when(outcome == "underdetermined", F.concat(side, F.lit(": "), plural(F.size(unread), "score"), F.lit(" unread, the written total can't settle them")))
+        .when(outcome == "implausible", F.concat(side, F.lit(": hole "), hole.cast("string"), F.lit(" would be "), missing.cast("string"), F.lit(", so the written total is doubtful")))
+        .when(outcome == "solved", F.concat(side, F.lit(": hole "), hole.cast("string"), F.lit(" worked out as "), missing.cast("string")))
+    )
+
+
 def split_tokens(lines: DataFrame) -> DataFrame:
     """lines (card_id, line_seq, text, x, y, w, h, confidence, pass, alternatives) to one observation per word, its box in proportion to its place in the text; alternatives stay with single words."""
     words = F.filter(F.split(trimmed(F.col("text")), r"\s+"), lambda t: t != "")

@@ -57,7 +57,7 @@ def _solve(cards: DataFrame, holes: DataFrame, players: DataFrame, chosen: DataF
 
 
 def solver_warnings(halves: DataFrame) -> DataFrame:
-    """(card_id, solver_warnings): a half whose sum differs or whose one hole can't be what is missing is doubtful; several unread holes are missing."""
+    """(card_id, solver_warnings): a half whose sum differs or whose one hole can't be what is missing is doubtful; several unread holes are missing; holes worked out from a written total deserve a glance."""
     o = F.col("outcome")
     no_holes = F.array().cast("array<int>")
     one = F.coalesce(
@@ -66,7 +66,9 @@ def solver_warnings(halves: DataFrame) -> DataFrame:
         confidence.warning(o == "underdetermined", "someScoresMissing", "warning", F.col("unread")),
     )
     listed = F.array_sort(F.collect_list(F.when(one.isNotNull(), F.struct((F.col("half") == "back").alias("back"), one.alias("w")))))
-    return halves.groupBy("card_id").agg(listed["w"].alias("solver_warnings"))
+    solved = F.array_sort(F.collect_list(F.when(o == "solved", F.col("hole"))))
+    worked_out = confidence.listed(confidence.warning(F.size(solved) > 0, "someScoresLowConfidence", "info", solved))
+    return halves.groupBy("card_id").agg(F.concat(listed["w"], worked_out).alias("solver_warnings"))
 
 
 def parse(obs: DataFrame, templates: DataFrame, overrides: DataFrame | None = None, requested: DataFrame | None = None, config: Config = Config(), keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> Scorecards:
@@ -132,6 +134,23 @@ def apply_edits(cards: Scorecards, edits: DataFrame) -> Scorecards:
     return replace(cards, holes=holes, scores=scores)
 
 
+def reidentify(old: Scorecards, new: Scorecards) -> Scorecards:
+    """new with the row that was chosen in old, found again by its place; nobody where the place is gone or nobody was chosen."""
+    place = old.cards.where("selected IS NOT NULL").select("card_id", F.col("selected").alias("player_seq"))
+    there = new.players.select("card_id", "player_seq").join(place, ["card_id", "player_seq"], "left_semi")
+    bare = replace(new, cards=new.cards.withColumn("selected", F.lit(None).cast("int")))
+    return select_player(bare, there)
+
+
+def reparse_with(obs: DataFrame, recovered: DataFrame, old: Scorecards, templates: DataFrame, overrides: DataFrame | None = None, config: Config = Config(), keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[Scorecards, DataFrame]:
+    """A second parse of the cards that targeted readings (rows like obs) were recovered for, with them appended; and (card_id, adopt)."""
+    again = obs.join(recovered.select("card_id").distinct(), "card_id", "left_semi")
+    last = again.groupBy("card_id").agg(F.max("obs_seq").alias("_last"))
+    added = recovered.join(last, "card_id").withColumn("obs_seq", F.col("obs_seq") + F.col("_last") + 1).select(obs.columns)
+    new = parse(again.unionByName(added), templates, overrides, config=config, keep=keep)
+    return new, better_reparse(old, new)
+
+
 def better_reparse(old: Scorecards, new: Scorecards) -> DataFrame:
     """(card_id, adopt): a second parse is taken if it has more scores and as many holes."""
     o = old.cards.select("card_id", F.col("scored").alias("o"), F.col("hole_count").alias("oh"))

@@ -365,7 +365,11 @@ def orphans_anti(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     refs = o.select(F.when(F.col("o_orderstatus") == "F", F.col("o_custkey")).alias("original"), F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_custkey")).alias("normalized"))
     files = table(spark, sf_dir, "customer").where("c_acctbal > 100").select(F.col("c_custkey").alias("file_id"))
-    return history.orphans(files, refs)
+    from tallyframe.sources import store
+
+    old = F.to_timestamp(F.lit("2000-01-01"))
+    renamed = refs.select(F.col("original").alias("original_filename"), F.col("normalized").alias("normalized_filename"))
+    return store.orphan_images(files.select(F.col("file_id").alias("filename"), old.alias("modified")), renamed, F.to_timestamp(F.lit("2025-01-01"))).select(F.col("filename").alias("file_id"))
 
 
 @query("""WITH l AS (SELECT p_partkey + CASE WHEN p_partkey % 10 = 0 THEN 1000000 ELSE 0 END AS id, 'learned ' || p_name AS name, p_size AS version FROM part WHERE p_partkey % 5 = 0)
@@ -392,9 +396,12 @@ def json_payload_sanitize(spark, sf_dir):
 
 @query("""SELECT p_partkey, p_name, p_type FROM part WHERE contains(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')), 'wid') OR contains(trim(regexp_replace(lower(p_type), '[^a-z0-9]+', ' ', 'g')), 'econ') OR contains(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')), 'small b')""")
 def catalog_search(spark, sf_dir):
+    from tallyframe.sources import store
+
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
-    name, kind = text.normalize_name(F.col("p_name")), text.normalize_name(F.col("p_type"))
-    return p.where(name.contains("wid") | kind.contains("econ") | name.contains("small b"))
+    named, typed = p.withColumns({"name": F.col("p_name"), "city": F.lit("")}), p.withColumns({"name": F.lit(""), "city": F.col("p_type")})
+    hits = [store.search(named, "wid"), store.search(typed, "econ"), store.search(named, "small b")]
+    return hits[0].unionByName(hits[1]).unionByName(hits[2]).select("p_partkey", "p_name", "p_type").distinct()
 
 
 @query("""WITH t AS (SELECT conv_id, turn, trim(split_part(text, chr(10), 1)) AS line FROM conversations), d AS (SELECT conv_id, line, MIN(turn) AS turn FROM t WHERE len(line) >= 3 GROUP BY 1, 2)
@@ -482,9 +489,12 @@ def box_overlaps(spark, sf_dir):
 
 @query("""SELECT o_orderkey, o_orderpriority AS severity, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 ELSE 2 END, o_orderkey)::INT AS position FROM orders""")
 def warnings_by_severity(spark, sf_dir):
-    rank = F.when(F.col("o_orderpriority") == "1-URGENT", 0).when(F.col("o_orderpriority") == "2-HIGH", 1).otherwise(2)
-    order = Window.partitionBy("o_custkey").orderBy(rank, "o_orderkey")
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("severity"), F.row_number().over(order).alias("position"))
+    from tallyframe.operators import confidence
+
+    rank = F.when(F.col("o_orderpriority") == "1-URGENT", "blocking").when(F.col("o_orderpriority") == "2-HIGH", "warning").otherwise("info")
+    one = F.struct("o_orderkey", F.col("o_orderpriority").alias("kind"), rank.alias("severity"))
+    g = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(one)).alias("w"))
+    return g.select(F.posexplode(confidence.by_severity(F.col("w"))).alias("at", "x")).select("x.o_orderkey", F.col("x.kind").alias("severity"), (F.col("at") + 1).alias("position"))
 
 
 @query("""SELECT date_trunc('hour', ts) AS start, event_type, COUNT(*) AS n FROM events GROUP BY 1, 2""")

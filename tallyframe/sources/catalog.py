@@ -102,26 +102,34 @@ def available(spark: SparkSession, learned: DataFrame | None = None) -> DataFram
 
 
 def learn(scorecards: DataFrame, card_holes: DataFrame, existing: DataFrame) -> DataFrame:
-    """Templates from confirmed cards: (template_id, pars, indexes, tees, verification, version).
+    """Templates from confirmed cards, one row each: (template_id, hole_count, pars, indexes, tees, verification, version).
 
     scorecards: (card_id, template_id, tee); card_holes: (card_id, hole, and value and provenance of par,
     stroke_index, yards). Only what was read or edited is promoted; a card with an unknown par teaches
-    nothing. Known yards of the same tee stay where the card has none.
+    nothing. All cards of a template are folded at once: of pars, indexes and a tee's yards, the value of the
+    last card (by id) that knows it, then what was known before; the version rises by one.
     """
     take = lambda c: F.when(promotable(F.col(c), F.col(f"{c}_provenance")), F.col(c))
     fields = card_holes.select("card_id", "hole", *[take(c).alias(c) for c in ("par", "stroke_index", "yards")])
-    listed = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("hole", c))), lambda s: s[c])
-    cards = fields.groupBy("card_id").agg(F.bool_and(F.col("par").isNotNull()).alias("ok"), listed("par").alias("pars"), listed("stroke_index").alias("indexes"), listed("yards").alias("yards")).where("ok")
-    new = scorecards.join(cards, "card_id")
-    old = existing.select("template_id", F.col("tees").alias("old_tees"), F.col("version").alias("old_version"))
-    both = new.join(old, "template_id", "left").withColumn("old_tees", F.coalesce("old_tees", F.array().cast(f"array<{TEE}>")))
-    mine = F.get(F.filter("old_tees", lambda t: F.lower(t["name"]) == F.lower(F.col("tee"))), F.lit(0))
-    merged = F.when(mine.isNull(), F.col("yards")).otherwise(F.zip_with(F.col("yards"), mine["yards"], lambda a, b: F.coalesce(a, b)))
-    tee = F.when(F.col("tee").isNotNull() & F.exists("yards", lambda y: y.isNotNull()), F.struct(F.col("tee").alias("name"), F.coalesce(mine["color"], F.lower("tee")).alias("color"), merged.alias("yards")))
-    others = F.filter("old_tees", lambda t: F.lower(t["name"]) != F.coalesce(F.lower("tee"), F.lit("")))
-    out = both.withColumn("tees", F.when(tee.isNull(), F.col("old_tees")).otherwise(F.concat(others, F.array(tee))))
-    whole = (F.size("tees") > 0) & F.forall("tees", lambda t: complete_yards(t["yards"])) & F.forall("indexes", lambda i: i.isNotNull())
-    return out.select("card_id", "template_id", F.size("pars").alias("hole_count"), "pars", "indexes", "tees", F.when(whole, "userConfirmed").otherwise("partial").alias("verification"), (F.coalesce("old_version", F.lit(0)) + 1).alias("version"))
+    whole = fields.groupBy("card_id").agg(F.bool_and(F.col("par").isNotNull()).alias("ok")).where("ok").select("card_id")
+    taught = fields.join(whole, "card_id").join(scorecards.select("card_id", "template_id", "tee"), "card_id")
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("card_id")))
+    listed = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("hole", c))), lambda s: s[c]).alias(c)
+    course = taught.groupBy("template_id", "hole").agg(last("par").alias("pars"), last("stroke_index").alias("indexes")).groupBy("template_id").agg(listed("pars"), listed("indexes"))
+    by_hole = taught.where("tee IS NOT NULL").groupBy("template_id", F.lower("tee").alias("key"), "hole").agg(F.max("tee").alias("tee"), last("yards").alias("yards"))
+    read = by_hole.groupBy("template_id", "key").agg(F.max("tee").alias("name"), listed("yards")).where(F.exists("yards", lambda y: y.isNotNull()))
+    old = existing.select("template_id", F.col("version").alias("old_version"), F.posexplode_outer("tees").alias("place", "t"))
+    known = old.where("t IS NOT NULL").select("template_id", F.lower("t.name").alias("key"), "place", "t").join(course.select("template_id"), "template_id", "left_semi")
+    both = known.join(read, ["template_id", "key"], "full_outer")
+    longest = F.greatest(F.size(F.coalesce("yards", F.array().cast("array<int>"))), F.size(F.coalesce("t.yards", F.array().cast("array<int>"))))
+    merged = F.transform(F.sequence(F.lit(0), longest - 1), lambda i: F.coalesce(F.get("yards", i), F.get("t.yards", i)))
+    tee = F.struct(F.coalesce("t.name", "name").alias("name"), F.coalesce("t.color", "key").alias("color"), F.when(longest > 0, merged).otherwise(F.array().cast("array<int>")).alias("yards"))
+    # tees keep their order; new ones follow by name
+    tees = both.groupBy("template_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("place", F.lit(1_000_000)).alias("place"), "key", tee.alias("tee")))), lambda s: s["tee"]).alias("tees"))
+    versions = existing.select("template_id", F.col("version").alias("old_version"))
+    out = course.join(tees, "template_id", "left").join(versions, "template_id", "left").withColumn("tees", F.coalesce("tees", F.array().cast(f"array<{TEE}>")))
+    done = (F.size("tees") > 0) & F.forall("tees", lambda t: complete_yards(t["yards"])) & F.forall("indexes", lambda i: i.isNotNull())
+    return out.select("template_id", F.size("pars").alias("hole_count"), "pars", "indexes", "tees", F.when(done, "userConfirmed").otherwise("partial").alias("verification"), (F.coalesce("old_version", F.lit(0)) + 1).alias("version"))
 
 
 def save_learned(stored: DataFrame, new: DataFrame) -> DataFrame:

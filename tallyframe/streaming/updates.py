@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -23,23 +23,38 @@ def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 mi
 
 
 def merge_learned(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Each batch of learned layouts (template_id, version, payload) is merged into the table at path, the highest version winning; a batch that comes twice changes nothing."""
+    """Each batch of learned layouts (template_id, version, payload) is merged into the table at path, the highest version winning; a batch that comes twice changes nothing.
+
+    The new table is written whole beside the old one, and then takes its name; whatever fails in between, one of both is there.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        last = Window.partitionBy("template_id").orderBy(F.desc("version"), "payload")
-        new = batch.withColumn("_k", F.row_number().over(last)).where("_k = 1").drop("_k")
-        old = read(spark, path, batch)
-        history.upsert(old, new, "template_id", "version").write.mode("overwrite").parquet(f"{path}/batch={number % 2}.next")
-        spark.read.parquet(f"{path}/batch={number % 2}.next").write.mode("overwrite").parquet(f"{path}/current")
+        merged = history.upsert(read(batch.sparkSession, path, batch), batch, "template_id", "version")
+        merged.write.mode("overwrite").parquet(f"{path}/next")
+        swap(batch.sparkSession, path)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _files(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    at = {n: jvm.org.apache.hadoop.fs.Path(f"{path}/{n}") for n in ("current", "previous", "next")}
+    return at["current"].getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def swap(spark: SparkSession, path: str) -> None:
+    """`next` becomes `current`, and `current` becomes `previous`. Where a swap broke off without `current`, `previous` is the last whole table and stays."""
+    fs, at = _files(spark, path)
+    if fs.exists(at["current"]):
+        fs.delete(at["previous"], True)
+        fs.rename(at["current"], at["previous"])
+    fs.rename(at["next"], at["current"])
+
+
 def read(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     """The merged table so far; empty before the first batch."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(f"{path}/current")
-    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-        return spark.read.parquet(f"{path}/current")
+    fs, at = _files(spark, path)
+    for name in ("current", "previous"):
+        if fs.exists(at[name]):
+            return spark.read.parquet(f"{path}/{name}")
     return like.limit(0)

@@ -133,6 +133,16 @@ def test_learning(spark):
     assert len(got) == 1 and (got[0].template_id, got[0].verification, got[0].version) == ("ga-wolf-creek", "userConfirmed", 2) and got[0].tees[0].yards[0] == 301
 
 
+def test_cards_of_one_batch_are_folded(spark):
+    cards = spark.createDataFrame([("a", "ga-wolf-creek", "Blue"), ("b", "ga-wolf-creek", "White"), ("c", "ga-wolf-creek", "blue"), ("d", catalog.GOLDEN_ID, "Red")], "card_id string, template_id string, tee string")
+    rows = [(k, h, 4, "ocr", h, "ocr", None if (k, h) == ("c", 2) else n + h, "ocr") for k, n in zip("abcd", (300, 200, 400, 100), strict=True) for h in range(1, 19)]
+    h = spark.createDataFrame(rows, "card_id string, hole int, par int, par_provenance string, stroke_index int, stroke_index_provenance string, yards int, yards_provenance string")
+    got = {r.template_id: r for r in catalog.learn(cards, h, catalog.seed(spark)).collect()}
+    wolf, golden = got["ga-wolf-creek"], got[catalog.GOLDEN_ID]
+    assert len(got) == 2 and wolf.version == 2 and {t.name.lower(): t.yards[:3] for t in wolf.tees} == {"blue": [401, 302, 403], "white": [201, 202, 203]}
+    assert [t.name for t in golden.tees] == ["Black", "White", "Red"] and golden.tees[2].yards[0] == 101 and golden.tees[0].yards == list(catalog.GOLDEN_YARDS["Black"]) and golden.version == 3
+
+
 def test_catalogue(spark):
     seed = catalog.seed(spark)
     assert seed.count() == 17 and seed.where(catalog.hole_data_usable()).count() == 1

@@ -17,6 +17,17 @@ def test_learned_layouts_are_merged(spark, tmp_path):
     assert got.count() == 3 and got.agg(F.max("version")).first()[0] == 7
 
 
+def test_a_broken_swap_loses_nothing(spark, tmp_path):
+    at = str(tmp_path / "table")
+    one = catalog.encode(catalog.seed(spark).limit(3))
+    one.write.parquet(f"{at}/current")
+    (tmp_path / "table" / "current").rename(tmp_path / "table" / "previous")  # as if it had stopped between the two renames
+    assert updates.read(spark, at, one).count() == 3
+    one.limit(2).write.parquet(f"{at}/next")
+    updates.swap(spark, at)
+    assert updates.read(spark, at, one).count() == 2 and spark.read.parquet(f"{at}/previous").count() == 3
+
+
 def test_latest_edit_wins(spark):
     rows = [("a", 1, 4, "2025-01-01 10:00:00"), ("a", 1, 6, "2025-01-01 11:00:00"), ("a", 2, 3, "2025-01-01 09:00:00")]
     e = spark.createDataFrame(rows, "card_id string, hole int, value int, at string").withColumn("at", F.to_timestamp("at"))
