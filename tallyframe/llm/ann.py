@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .vectors import answer, grid, ids, matrix, usable
+from .vectors import answer, ids, matrix, ranked, tiles, usable
 
 #: Columns of one tile of products, queries of one strip.
 TILE, STRIP = 256, 256
@@ -92,7 +92,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     """vectors: (id, vec array<double>). (query_id, rank, vec_id, score) for the rows where is_query holds."""
     sized = vectors.withColumn("dim", F.size("vec"))
     queries = sized.where(is_query).groupBy("id").agg(F.min("vec").alias("vec")).withColumn("dim", F.size("vec"))
-    return grid(queries, sized, joiner(k), "query_id long, vec_id long, score double", k)
+    return ranked(tiles(queries, sized, joiner(k), "query_id long, vec_id long, score double"), k)
 
 
 def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

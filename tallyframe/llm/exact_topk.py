@@ -1,80 +1,91 @@
 """Exact top-k by vector-approximation files (Weber, Schek and Blott, 1998).
 
-Each vector is kept beside its approximation: one small cell number per component. A scan of the cells
-bounds the inner product with a query from both sides; the exact vectors are then read in order of their
-bound, best first, until the k-th result found is certain, that is until no unread bound can reach it.
+1. The approximation file holds one byte for each component, the number of its cell; only these bytes and
+   the queries travel to the tiles of the scan. A tile bounds each inner product from both sides and keeps,
+   for each query, what can still be among its k best there.
+2. Over all tiles, the k-th best lower bound of a query leaves few candidates.
+3. Exact vectors are then read by id, for each query in order of its candidates' bounds, best first: READ of
+   them, and, for queries whose k-th result an unread bound can still reach, four times as many in the next
+   round, until all are certain. Vectors that no query needs are never read whole.
 
 Cases: vectors that are null or hold null or non-finite components take no part, nor do null ids. Vectors
 of other lengths than the query's are no candidates of it. Ties go to the smaller vec_id. A query's own
 row, and any other row with its id, is no candidate; if rows repeat an id, each is a candidate and the
-smallest vector of them is the query. Fewer than k candidates: all of them. Empty tables give no rows.
+smallest vector of them is the query; rows that repeat id and vector are scored once and listed each.
+Fewer than k candidates: all of them. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
-from .vectors import answer, grid, ids, matrix, usable
+from .common import stored, table
+from .vectors import ids, matrix, ranked, tiles, usable
 
-#: Bits of a cell number.
-BITS = 6
-#: Exact vectors read at a time.
-READ = 16
+#: Bits of a cell number, which travels as one signed byte.
+BITS = 8
+#: Exact vectors read for a query in the first round, and by how much each round reads more than the one before.
+READ, MORE = 16, 4
+_BOUNDS = "query_id long, vec_id long, h long, under long, over long"
 
 
-def approximate(vectors: DataFrame, bits: int = BITS) -> tuple[DataFrame, int]:
-    """The approximation file: vectors (id, ints) with `cells`, and the width of a cell as a power of two."""
+def approximate(vectors: DataFrame, bits: int = BITS) -> tuple[DataFrame, int, int]:
+    """The approximation file (id, dim, h, cells), the least component, and the width of a cell as a power of two."""
     low, high = vectors.agg(F.min(F.array_min("ints")), F.max(F.array_max("ints"))).first()
-    shift = max(0, ((high or 0) - (low or 0)).bit_length() - bits)
-    return vectors.withColumn("cells", F.transform("ints", lambda x: F.shiftright(x, shift))), shift
+    low, shift = low or 0, max(0, ((high or 0) - (low or 0)).bit_length() - bits)
+    return vectors.select("id", "dim", "h", F.transform("ints", lambda x: (F.shiftright(x - low, shift) - 128).cast("tinyint")).alias("cells")), low, shift
 
 
-def scanner(shift: int, k: int):
+def scanner(low: int, shift: int, k: int):
+    """For each query of a tile, the candidates whose upper bound reaches the tile's k-th best lower bound."""
+
     def tile(queries: pa.Table, candidates: pa.Table) -> pa.Table:
-        if not queries.num_rows or not candidates.num_rows:
-            return answer([], [], [], np.int64)
-        order = np.argsort(ids(candidates), kind="stable")
-        vec = ids(candidates)[order]
-        exact = matrix(candidates, "ints", np.int64)[order]
-        low = (matrix(candidates, "cells", np.int64)[order] << shift).astype(np.float64)
-        high = low + ((1 << shift) - 1)
-        query, q = ids(queries), matrix(queries, "ints", np.int64)
-        out: list[list[np.ndarray]] = [[], [], []]
-        for at in range(0, len(query), 256):
-            plus, minus = np.maximum(q[at : at + 256], 0).astype(np.float64), np.minimum(q[at : at + 256], 0).astype(np.float64)
-            over, under = plus @ high.T + minus @ low.T, plus @ low.T + minus @ high.T
-            for i, (name, row) in enumerate(zip(query[at : at + 256], q[at : at + 256], strict=True)):
-                other = np.flatnonzero(vec != name)
-                if not len(other):
-                    continue
-                least = np.partition(under[i, other], len(other) - k)[len(other) - k] if len(other) > k else -np.inf
-                left = other[over[i, other] >= least]
-                left = left[np.argsort(-over[i, left], kind="stable")]  # ids ascend among equal bounds
-                got_id, got = np.empty(0, np.int64), np.empty(0, np.int64)
-                for r in range(0, len(left), READ):
-                    bound = over[i, left[r]]
-                    if len(got) >= k and (bound < got[k - 1] or bound == got[k - 1] and vec[left[r]] > got_id[k - 1]):
-                        break
-                    part = left[r : r + READ]
-                    got, got_id = np.concatenate([got, exact[part] @ row]), np.concatenate([got_id, vec[part]])
-                    best = np.lexsort((got_id, -got))[:k]
-                    got, got_id = got[best], got_id[best]
-                for kept, new in zip(out, (np.full(len(got), name), got_id, got), strict=True):
-                    kept.append(new)
-        return answer(*out, np.int64)
+        parts: list[tuple] = [(np.empty(0, np.int64),) * 5]
+        if queries.num_rows and candidates.num_rows:
+            vec, h = ids(candidates), candidates.column("h").to_numpy()
+            least = (matrix(candidates, "cells", np.int64) + 128 << shift).astype(np.float64) + low
+            most = least + ((1 << shift) - 1)
+            query, q = ids(queries), matrix(queries, "ints", np.float64)
+            for at in range(0, len(query), 256):
+                plus, minus = np.maximum(q[at : at + 256], 0), np.minimum(q[at : at + 256], 0)
+                over, under = plus @ most.T + minus @ least.T, plus @ least.T + minus @ most.T
+                under[query[at : at + 256, None] == vec] = -np.inf
+                kth = np.partition(under, len(vec) - k, axis=1)[:, len(vec) - k] if len(vec) > k else np.full(len(under), -np.inf)
+                i, j = np.nonzero((over >= kth[:, None]) & (under > -np.inf))
+                parts.append((query[at + i], vec[j], h[j], under[i, j].astype(np.int64), over[i, j].astype(np.int64)))
+        return pa.table(dict(zip(("query_id", "vec_id", "h", "under", "over"), map(np.concatenate, zip(*parts, strict=True)), strict=True)))
 
     return tile
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, bits: int = BITS) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, bits: int = BITS, read: int = READ) -> DataFrame:
     """vectors: (id, ints array<bigint>). (query_id, rank, vec_id, score) for the rows where is_query holds."""
-    filed, shift = approximate(vectors.withColumn("dim", F.size("ints")), bits)
-    queries = filed.where(is_query).groupBy("id").agg(F.min("ints").alias("ints")).withColumn("dim", F.size("ints"))
-    return grid(queries, filed, scanner(shift, k), "query_id long, vec_id long, score long", k)
+    exact = stored(vectors.groupBy("id", "ints").agg(F.count("*").alias("times")).withColumn("dim", F.size("ints")).withColumn("h", F.xxhash64("ints")))
+    filed, low, shift = approximate(exact, bits)
+    queries = exact.where(is_query).groupBy("id").agg(F.min("ints").alias("ints")).withColumn("dim", F.size("ints"))
+    of_query = Window.partitionBy("query_id")
+    by_bound = of_query.orderBy(F.desc("over"), "vec_id", "h")
+    bounds = tiles(queries, filed, scanner(low, shift, k), _BOUNDS).withColumn("n", F.row_number().over(of_query.orderBy(F.desc("under"))))
+    bounds = bounds.withColumn("least", F.max(F.when(F.col("n") == k, F.col("under"))).over(of_query)).where(F.col("least").isNull() | (F.col("over") >= F.col("least")))
+    bounds = stored(bounds.select("query_id", "vec_id", "h", "over", F.row_number().over(by_bound).alias("place")))
+    named = queries.select(F.col("id").alias("query_id"), F.col("ints").alias("q"))
+    wanted = exact.select(F.col("id").alias("vec_id"), "h", "ints", "times")
+    score = F.aggregate(F.zip_with("ints", "q", lambda a, b: a * b), F.lit(0).cast("long"), lambda s, x: s + x)
+    best, asked, done, upto = None, bounds, 0, read
+    while True:
+        now = asked.where((F.col("place") > done) & (F.col("place") <= upto)).select("query_id", "vec_id", "h")
+        found = now.join(wanted, ["vec_id", "h"]).join(named, "query_id").select("query_id", "vec_id", score.alias("score"), "times")
+        found = found if best is None else found.unionByName(best.drop("rank"))
+        best = stored(found.withColumn("rank", F.row_number().over(of_query.orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k))
+        kth = best.where(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
+        open_queries = bounds.where(F.col("place") == upto + 1).join(kth, "query_id", "left").where(F.col("kth").isNull() | (F.col("over") >= F.col("kth"))).select("query_id")
+        if open_queries.isEmpty():
+            break
+        asked, done, upto = bounds.join(open_queries, "query_id", "left_semi"), upto, upto * MORE
+    return ranked(best.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.least(F.col("times"), F.lit(k)).cast("int")))), k)
 
 
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

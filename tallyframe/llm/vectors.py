@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of a block. Each cell emits k rows for each of its queries, so large candidate blocks keep the lists few.
-CANDIDATES, QUERIES = 16384, 1024
+CANDIDATES, QUERIES = 16384, 8192
 #: Candidate blocks at least, so that small inputs are spread as well.
 SPREAD = 8
 
@@ -29,8 +29,8 @@ def usable(vec: Column, zero: bool = True) -> Column:
     return ok if zero else ok & F.exists(vec, lambda x: x != 0)
 
 
-def grid(queries: DataFrame, candidates: DataFrame, tile: Callable, schema: str, k: int) -> DataFrame:
-    """Both sides have (id, dim, ...); only equal dims meet. tile(queries, candidates) maps Arrow tables to rows with query_id, vec_id, score."""
+def tiles(queries: DataFrame, candidates: DataFrame, tile: Callable, schema: str) -> DataFrame:
+    """Both sides have (id, dim, ...); only equal dims meet. tile(queries, candidates) maps Arrow tables of one cell to rows of the schema."""
     n = candidates.count()
     m = queries.count()
     c, r = max(SPREAD, math.ceil(n / CANDIDATES)), max(1, math.ceil(m / QUERIES))
@@ -38,7 +38,11 @@ def grid(queries: DataFrame, candidates: DataFrame, tile: Callable, schema: str,
     each = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     left = queries.withColumn("qb", block(r)).withColumn("cb", each(c)).groupBy("dim", "qb", "cb")
     right = candidates.withColumn("cb", block(c)).withColumn("qb", each(r)).groupBy("dim", "qb", "cb")
-    lists = left.cogroup(right).applyInArrow(tile, schema)
+    return left.cogroup(right).applyInArrow(tile, schema)
+
+
+def ranked(lists: DataFrame, k: int) -> DataFrame:
+    """The k best rows (query_id, vec_id, score) of each query, with their rank."""
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return lists.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

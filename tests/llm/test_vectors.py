@@ -82,3 +82,15 @@ def test_bounds_hold():
     near = ann.products(ca, cb) * np.outer(sa, sb)
     wrong = np.outer(la, np.linalg.norm(b, axis=1)) + np.outer(na, lb)
     assert (np.abs(a @ b.T - near) <= wrong + 1e-12).all()
+
+
+@pytest.mark.parametrize("read", [1, 2, 100])
+def test_exact_vectors_are_read_until_certain(spark, read):
+    r = np.random.default_rng(9)
+    rows = [(i, r.integers(-3000, 3000, 6).tolist()) for i in range(200)] + [(500 + i, [2999] * 6) for i in range(20)] + [(7, [1, 2, 3, 4, 5, 6])] * 3
+    frame = spark.createDataFrame(rows, "id long, ints array<long>")
+    from pyspark.sql import functions as F
+
+    for bits in (3, 8):
+        got = results(exact_topk.top_k(frame, F.col("id") % 40 == 0, k=5, bits=bits, read=read))
+        assert got == brute(rows, 40, 5, lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)))
