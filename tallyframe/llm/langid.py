@@ -29,6 +29,8 @@ from pyspark.sql import types as T
 from .common import crc_mod, table
 
 BINS_LOG, SAMPLE, BUCKETS = 15, 2048, 64
+#: Languages learned at most; with SAMPLE, the bound of what fitting reads and sends.
+LANGUAGES = 64
 BINS = 1 << BINS_LOG
 SMOOTHING, ROUNDS, PENALTY = 0.5, 12, 3.0
 UNDETERMINED = "und"
@@ -82,9 +84,11 @@ class Model:
         return share, float(np.log(share @ p) @ count)
 
 
-def fit(df: DataFrame, labelled: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
-    """A model of the languages in df where `labelled` holds."""
+def fit(df: DataFrame, labelled: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, most: int = LANGUAGES) -> Model:
+    """A model of the languages in df where `labelled` holds: of the `most` labels with the most documents, so that its size is bounded whatever the labels are."""
     known = df.where(labelled & F.col(lang).isNotNull() & (F.col(lang) != "") & F.col(text).isNotNull())
+    frequent = [r[0] for r in known.groupBy(F.col(lang).alias("l")).count().orderBy(F.desc("count"), "l").limit(most).collect()]
+    known = known.where(F.col(lang).isin(frequent)) if frequent else known.limit(0)
     few = Window.partitionBy("_lang", "_bucket").orderBy(F.xxhash64("_id"), "_id")
     dealt = known.select(F.col(doc_id).alias("_id"), F.col(lang).alias("_lang")).withColumn("_bucket", F.pmod(F.xxhash64("_id"), F.lit(BUCKETS)))
     ids = dealt.withColumn("_n", F.row_number().over(few)).where(F.col("_n") <= max(1, sample // BUCKETS)).select("_id", "_lang").distinct()

@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -52,3 +53,27 @@ def test_nothing_learned_and_clashes(spark):
     assert langid.identify(docs(spark, []), model).count() == 0
     clash = frame.selectExpr("*", "1 AS score", "2 AS lang_pred")
     assert langid.identify(clash, model).columns[-4:] == ["lang_pred", "score", "langs", "shares"]
+
+
+def test_proportions_against_a_plain_version():
+    """Expectation-maximisation with responsibilities written out, one trigram at a time."""
+    r = np.random.default_rng(3)
+    p = r.dirichlet(np.ones(40), size=3)
+    count = r.integers(0, 9, 40).astype(float)
+    share = [1 / 3] * 3
+    for _ in range(langid.ROUNDS):
+        sums = [0.0] * 3
+        for b in range(40):
+            every = sum(share[i] * p[i, b] for i in range(3))
+            for i in range(3):
+                sums[i] += count[b] * share[i] * p[i, b] / every
+        share = [x / count.sum() for x in sums]
+    likelihood = sum(count[b] * math.log(sum(share[i] * p[i, b] for i in range(3))) for b in range(40))
+    got, value = langid.Model.fit(p, count, count.sum())
+    assert got == pytest.approx(share, rel=1e-9) and value == pytest.approx(likelihood, rel=1e-9)
+
+
+def test_only_the_most_frequent_labels_are_learned(spark):
+    rows = [(i, "the cat sat on the mat and ran", "en" if i % 3 else f"dirty{i}", None) for i in range(60)]
+    model = langid.fit(docs(spark, rows), F.lit(True), most=1)
+    assert model.langs == ["en"]
