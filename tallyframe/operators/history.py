@@ -17,22 +17,27 @@ def best_rounds(rounds: DataFrame) -> DataFrame:
     return rounds.where(F.col("total").isNotNull()).groupBy("course_id").agg(F.min(F.struct("total", "date_played", "round_id")).alias("b")).select("course_id", "b.total", "b.round_id")
 
 
-def _placed(rounds: DataFrame, by: str) -> Column:
-    return F.row_number().over(Window.partitionBy(by).orderBy(F.desc("date_played"), "round_id"))
+def _placed(rounds: DataFrame, by: str) -> DataFrame:
+    """rounds with `position`, newest first within `by`. Days are counted first, so no task orders more than a day of a group."""
+    r = rounds.withColumn("_day", F.coalesce(F.to_date("date_played"), F.lit("0001-01-01").cast("date")))
+    later = Window.partitionBy(by).orderBy(F.desc("_day")).rowsBetween(Window.unboundedPreceding, -1)
+    before = r.groupBy(by, "_day").count().select(by, "_day", F.coalesce(F.sum("count").over(later), F.lit(0)).alias("_before"))
+    within = Window.partitionBy(by, "_day").orderBy(F.desc("date_played"), "round_id")
+    return r.withColumn("_n", F.row_number().over(within)).join(before, [by, "_day"]).withColumn("position", (F.col("_before") + F.col("_n")).cast("int"))
 
 
 def by_month(rounds: DataFrame) -> DataFrame:
     """Each round's month, the month's place (newest first) and the round's place in it. Months are ranked in a table of months."""
     r = rounds.withColumn("_m", F.date_trunc("month", "date_played"))
     months = r.select("_m").distinct().withColumn("group_rank", F.row_number().over(Window.orderBy(F.desc("_m"))))
-    return r.withColumn("position", _placed(r, "_m")).join(F.broadcast(months), "_m").select("round_id", F.date_format("_m", "yyyy-MM").alias("month"), "group_rank", "position")
+    return _placed(r, "_m").join(months, "_m").select("round_id", F.date_format("_m", "yyyy-MM").alias("month"), "group_rank", "position")
 
 
 def by_course(rounds: DataFrame) -> DataFrame:
     """As by_month, by title; rounds without a course share a bucket."""
     r = rounds.withColumn("title", F.coalesce("course_name", F.lit("Unknown course")))
     titles = r.select("title").distinct().withColumn("group_rank", F.row_number().over(Window.orderBy("title")))
-    return r.withColumn("position", _placed(r, "title")).join(titles, "title").select("round_id", "title", "group_rank", "position")
+    return _placed(r, "title").join(titles, "title").select("round_id", "title", "group_rank", "position")
 
 
 def duplicates(rounds: DataFrame) -> DataFrame:

@@ -18,9 +18,9 @@ def name_scores(fragments: DataFrame, templates: DataFrame, config: Config = Con
     pieces = fragments.select("card_id", F.explode(joined_fragments(telling)).alias("fragment")).distinct()
     names = templates.select("template_id", F.explode(matchable_names(F.col("name"), F.col("facility"), F.col("layout"), F.col("aliases"))).alias("printed"))
     # similarity is worked out once for each distinct pair of texts, not for each card
-    texts = pieces.select("fragment").distinct().crossJoin(F.broadcast(names.select("printed").distinct()))
+    texts = pieces.select("fragment").distinct().crossJoin(names.select("printed").distinct())
     sims = texts.select("fragment", "printed", name_similarity(F.col("fragment"), F.col("printed")).alias("s")).where(F.col("s") >= config.matching.name_floor)
-    hit = pieces.join(sims, "fragment").join(F.broadcast(names), "printed")
+    hit = pieces.join(sims, "fragment").join(names, "printed")
     return hit.groupBy("card_id", "template_id").agg(F.max("s").alias("name_score"), F.max_by("fragment", F.struct("s", "printed")).alias("fragment"))
 
 
@@ -29,22 +29,22 @@ def tee_matches(static: DataFrame, templates: DataFrame) -> DataFrame:
     t = catalog.tees(templates)
     seen = static.where("signal = 'yardage'").select("card_id", "seq", F.col("tee").alias("printed"), "hole", "value")
     known = t.where("yards IS NOT NULL").groupBy("template_id", "tee_seq").agg(F.count("*").alias("n_known"))
-    pairs = seen.join(F.broadcast(t), "hole").withColumn("expected", F.col("yards"))
+    pairs = seen.join(t, "hole").withColumn("expected", F.col("yards"))
     by = ["card_id", "seq", "printed", "template_id", "tee_seq", "tee", "tee_total"]
-    c = compare(pairs, by, yardages=True).where("compared > 0").join(F.broadcast(known), ["template_id", "tee_seq"])
+    c = compare(pairs, by, yardages=True).where("compared > 0").join(known, ["template_id", "tee_seq"])
     return c.withColumn("coverage", F.col("compared") / F.col("n_known"))
 
 
 def score_templates(cards: DataFrame, static: DataFrame, totals: DataFrame, fragments: DataFrame, templates: DataFrame, config: Config = Config()) -> DataFrame:
     """(card_id, template_id, template_seq, score, evidence, name_score, best_tee, ...): weighted over the signals that speak; cards times the bounded dimension of templates."""
     m = config.matching
-    dim = F.broadcast(templates.select("template_id", "template_seq", "hole_count", F.size("pars").alias("n_pars"), "pars"))
+    dim = templates.select("template_id", "template_seq", "hole_count", F.size("pars").alias("n_pars"), "pars")
     base = cards.select("card_id", F.col("distinct_holes").alias("detected")).crossJoin(dim)
     h = catalog.holes(templates)
     known = h.groupBy("template_id").agg(F.count("par").alias("known_par"), F.count("stroke_index").alias("known_index"))
-    long = static.where(F.col("signal").isin("par", "handicap")).select("card_id", "signal", "hole", "value").join(F.broadcast(h), "hole")
+    long = static.where(F.col("signal").isin("par", "handicap")).select("card_id", "signal", "hole", "value").join(h, "hole")
     long = long.withColumn("expected", F.when(F.col("signal") == "par", F.col("par")).otherwise(F.col("stroke_index")))
-    c = compare(long, ["card_id", "template_id", "signal"]).join(F.broadcast(known), "template_id").withColumn("weighted", F.col("score") * F.col("compared") / F.when(F.col("signal") == "par", F.col("known_par")).otherwise(F.col("known_index")))
+    c = compare(long, ["card_id", "template_id", "signal"]).join(known, "template_id").withColumn("weighted", F.col("score") * F.col("compared") / F.when(F.col("signal") == "par", F.col("known_par")).otherwise(F.col("known_index")))
     seqs = c.where(F.col("compared") >= m.least_compared).groupBy("card_id", "template_id").agg(F.max(F.when(F.col("signal") == "par", F.col("weighted"))).alias("par_score"), F.max(F.when(F.col("signal") == "handicap", F.col("weighted"))).alias("index_score"))
     tee = tee_matches(static, templates).where(F.col("compared") >= m.least_yards)
     bonus = F.coalesce(name_similarity(F.col("printed"), F.col("tee")) >= 0.7, F.lit(False))
@@ -83,7 +83,7 @@ def force(resolved: DataFrame, overrides: DataFrame | None, templates: DataFrame
     """A forced template (card_id, forced_template_id, forced_tee_name) of the dimension takes the place of the match, with confidence 1."""
     if overrides is None:
         return resolved.withColumn("forced_tee", F.lit(None).cast("string"))
-    ids = F.broadcast(templates.select(F.col("template_id").alias("_id")))
+    ids = templates.select(F.col("template_id").alias("_id"))
     f = overrides.join(ids, F.col("forced_template_id") == F.col("_id"), "left").select("card_id", "_id", F.col("forced_tee_name").alias("forced_tee"))
     hit = F.col("_id").isNotNull()
     both = resolved.join(f, "card_id", "left")
@@ -93,12 +93,12 @@ def force(resolved: DataFrame, overrides: DataFrame | None, templates: DataFrame
 def resolve_tees(resolved: DataFrame, static: DataFrame, printed: DataFrame, templates: DataFrame, least: float = 0.55, least_compared: int = 3) -> DataFrame:
     """resolved with tee, tee_confidence and tee_warning."""
     tees = catalog.tees(templates).select("template_id", "tee_seq", "tee", "tee_total").distinct()
-    has = F.broadcast(tees.select("template_id").distinct().withColumn("has_tees", F.lit(True)))
+    has = tees.select("template_id").distinct().withColumn("has_tees", F.lit(True))
     base = resolved.join(has, "template_id", "left").join(printed.where("seq = 0").select("card_id", F.col("tee").alias("first_printed")), "card_id", "left")
     m = tee_matches(static, templates).where(F.col("compared") >= least_compared).withColumn("w", F.col("score") * F.col("coverage"))
     good = m.join(resolved.select("card_id", "template_id"), ["card_id", "template_id"]).groupBy("card_id", "tee", "tee_seq", "tee_total").agg(F.max("w").alias("w")).where(F.col("w") >= least)
     middle = good.groupBy("card_id").agg(F.count("*").alias("n_good"), F.array_sort(F.collect_list(F.struct(F.coalesce("tee_total", F.lit(0)).alias("t"), "tee_seq", "tee"))).alias("by_length"))
-    named = printed.join(resolved.select("card_id", "template_id"), "card_id").join(F.broadcast(tees.select("template_id", "tee_seq", F.col("tee").alias("t_tee"))), "template_id").where(name_similarity(F.col("tee"), F.col("t_tee")) >= 0.7)
+    named = printed.join(resolved.select("card_id", "template_id"), "card_id").join(tees.select("template_id", "tee_seq", F.col("tee").alias("t_tee")), "template_id").where(name_similarity(F.col("tee"), F.col("t_tee")) >= 0.7)
     by_name = named.groupBy("card_id").agg(F.min(F.struct("seq", "tee_seq", "t_tee"))["t_tee"].alias("named_tee"))
     full = base.join(middle, "card_id", "left").join(by_name, "card_id", "left")
     n, forced = F.coalesce("n_good", F.lit(0)), F.col("forced_tee")

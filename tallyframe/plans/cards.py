@@ -33,7 +33,7 @@ def apply_template(holes: DataFrame, chosen: DataFrame, templates: DataFrame) ->
     usable = templates.where(catalog.hole_data_usable())
     h = catalog.holes(usable).select("template_id", "hole", F.col("par").alias("t_par"), F.col("stroke_index").alias("t_index"))
     y = catalog.tees(usable).select("template_id", F.lower("tee").alias("_tee"), "hole", F.col("yards").alias("t_yards"))
-    both = holes.join(chosen.select("card_id", "template_id", F.lower("tee").alias("_tee")), "card_id", "left").join(F.broadcast(h), ["template_id", "hole"], "left").join(F.broadcast(y), ["template_id", "_tee", "hole"], "left")
+    both = holes.join(chosen.select("card_id", "template_id", F.lower("tee").alias("_tee")), "card_id", "left").join(h, ["template_id", "hole"], "left").join(y, ["template_id", "_tee", "hole"], "left")
 
     def over(c: str, t: str):
         wins = F.col(t).isNotNull() & (F.col(f"{c}.provenance") != "userEdited")

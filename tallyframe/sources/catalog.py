@@ -97,7 +97,7 @@ def available(spark: SparkSession, learned: DataFrame | None = None) -> DataFram
         return base
     own = decode(learned)
     order = base.select("template_id", F.col("template_seq").alias("_seq"))
-    over = own.join(F.broadcast(order), "template_id", "left").withColumn("template_seq", F.coalesce("_seq", F.lit(1_000_000))).drop("_seq")
+    over = own.join(order, "template_id", "left").withColumn("template_seq", F.coalesce("_seq", F.lit(1_000_000))).drop("_seq")
     return base.join(own.select("template_id"), "template_id", "left_anti").select(base.columns).unionByName(over.select(base.columns))
 
 
