@@ -163,12 +163,12 @@ def _number_sql(o: str, e: str) -> str:
     return f"CASE WHEN {o} = {e} THEN 1.0::DOUBLE ELSE {_digits_sql(f'CAST({o} AS VARCHAR)', f'CAST({e} AS VARCHAR)')} END"
 
 
-@query(CELLS + f""", p AS (SELECT card_id, hole, value, CAST(raw + CASE WHEN (card_id + hole) % 4 = 0 THEN 3 ELSE 0 END AS INT) AS expected FROM cells WHERE card_id % 23 <> 0 OR hole < 3),
- s AS (SELECT *, CASE WHEN value IS NOT NULL THEN {_number_sql('value', 'expected')} END AS sim FROM p)
- SELECT card_id, ROUND(SUM(sim) / COUNT(sim), 9) AS score, CAST(COUNT(sim) AS DOUBLE) / COUNT(expected) AS coverage, COUNT(sim) AS compared FROM s GROUP BY card_id""")
+@query(CELLS + f""", p AS (SELECT card_id, hole, value, CAST(CASE WHEN card_id % 23 <> 0 OR hole < 3 THEN raw + CASE WHEN (card_id + hole) % 4 = 0 THEN 3 ELSE 0 END END AS INT) AS expected FROM cells),
+ s AS (SELECT *, CASE WHEN value IS NOT NULL AND expected IS NOT NULL THEN {_number_sql('value', 'expected')} END AS sim FROM p)
+ SELECT card_id, ROUND(SUM(sim) / COUNT(sim), 9) AS score, CAST(COUNT(sim) AS DOUBLE) / NULLIF(COUNT(expected), 0) AS coverage, COUNT(sim) AS compared FROM s GROUP BY card_id""")
 def sequence_similarity(spark, sf_dir):
-    p = cells(spark, sf_dir).where((F.col("card_id") % 23 != 0) | (F.col("hole") < 3))
-    p = p.select("card_id", "hole", "value", (F.col("raw") + F.when((F.col("card_id") + F.col("hole")) % 4 == 0, 3).otherwise(0)).alias("expected"))
+    known = (F.col("card_id") % 23 != 0) | (F.col("hole") < 3)
+    p = cells(spark, sf_dir).select("card_id", "hole", "value", F.when(known, F.col("raw") + F.when((F.col("card_id") + F.col("hole")) % 4 == 0, 3).otherwise(0)).alias("expected"))
     out = sequences.compare(p, ["card_id"])
     return out.select("card_id", F.round("score", 9).alias("score"), "coverage", "compared")
 
@@ -352,19 +352,19 @@ def duplicate_rounds(spark, sf_dir):
     return history.duplicates(o)
 
 
-@query("""SELECT n.n_nationkey AS course_id, n.n_name AS name, (n.n_nationkey % 5 = 0) OR COUNT(o.o_orderkey) > 0 AS played, COUNT(o.o_orderkey) AS rounds, COUNT(DISTINCT o.o_custkey) AS players FROM nation n LEFT JOIN customer c ON c.c_nationkey = n.n_nationkey AND c.c_acctbal < 0 LEFT JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY 1, 2""")
+@query("""SELECT n.n_nationkey AS course_id, n.n_name AS name, (n.n_nationkey % 5 = 0) OR COUNT(o.o_orderkey) > 0 AS played, COUNT(o.o_orderkey) AS rounds, COUNT(DISTINCT o.o_custkey) AS players FROM nation n LEFT JOIN customer c ON c.c_nationkey = n.n_nationkey LEFT JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY 1, 2""")
 def played_state(spark, sf_dir):
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("course_id"), F.col("n_name").alias("name"), (F.col("n_nationkey") % 5 == 0).alias("marked"))
-    c = table(spark, sf_dir, "customer").where("c_acctbal < 0").select("c_custkey", F.col("c_nationkey").alias("course_id"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("course_id"))
     r = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey")).join(c, "c_custkey").select("course_id", F.col("o_orderkey").alias("round_id"), F.col("c_custkey").alias("player"))
     return history.played(n, r)
 
 
-@query("""SELECT c.c_custkey AS file_id FROM customer c WHERE c.c_acctbal > 100 AND c.c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' UNION SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')""")
+@query("""SELECT c.c_custkey AS file_id FROM customer c WHERE c.c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' UNION SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')""")
 def orphans_anti(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     refs = o.select(F.when(F.col("o_orderstatus") == "F", F.col("o_custkey")).alias("original"), F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_custkey")).alias("normalized"))
-    files = table(spark, sf_dir, "customer").where("c_acctbal > 100").select(F.col("c_custkey").alias("file_id"))
+    files = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("file_id"))
     from tallyframe.sources import store
 
     old = F.to_timestamp(F.lit("2000-01-01"))
@@ -514,13 +514,13 @@ def provenance_breakdown(spark, sf_dir):
     return report.provenance_breakdown(h).select("round_id", "scored", "edited", "read")
 
 
-@query("""WITH r AS (SELECT c_nationkey AS course_id, COUNT(*) AS n, MIN(CAST(floor(c_acctbal) AS BIGINT)) AS best FROM customer WHERE c_acctbal > 9000 GROUP BY 1)
+@query("""WITH r AS (SELECT c_nationkey AS course_id, COUNT(*) AS n, MIN(CAST(floor(c_acctbal) AS BIGINT)) AS best FROM customer GROUP BY 1)
  SELECT n_nationkey AS course_id, COALESCE(n, 0) AS rounds, best, CASE WHEN n > 0 THEN n || CASE WHEN n = 1 THEN ' round' ELSE ' rounds' END || ', best ' || best WHEN n_nationkey % 2 = 0 THEN 'marked 2020-01-01' END AS summary FROM nation LEFT JOIN r ON r.course_id = n_nationkey""")
 def played_summary(spark, sf_dir):
     from tallyframe.operators import report
 
     courses = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("course_id"), F.when(F.col("n_nationkey") % 2 == 0, F.to_timestamp(F.lit("2020-01-01"))).alias("marked_at"))
-    rounds = table(spark, sf_dir, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("course_id"), F.floor("c_acctbal").alias("total"))
+    rounds = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("course_id"), F.floor("c_acctbal").alias("total"))
     return report.played_summary(courses, rounds)
 
 
