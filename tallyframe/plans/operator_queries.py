@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions import fields, geometry, numeric, text
@@ -296,7 +296,7 @@ def second_reading_merged(spark, sf_dir):
 def rows_paired(spark, sf_dir):
     """Local rows bear names of their own by place; every second remote row bears the name of its place, others one unlike all."""
     names = F.array(*map(F.lit, ("ADAM", "BORIS", "CLEMENTINE", "DWIGHT", "EUPHEMIA", "FYODOR", "GUNHILD", "HUXLEY")))
-    at = F.row_number().over(history.Window.partitionBy("card_id").orderBy("o_orderkey")) - 1
+    at = F.row_number().over(Window.partitionBy("card_id").orderBy("o_orderkey")) - 1
     local = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("card_id"), "o_orderkey").withColumn("player_seq", at).select("card_id", "player_seq", F.coalesce(F.get(names, F.col("player_seq")), F.concat(F.lit("QQ"), F.col("player_seq").cast("string"), F.lit("ZZ"))).alias("name"))
     other = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("card_id"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("remote_seq"))
     other = other.withColumn("name", F.when(F.col("remote_seq") % 2 == 0, F.get(names, F.col("remote_seq"))).otherwise("xxxxxxxxxxxx"))
