@@ -42,6 +42,8 @@ from .graph import components
 WIDTH, PERCENT = 5, 75
 #: Bits by which shingles are told apart when they are counted.
 COUNTED_BITS = 40
+#: Messages that a block sends at most; where there are more shards, FAN blocks' messages are merged on the way.
+ROUTES, FAN = 256, 256
 #: Bytes of sets, and sets, in a tile.
 TILE_BYTES, TILE_SETS = 8 << 20, 1024
 #: Bytes of sets of small whole groups in one task.
@@ -77,13 +79,63 @@ def asker(width: int, shards: int):
 
 def answer(t: pa.Table) -> pa.Table:
     """For each block's shingles of a shard, in its order: the class of the number of documents that hold it, 0 for one alone."""
-    rows = t.to_pylist()
+    every, which, total, lengths = merged(t.to_pylist())
+    classes = np.ceil(np.log2(total)).astype(np.uint8)[which] if len(every) else np.empty(0, np.uint8)
+    parts = np.split(classes, np.cumsum(lengths)[:-1])
+    return pa.table({"shard": t.column("shard"), "block": t.column("block"), "classes": pa.array([packed(p) for p in parts], pa.binary())})
+
+
+def merged(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """The distinct values of several messages, where each message's fall, their summed counts, and the messages' lengths."""
     asked = [from_gaps(r["values"]) for r in rows]
     every, which = np.unique(np.concatenate(asked), return_inverse=True)
     total = np.bincount(which, weights=np.concatenate([unpacked(r["counts"], np.uint32) for r in rows]))
-    classes = np.ceil(np.log2(total)).astype(np.uint8)[which] if len(every) else np.empty(0, np.uint8)
-    parts = np.split(classes, np.cumsum([len(a) for a in asked])[:-1])
-    return pa.table({"shard": t.column("shard"), "block": t.column("block"), "classes": pa.array([packed(p) for p in parts], pa.binary())})
+    return every, which, total.astype(np.uint32), [len(a) for a in asked]
+
+
+def by_block(t: pa.Table) -> list[dict]:
+    return sorted(t.to_pylist(), key=lambda r: r["block"])
+
+
+def forwarder(routes: int, each: int):
+    def forward(key: tuple, t: pa.Table) -> pa.Table:
+        """The merged messages of a party of blocks to one route, cut for the route's shards; the party stands for the block."""
+        route, party = (x.as_py() for x in key)
+        every, _, total, _ = merged(by_block(t))
+        inner = np.arange(route * each + 1, (route + 1) * each, dtype=np.uint64)
+        cut = np.searchsorted(every, (inner << np.uint64(COUNTED_BITS)) // np.uint64(routes * each))
+        parts = list(zip(np.split(every, cut), np.split(total, cut), strict=True))
+        rows = [{"shard": route * each + i, "block": party, "values": gaps(v), "counts": packed(c)} for i, (v, c) in enumerate(parts) if len(v)]
+        return pa.Table.from_pylist(rows, pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("values", pa.binary()), ("counts", pa.binary())]))
+
+    return forward
+
+
+def hand_back(t: pa.Table, got: pa.Table) -> pa.Table:
+    """A party's answers, dealt to the blocks that asked."""
+    rows = by_block(t)
+    _, which, _, lengths = merged(rows)
+    classes = np.concatenate([unpacked(r["classes"], np.uint8) for r in sorted(got.to_pylist(), key=lambda r: r["shard"])])[which]
+    parts = np.split(classes, np.cumsum(lengths)[:-1])
+    return pa.table({"shard": pa.array([r["shard"] for r in rows], pa.int32()), "block": pa.array([r["block"] for r in rows], pa.int32()), "classes": pa.array([packed(p) for p in parts], pa.binary())})
+
+
+def exchange(docs: DataFrame, width: int, shards: int, routes: int, fan: int) -> DataFrame:
+    """(shard, block, classes): what the shards answer the blocks.
+
+    Up to `routes` shards are asked at once. Where there are more, a block asks `routes` ranges of shards, and
+    `fan` blocks' messages to a range are merged before they are cut for its shards; the answers come back the
+    same way. So a block sends a bounded number of messages, and the second hop a fan-th of blocks times shards.
+    """
+    asked = docs.groupBy("block").applyInArrow(tidy(asker(width, min(shards, routes))), _QUESTIONS)
+    if shards <= routes:
+        return asked.groupBy("shard").applyInArrow(tidy(answer), _ANSWERS)
+    each = -(-shards // routes)
+    asked = stored(asked.withColumn("party", F.floor(F.col("block") / fan).cast("int")))
+    forward = asked.groupBy("shard", "party").applyInArrow(tidy(forwarder(routes, each)), _QUESTIONS)
+    answered = forward.groupBy("shard").applyInArrow(tidy(answer), _ANSWERS)
+    back = answered.select(F.floor(F.col("shard") / each).cast("int").alias("route"), F.col("block").alias("party"), "shard", "classes")
+    return asked.groupBy("shard", "party").cogroup(back.groupBy("route", "party")).applyInArrow(tidy(hand_back), _ANSWERS)
 
 
 def keeper(width: int, percent: int):
@@ -109,11 +161,10 @@ def keeper(width: int, percent: int):
     return keep
 
 
-def shingle_sets(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+def shingle_sets(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, routes: int = ROUTES, fan: int = FAN) -> DataFrame:
     """Steps 1 and 2: (id, h: the text's hash, n, k: the set's name, tokens: its kept shingles, shingles: the set, if any is kept)."""
     docs, blocks = blocked(df, doc_id, text)
-    asked = docs.groupBy("block").applyInArrow(tidy(asker(width, max(1, blocks // 3))), _QUESTIONS)
-    answered = asked.groupBy("shard").applyInArrow(tidy(answer), _ANSWERS)
+    answered = exchange(docs, width, max(1, blocks // 3), routes, fan)
     return docs.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(tidy(keeper(width, percent)), _SETS)
 
 

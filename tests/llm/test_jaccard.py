@@ -73,3 +73,16 @@ def test_many_rows_without_words_and_repeats(spark):
     out = jaccard.near_duplicates(docs(spark, rows))
     assert out.count() == len(rows)
     assert {(r.n_shingles, r.component_id) for r in out.where("n_shingles > 0").collect()} == {(3, 7), (4, 7)}
+
+
+def test_messages_merged_on_the_way(spark, monkeypatch):
+    from tallyframe.llm import blocks
+
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 1 << 11)
+    rows = corpus()
+    whole = docs(spark, rows)
+    assert blocks.blocked(whole, "doc_id", "text")[1] // 3 > 7
+    fields = ["id", "n", "k", "tokens", "shingles"]
+    plain = {(r.id, r.h): [r[f] for f in fields] for r in jaccard.shingle_sets(whole).collect()}
+    routed = {(r.id, r.h): [r[f] for f in fields] for r in jaccard.shingle_sets(whole, routes=3, fan=4).collect()}
+    assert plain == routed and any(p[3] for p in plain.values())
