@@ -7,12 +7,22 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
+#: Parts into which the rows of one key are dealt where they meet its least value.
+SPREAD = 16
+
+
+def with_least(df: DataFrame, key: str, value: str) -> DataFrame:
+    """df (key, value) with m, the least value of the key. A hub's rows meet it in SPREAD parts; the minimum itself is combined before it is shuffled."""
+    dealt = df.withColumn("part", F.pmod(F.xxhash64(value), F.lit(SPREAD)))
+    least = dealt.groupBy(key).agg(F.min(value).alias("m"), F.collect_set("part").alias("parts"))
+    return dealt.join(least.select(key, "m", F.explode("parts").alias("part")), [key, "part"]).select(key, value, "m")
+
 
 def _stars(pairs: DataFrame, small: bool) -> DataFrame:
     """pairs: a > b. Large: every larger neighbour of a node is tied to its least neighbour; small: every smaller one, and the node."""
     both = pairs if small else pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    tied = with_least(both, "a", "b").select("a", "b", F.least("a", "m").alias("m"))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-    tied = both.join(least, both["a"] == least["u"])
     if small:
         out = tied.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
     else:

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .blocks import WordHashes, blocked, from_gaps, gaps, hashes, in_order, packed, shingles, tidy, unpacked
 from .common import stored, table
-from .graph import components
+from .graph import components, with_least
 
 WIDTH, PERCENT = 5, 75
 #: Bits by which shingles are told apart when they are counted.
@@ -269,8 +269,7 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: in
     sets = stored(shingle_sets(df, doc_id, text, width, percent))
     nodes = stored(sets.where(F.size("tokens") > 0).groupBy("k").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("shingles").alias("shingles")))
     kept = nodes.select("k", F.explode("tokens").alias("token"))
-    shared = kept.groupBy("token").agg(F.min("k").alias("b"), F.max("k").alias("last")).where("b < last").select("token", "b")
-    edges = kept.join(shared, "token").where(F.col("k") != F.col("b")).select(F.col("k").alias("a"), "b").distinct()
+    edges = with_least(kept, "token", "k").where(F.col("k") != F.col("m")).select(F.col("k").alias("a"), F.col("m").alias("b")).distinct()
     linked = links(nodes.select("k", "n", "shingles"), components(edges), percent, tile_bytes, tile_sets)
     names = sets.where(F.col("k").isNotNull()).select("k").distinct()
     return sets.select("id", "h", "n", "k"), names.join(linked, names["k"] == linked["node"], "left").select("k", F.coalesce("component", "k").alias("class"))

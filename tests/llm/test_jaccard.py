@@ -86,3 +86,18 @@ def test_messages_merged_on_the_way(spark, monkeypatch):
     plain = {(r.id, r.h): [r[f] for f in fields] for r in jaccard.shingle_sets(whole).collect()}
     routed = {(r.id, r.h): [r[f] for f in fields] for r in jaccard.shingle_sets(whole, routes=3, fan=4).collect()}
     assert plain == routed and any(p[3] for p in plain.values())
+
+
+def test_hubs_are_spread(spark):
+    star = spark.range(1, 3001).selectExpr("0L AS a", "id AS b")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        met = graph.with_least(star, "a", "b").groupBy(F.spark_partition_id(), "m").count().collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(r["count"] for r in met) == 3000 and {r.m for r in met} == {1} and max(r["count"] for r in met) < 1500
+    assert {r.component for r in graph.components(star).collect()} == {0}
