@@ -203,15 +203,16 @@ def numeric_candidates(spark, sf_dir):
     return c.select("o_orderkey", "damaged", F.size(numeric.integer_candidates(F.col("damaged"))).cast("long").alias("candidates"), best["value"].alias("value"), best["penalty"].alias("penalty"))
 
 
-@query("""WITH n AS (SELECT DISTINCT p_name AS name FROM part), b AS (SELECT p_partkey, translate(p_name, 'ei', 'cl') AS seen, split_part(p_name, ' ', 1) AS k, p_name FROM part),
- c AS (SELECT b.p_partkey, b.seen, n.name, CASE WHEN b.seen = n.name THEN 1.0::DOUBLE ELSE 1 - CAST(levenshtein(lower(b.seen), lower(n.name)) AS DOUBLE) / GREATEST(len(b.seen), len(n.name)) END AS sim FROM b JOIN n ON substr(n.name, 1, 2) = substr(b.p_name, 1, 2) AND ABS(len(n.name) - len(b.seen)) <= 1),
- r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY p_partkey ORDER BY sim DESC, name) AS k FROM c) SELECT p_partkey, seen, name, sim AS similarity FROM r WHERE k = 1""")
+@query("""WITH n AS (SELECT DISTINCT p_name AS name FROM part), b AS (SELECT p_partkey, translate(p_name, 'ei', 'cl') AS seen FROM part),
+ c AS (SELECT s.seen, n.name, CASE WHEN s.seen = n.name THEN 1.0::DOUBLE ELSE 1 - CAST(levenshtein(lower(s.seen), lower(n.name)) AS DOUBLE) / GREATEST(len(s.seen), len(n.name)) END AS sim FROM (SELECT DISTINCT seen FROM b) s CROSS JOIN n),
+ r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY seen ORDER BY sim DESC, name) AS k FROM c) SELECT b.p_partkey, b.seen, r.name, r.sim AS similarity FROM b JOIN r ON r.seen = b.seen WHERE r.k = 1""")
 def name_similarity_top1(spark, sf_dir):
+    # every distinct text is held against every distinct name, once, whatever the rows that bear it
     p = table(spark, sf_dir, "part")
-    names = p.select(F.col("p_name").alias("name")).distinct().withColumn("block", F.substring("name", 1, 2))
-    seen = p.select("p_partkey", F.translate("p_name", "ei", "cl").alias("seen"), F.substring("p_name", 1, 2).alias("block"))
-    pairs = seen.join(names, "block").where(F.abs(F.length("name") - F.length("seen")) <= 1)
-    return sequences.top1(pairs.withColumn("similarity", text.character_similarity(F.col("seen"), F.col("name"))), ["p_partkey"], "similarity", ["name"]).select("p_partkey", "seen", "name", "similarity")
+    names = p.select(F.col("p_name").alias("name")).distinct()
+    seen = p.select("p_partkey", F.translate("p_name", "ei", "cl").alias("seen"))
+    pairs = seen.select("seen").distinct().crossJoin(names).withColumn("similarity", text.character_similarity(F.col("seen"), F.col("name")))
+    return seen.join(sequences.top1(pairs, ["seen"], "similarity", ["name"]), "seen").select("p_partkey", "seen", "name", "similarity")
 
 
 @query("""WITH e AS (SELECT c_nationkey AS tid, c_mktsegment AS seg, COUNT(*) AS n FROM customer GROUP BY 1, 2), t AS (SELECT c_nationkey AS tid, COUNT(*) AS all_n FROM customer GROUP BY 1),
