@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .blocks import WordHashes, blocked, from_gaps, gaps, hashes, in_order, packed, shingles, tidy, unpacked
 from .common import stored, table
-from .graph import components, with_least
+from .graph import SPREAD, components, with_least
 
 WIDTH, PERCENT = 5, 75
 #: Bits by which shingles are told apart when they are counted.
@@ -228,15 +228,16 @@ def links(nodes: DataFrame, groups: DataFrame, percent: int = PERCENT, tile_byte
     """Steps 4 and 5. nodes: (k, n, shingles); groups: (node, component). (node, component) of what links connect."""
     whole = nodes.join(groups, nodes["k"] == groups["node"]).select("k", "n", "shingles", "component")
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / percent)) + 1e-9).cast("int")
-    placed = stored(whole.withColumn("band", band))
-    sizes = placed.groupBy("component", "band").agg(F.count("*").alias("c"), F.sum(F.col("n") * 8).alias("bytes"))
+    placed = stored(whole.withColumn("band", band).withColumn("deal", F.pmod(F.xxhash64("k"), F.lit(SPREAD))))
+    # a large group meets its few figures in SPREAD parts
+    sizes = placed.groupBy("component", "band").agg(F.count("*").alias("c"), F.sum(F.col("n") * 8).alias("bytes"), F.collect_set("deal").alias("deals"))
     parts = F.greatest(F.ceil(F.col("bytes") / F.lit(tile_bytes)), F.ceil(F.col("c") / F.lit(tile_sets))).cast("int")
     of_group = sizes.groupBy("component").agg(F.sum("c").alias("all_c"), F.sum("bytes").alias("all_bytes"))
     is_large = (F.col("all_c") > tile_sets) | (F.col("all_bytes") > tile_bytes)
-    kinds = stored(sizes.withColumn("parts", parts).join(of_group, "component").select("component", "band", "parts", is_large.alias("large"), "all_bytes"))
+    kinds = stored(sizes.withColumn("parts", parts).join(of_group, "component").select("component", "band", "parts", is_large.alias("large"), "all_bytes", "deals"))
     total = kinds.where("not large").agg(F.sum("all_bytes")).first()[0] or 0
     tile = tidy(tiler(percent))
-    named = placed.join(kinds, ["component", "band"])
+    named = placed.join(kinds.select("component", "band", "parts", "large", F.explode("deals").alias("deal")), ["component", "band", "deal"])
     # whole small groups, many to a task
     small = named.where("not large").withColumn("bin", F.pmod(F.xxhash64("component"), F.lit(max(1, -(-int(total) // BIN_BYTES)))))
     found = small.withColumn("label", F.col("k")).groupBy("bin").applyInArrow(tile, "a binary, b binary")
