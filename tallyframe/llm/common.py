@@ -63,3 +63,15 @@ def fraction(seed: int, *cols: Column) -> Column:
     """A reproducible number in [0, 1) from the values: the first 52 bits of an MD5. SQL engines agree on it."""
     parts = [F.coalesce(c.cast("string"), F.lit("")) for c in cols]
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *parts).cast("binary")), 1, 13), 16, 10).cast("double") / float(2**52)
+
+
+def with_totals(df: DataFrame, keys: list[str], totals: list[Column], parts: int) -> DataFrame:
+    """df with the totals of its groups; nulls of a key are together. A group's rows meet the totals in up to `parts` parts, by the hash of the row; the totals themselves are combined before they are shuffled."""
+    part, *names = fresh(df, "part", *[f"k{i}" for i in range(len(keys))])
+    dealt = df.withColumn(part, F.pmod(F.xxhash64(*df.columns), F.lit(parts)).cast("int"))
+    sums = dealt.groupBy(*[F.col(k).alias(name) for k, name in zip(keys, names, strict=True)]).agg(*totals, F.collect_set(part).alias(f"{part}s"))
+    apart = sums.withColumn(f"{part}s", F.explode(f"{part}s"))
+    on = F.col(f"{part}s") == F.col(part)
+    for k, name in zip(keys, names, strict=True):
+        on = on & F.col(k).eqNullSafe(F.col(name))
+    return dealt.join(apart, on, "left").drop(part, f"{part}s", *names)

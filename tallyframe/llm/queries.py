@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, exact_topk, jaccard, langid, line_dedup, lm, mixing, pii, sentencepiece_codec, sharding
+from . import ann, compress, decontaminate, exact_topk, hard_negatives, jaccard, langid, line_dedup, lm, mixing, pii, sentencepiece_codec, sharding
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.op1_sentencepiece,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_lm_score": lm.op9_lm_score,
     "op10_ngram_jaccard": jaccard.op10_ngram_jaccard,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+    "op12_decontaminate": decontaminate.op12_decontaminate,
+    "op13_compress": compress.op13_compress,
 }
 SQL = {
     "op2_sharding": sharding.OP2_SQL,
@@ -23,4 +26,7 @@ SQL = {
     "op6_ann": ann.OP6_SQL,
     "op8_line_dedup": line_dedup.OP8_SQL,
     "op10_ngram_jaccard": jaccard.OP10_SQL,
+    "op11_hard_negatives": hard_negatives.OP11_SQL,
+    "op12_decontaminate": decontaminate.OP12_SQL,
+    "op13_compress": compress.OP13_SQL,
 }
