@@ -26,33 +26,41 @@ def normalize_name(s: Column) -> Column:
     return F.trim(F.regexp_replace(plain, r"[^\p{L}\p{M}\p{N}]+", " "))
 
 
-def significant_tokens(s: Column) -> Column:
-    every = F.filter(F.split(normalize_name(s), " "), lambda t: t != "")
+def tokens_of(form: Column) -> Column:
+    """The telling words of a normal form; all of them if none tells."""
+    every = F.filter(F.split(form, " "), lambda t: t != "")
     telling = F.filter(every, lambda t: ~t.isin(*STOP_WORDS) & (F.length(t) > 1))
     return F.when(F.size(telling) > 0, telling).otherwise(every)
 
 
-def _edit_share(a: Column, b: Column) -> Column:
+def significant_tokens(s: Column) -> Column:
+    return tokens_of(normalize_name(s))
+
+
+def edit_share(a: Column, b: Column) -> Column:
     return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
 
 
 def character_similarity(a: Column, b: Column) -> Column:
     """1 - edit distance / longer length, of the normal forms; 0 if either is empty."""
     x, y = normalize_name(a), normalize_name(b)
-    return F.when((F.length(x) == 0) | (F.length(y) == 0), 0.0).when(x == y, 1.0).otherwise(_edit_share(x, y))
+    return F.when((F.length(x) == 0) | (F.length(y) == 0), 0.0).when(x == y, 1.0).otherwise(edit_share(x, y))
 
 
-def token_similarity(a: Column, b: Column) -> Column:
-    """The mean of each telling token's best match in the other name, both ways."""
-    x, y = significant_tokens(a), significant_tokens(b)
+def token_share(x: Column, y: Column) -> Column:
+    """Of token arrays: the mean of each token's best match in the other, both ways."""
 
     def one_way(p: Column, q: Column) -> Column:
-        best = F.transform(p, lambda t: F.array_max(F.transform(q, lambda u: F.when(t == u, F.lit(1.0)).otherwise(_edit_share(t, u)))))
+        best = F.transform(p, lambda t: F.array_max(F.transform(q, lambda u: F.when(t == u, F.lit(1.0)).otherwise(edit_share(t, u)))))
         return F.aggregate(best, F.lit(0.0), lambda s, v: s + v) / F.size(p)
 
     return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise((one_way(x, y) + one_way(y, x)) / 2)
 
 
+def token_similarity(a: Column, b: Column) -> Column:
+    return token_share(significant_tokens(a), significant_tokens(b))
+
+
 def name_similarity(a: Column, b: Column) -> Column:
     c, t = character_similarity(a, b), token_similarity(a, b)
     return F.greatest(c, t) * 0.7 + F.least(c, t) * 0.3

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyframe.functions import numeric
 from tallyframe.functions.text import joined_fragments, matchable_names, name_similarity, normalize_name
 from tallyframe.model import Config
+from tallyframe.operators import similar
 from tallyframe.operators.sequences import compare
 from tallyframe.sources import catalog
 
@@ -18,8 +19,7 @@ def name_scores(fragments: DataFrame, templates: DataFrame, config: Config = Con
     pieces = fragments.select("card_id", F.explode(joined_fragments(telling)).alias("fragment")).distinct()
     names = templates.select("template_id", F.explode(matchable_names(F.col("name"), F.col("facility"), F.col("layout"), F.col("aliases"))).alias("printed"))
     # similarity is worked out once for each distinct pair of texts, not for each card
-    texts = pieces.select("fragment").distinct().crossJoin(names.select("printed").distinct())
-    sims = texts.select("fragment", "printed", name_similarity(F.col("fragment"), F.col("printed")).alias("s")).where(F.col("s") >= config.matching.name_floor)
+    sims = similar.by_name(pieces, "fragment", names, "printed", config.matching.name_floor).withColumnRenamed("similarity", "s")
     hit = pieces.join(sims, "fragment").join(names, "printed")
     return hit.groupBy("card_id", "template_id").agg(F.max("s").alias("name_score"), F.max_by("fragment", F.struct("s", "printed")).alias("fragment"))
 

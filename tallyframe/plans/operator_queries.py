@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions import fields, geometry, numeric, text
 from tallyframe.functions.geometry import Box
-from tallyframe.operators import confidence, history, match, remote, report
+from tallyframe.model import Matching
+from tallyframe.operators import confidence, history, match, remote, report, similar
 from tallyframe.plans import cards as pipeline
 from tallyframe.plans.table_queries import CELLS, _number_sql, cells, query, table
 from tallyframe.sources import catalog, store
@@ -351,3 +352,23 @@ def reparse_adopted(spark, sf_dir):
     fresh = s.cards.join(cells(spark, sf_dir).groupBy("card_id").agg(F.count("raw").alias("all")), "card_id").withColumn("scored", F.col("all")).withColumn("hole_count", F.col("hole_count") + F.when(k % 5 == 0, 1).otherwise(0)).drop("all")
     new = pipeline.replace(s, cards=fresh)
     return pipeline.reidentify(old, new).cards.select("card_id", "selected").join(pipeline.better_reparse(old, new), "card_id")
+
+
+_STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
+_EDIT = "CASE WHEN {a} = {b} THEN 1.0::DOUBLE ELSE 1 - CAST(levenshtein({a}, {b}) AS DOUBLE) / GREATEST(len({a}), len({b})) END"
+_ONE_WAY = "list_reduce(list_prepend(0.0::DOUBLE, list_transform({p}, lambda t: list_max(list_transform({q}, lambda u: " + _EDIT.format(a="t", b="u") + ")))), lambda a, b: a + b) / len({p})"
+
+
+@query(f"""WITH names AS (SELECT DISTINCT p_name || ' ' || lower(p_type) || CASE WHEN p_size % 3 = 0 THEN ' Golf Club' ELSE '' END AS name FROM part), seen AS (SELECT DISTINCT translate(p_name, 'ei', 'cl') || CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN ' ' || p_type WHEN 2 THEN ' ' || replace(p_type, 'O', '0') || ' Club' ELSE ' ' || substr(p_brand, 7) END AS seen FROM part),
+ f AS (SELECT seen, {_NAME.format(c='seen')} AS x FROM seen), g AS (SELECT name, {_NAME.format(c='name')} AS y FROM names),
+ tx AS (SELECT *, string_split(x, ' ') AS e, list_filter(string_split(x, ' '), lambda t: len(t) > 1 AND t NOT IN ({_STOP})) AS k FROM f), ty AS (SELECT *, string_split(y, ' ') AS e, list_filter(string_split(y, ' '), lambda t: len(t) > 1 AND t NOT IN ({_STOP})) AS k FROM g),
+ p AS (SELECT seen, name, x, y, CASE WHEN len(tx.k) > 0 THEN tx.k ELSE tx.e END AS xs, CASE WHEN len(ty.k) > 0 THEN ty.k ELSE ty.e END AS ys FROM tx CROSS JOIN ty),
+ s AS (SELECT seen, name, {_EDIT.format(a='x', b='y')} AS c, ({_ONE_WAY.format(p='xs', q='ys')} + {_ONE_WAY.format(p='ys', q='xs')}) / 2 AS t FROM p)
+ SELECT seen, name, ROUND(GREATEST(c, t) * 0.7::DOUBLE + LEAST(c, t) * 0.3::DOUBLE, 9) AS similarity FROM s WHERE GREATEST(c, t) * 0.7::DOUBLE + LEAST(c, t) * 0.3::DOUBLE >= 0.62::DOUBLE""")
+def names_met(spark, sf_dir):
+    """Damaged names against all names, by the index, at the floor of the matching."""
+    p, k = table(spark, sf_dir, "part"), F.col("p_size")
+    names = p.select(F.concat("p_name", F.lit(" "), F.lower("p_type"), F.when(k % 3 == 0, " Golf Club").otherwise("")).alias("name"))
+    tail = F.when(k % 4 == 0, "").when(k % 4 == 1, F.concat(F.lit(" "), "p_type")).when(k % 4 == 2, F.concat(F.lit(" "), F.translate("p_type", "O", "0"), F.lit(" Club"))).otherwise(F.concat(F.lit(" "), F.substring("p_brand", 7, 9)))
+    seen = p.select(F.concat(F.translate("p_name", "ei", "cl"), tail).alias("seen"))
+    return similar.by_name(seen, "seen", names, "name", Matching().name_floor, few=0).select("seen", "name", F.round("similarity", 9).alias("similarity"))

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions import fields, numeric, text
-from tallyframe.operators import checksum, folds, history, rows, sequences
+from tallyframe.model import Matching
+from tallyframe.operators import checksum, folds, history, rows, sequences, similar
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -207,12 +208,11 @@ def numeric_candidates(spark, sf_dir):
  c AS (SELECT s.seen, n.name, CASE WHEN s.seen = n.name THEN 1.0::DOUBLE ELSE 1 - CAST(levenshtein(lower(s.seen), lower(n.name)) AS DOUBLE) / GREATEST(len(s.seen), len(n.name)) END AS sim FROM (SELECT DISTINCT seen FROM b) s CROSS JOIN n),
  r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY seen ORDER BY sim DESC, name) AS k FROM c) SELECT b.p_partkey, b.seen, r.name, r.sim AS similarity FROM b JOIN r ON r.seen = b.seen WHERE r.k = 1""")
 def name_similarity_top1(spark, sf_dir):
-    # every distinct text is held against every distinct name, once, whatever the rows that bear it
+    # distinct texts meet distinct names by an index of bigrams, once, whatever the rows that bear them
     p = table(spark, sf_dir, "part")
     names = p.select(F.col("p_name").alias("name")).distinct()
     seen = p.select("p_partkey", F.translate("p_name", "ei", "cl").alias("seen"))
-    pairs = seen.select("seen").distinct().crossJoin(names).withColumn("similarity", text.character_similarity(F.col("seen"), F.col("name")))
-    return seen.join(sequences.top1(pairs, ["seen"], "similarity", ["name"]), "seen").select("p_partkey", "seen", "name", "similarity")
+    return seen.join(similar.closest(seen, "seen", names, "name", Matching().name_floor), "seen").select("p_partkey", "seen", "name", "similarity")
 
 
 @query("""WITH e AS (SELECT c_nationkey AS tid, c_mktsegment AS seg, COUNT(*) AS n FROM customer GROUP BY 1, 2), t AS (SELECT c_nationkey AS tid, COUNT(*) AS all_n FROM customer GROUP BY 1),
