@@ -83,9 +83,9 @@ def height_uniformity(h: Column) -> Column:
     return F.when(F.count(positive) <= 1, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.least(F.lit(1.0), spread)))
 
 
-def upper_median(v: Column) -> Column:
-    """The middle value, the upper of two: an aggregate."""
-    return F.get(F.array_sort(F.collect_list(v)), F.floor(F.count(v) / 2).cast("int"))
+def upper_median(name: str) -> Column:
+    """The middle value of a column, the upper of two: an aggregate for groups of few distinct values, which it counts; operators.medians serves large ones."""
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{name}` DESC)")
 
 
 def confidence_text(c: Column) -> Column:

@@ -9,33 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.model import Clustering
-
-
-def cluster_bands(items: Column, tolerance: Column, overlap: float = Clustering().overlap) -> Column:
-    """Row numbers of items sorted by middle: structs with mid, top, bottom.
-
-    An item joins the current row if its middle is near the row's running mean, or if it overlaps the row's
-    growing envelope by a share of the smaller height; else it opens a row.
-    """
-    zero, none = F.lit(0.0), F.lit(None).cast("double")
-    start = F.struct(F.lit(-1).alias("row"), zero.alias("sum"), F.lit(0).alias("n"), none.alias("top"), none.alias("bottom"), F.array().cast("array<int>").alias("rows"))
-
-    def step(a: Column, x: Column) -> Column:
-        shared = F.least(a["bottom"], x["bottom"]) - F.greatest(a["top"], x["top"])
-        smaller = F.least(a["bottom"] - a["top"], x["bottom"] - x["top"])
-        near = F.abs(x["mid"] - a["sum"] / F.when(a["n"] > 0, a["n"])) <= tolerance
-        strong = (shared > 0) & (smaller > 0) & (shared / F.when(smaller > 0, smaller) >= overlap)
-        joins = (a["n"] > 0) & (F.coalesce(near, F.lit(False)) | F.coalesce(strong, F.lit(False)))
-        row = F.when(joins, a["row"]).otherwise(a["row"] + 1)
-        return F.struct(
-            row.alias("row"), F.when(joins, a["sum"] + x["mid"]).otherwise(x["mid"]).alias("sum"), F.when(joins, a["n"] + 1).otherwise(F.lit(1)).alias("n"),
-            F.when(joins, F.least(a["top"], x["top"])).otherwise(x["top"]).alias("top"), F.when(joins, F.greatest(a["bottom"], x["bottom"])).otherwise(x["bottom"]).alias("bottom"),
-            F.concat(a["rows"], F.array(row)).alias("rows"),
-        )
-
-    return F.aggregate(items, start, step, lambda a: a["rows"])
-
 
 def ordered_run(values: Column, start: int, span: int = 17) -> Column:
     """Of values in order (null: unreadable), the run start, start + 1, ...; once it has begun, one number may be missing. Structs (at, value)."""

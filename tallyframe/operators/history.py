@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyframe.operators.ranks import ranked
+
 
 def summary(rounds: DataFrame) -> DataFrame:
     """rounds (round_id, course_id, total): counts, the average and best of complete ones, and where the best was."""
@@ -29,14 +31,14 @@ def _placed(rounds: DataFrame, by: str) -> DataFrame:
 def by_month(rounds: DataFrame) -> DataFrame:
     """Each round's month, the month's place (newest first) and the round's place in it. Months are ranked in a table of months."""
     r = rounds.withColumn("_m", F.date_trunc("month", "date_played"))
-    months = r.select("_m").distinct().withColumn("group_rank", F.row_number().over(Window.orderBy(F.desc("_m"))))
+    months = r.select("_m").distinct().transform(ranked, F.desc("_m"), name="group_rank")
     return _placed(r, "_m").join(months, "_m").select("round_id", F.date_format("_m", "yyyy-MM").alias("month"), "group_rank", "position")
 
 
 def by_course(rounds: DataFrame) -> DataFrame:
     """As by_month, by title; rounds without a course share a bucket."""
     r = rounds.withColumn("title", F.coalesce("course_name", F.lit("Unknown course")))
-    titles = r.select("title").distinct().withColumn("group_rank", F.row_number().over(Window.orderBy("title")))
+    titles = r.select("title").distinct().transform(ranked, "title", name="group_rank")
     return _placed(r, "title").join(titles, "title").select("round_id", "title", "group_rank", "position")
 
 

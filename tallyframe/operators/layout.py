@@ -15,7 +15,7 @@ from tallyframe.functions import fields, geometry, numeric
 from tallyframe.functions.geometry import Box
 from tallyframe.functions.text import normalize_label, trimmed
 from tallyframe.model import Config
-from tallyframe.operators import folds, rows
+from tallyframe.operators import bands, folds, rows
 
 
 @dataclass(frozen=True)
@@ -66,11 +66,8 @@ def deskewed(obs: DataFrame, config: Config = Config()) -> DataFrame:
 def cluster_rows(obs: DataFrame, config: Config = Config()) -> DataFrame:
     """obs (deskewed) with row (from the top) and place (from the left)."""
     c, box = config.clustering, Box.of()
-    kept = [n for n in obs.columns if n not in ("card_id",)]
-    items = obs.groupBy("card_id").agg(F.array_sort(F.collect_list(F.struct(box.mid_y.alias("mid"), F.col("x").alias("left"), F.col("obs_seq").alias("seq"), F.col("y").alias("top"), box.max_y.alias("bottom"), F.struct(*kept).alias("o")))).alias("items"), F.first("median_height").alias("mh"))
-    tolerance = F.greatest(F.coalesce("mh", F.lit(c.default_height)) * c.row_tolerance, F.lit(c.floor))
-    tagged = items.withColumn("rows", folds.cluster_bands(F.col("items"), tolerance, c.overlap))
-    flat = tagged.select("card_id", F.explode(F.zip_with("items", "rows", lambda i, r: F.struct(i["o"].alias("o"), r.alias("row")))).alias("z")).select("card_id", "z.o.*", "z.row")
+    tolerance = F.greatest(F.coalesce("median_height", F.lit(c.default_height)) * c.row_tolerance, F.lit(c.floor))
+    flat = bands.clustered(obs, ["card_id"], box.mid_y, F.col("y"), box.max_y, tolerance, ["x", "obs_seq"], c.overlap)
     place = Window.partitionBy("card_id", "row").orderBy("x", "obs_seq")
     return flat.withColumn("place", F.row_number().over(place) - 1)
 
@@ -121,7 +118,7 @@ def aggregate_columns(obs: DataFrame, columns: DataFrame, config: Config = Confi
     kind = F.when(token.isin(*rows.LABELS["out"]), "out").when(token.isin(*rows.LABELS["in"]), "in").when(token.isin(*rows.LABELS["total"]), "total")
     named = obs.withColumn("kind", kind).where("kind IS NOT NULL").join(grid, ["card_id", "section"]).where(Box.of().mid_x >= F.col("grid_min"))
     half = F.first("pitch") * config.grid.aggregate
-    out = named.groupBy("card_id", "section", "kind").agg(fields.upper_median(Box.of().mid_x).alias("centre"), F.greatest(half, F.max("w")).alias("width"))
+    out = named.withColumn("_mid", Box.of().mid_x).groupBy("card_id", "section", "kind").agg(fields.upper_median("_mid").alias("centre"), F.greatest(half, F.max("w")).alias("width"))
     return out.select("card_id", "section", "kind", "centre", (F.col("centre") - F.col("width") / 2).alias("min_x"), (F.col("centre") + F.col("width") / 2).alias("max_x"))
 
 
@@ -153,10 +150,9 @@ def refine(columns: DataFrame, obs: DataFrame, aggs: DataFrame, config: Config =
 def cells(obs: DataFrame, columns: DataFrame, aggs: DataFrame) -> DataFrame:
     """(card_id, section, row, hole, text, confidence, n, ...) of cells that hold anything."""
     free = _outside_aggregates(obs, aggs)
-    hit = free.join(columns.select("card_id", "section", "hole", "interpolated", "min_x", "max_x"), ["card_id", "section"]).where(_within(Box.of().mid_x, "min_x", "max_x"))
-    first = Window.partitionBy("card_id", "obs_seq").orderBy("hole")
-    one = hit.withColumn("_k", F.row_number().over(first)).where("_k = 1")
-    return _read_cells(one, ["card_id", "section", "row", "hole", "interpolated"])
+    known = columns.select("card_id", "section", "hole", "interpolated", F.col("min_x").alias("low"), F.col("max_x").alias("high"))
+    hit = bands.located_by(free, known, ["card_id", "section"], Box.of().mid_x, ["hole", "interpolated"]).where("hole IS NOT NULL")
+    return _read_cells(hit, ["card_id", "section", "row", "hole", "interpolated"])
 
 
 def aggregate_cells(obs: DataFrame, aggs: DataFrame) -> DataFrame:

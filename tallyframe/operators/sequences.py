@@ -80,16 +80,6 @@ def bands(centres: DataFrame, centre: str, tie: str, by: list[str] | None = None
     )
 
 
-def band_join(df: DataFrame, columns: DataFrame, value: str, most: int = 10_000) -> DataFrame:
-    """Each row with the column that its value falls in. A few columns become one sorted array that every row searches; more are joined by range."""
-    few = columns.limit(most + 1).count() <= most
-    if not few:
-        return df.join(columns, (F.col(value) >= F.col("low")) & (F.col(value) < F.col("high")), "left").drop("low", "high", "centre")
-    packed = columns.agg(F.array_sort(F.collect_list(F.struct("low", "high", "hole"))).alias("_columns"))
-    hit = F.get(F.filter("_columns", lambda c: (F.col(value) >= c["low"]) & (F.col(value) < c["high"])), F.lit(0))
-    return df.join(F.broadcast(packed)).withColumn("hole", hit["hole"]).drop("_columns")
-
-
 def pitch(df: DataFrame, by: list[str], value: str, ties: list[str], default: float = Grid().default_pitch) -> DataFrame:
     """The median gap between neighbours."""
     order = Window.partitionBy(*by).orderBy(value, *ties)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions import fields
+from tallyframe.lineage import cut  # noqa: F401  what parse() takes as keep
 from tallyframe.model import Config
 from tallyframe.operators import checksum, confidence, extract, layout, match, remote
 from tallyframe.sources import catalog
@@ -197,13 +198,3 @@ def integrate(cards: Scorecards, payloads: DataFrame, config: Config = Config(),
     base = base.withColumn("warnings", F.concat(own, confidence.listed(confidence.warning(F.col("bad") > 0, "remoteScoresContradictTotals", "warning")))).drop("bad", "_hit")
     done = confidence.evaluate(base, solved, config)
     return replace(cards, cards=done, holes=solved, players=all_players, scores=every, halves=halves), audits
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder of spark.checkpoint.dir (one of our own where it is unset): relations that many steps read are worked out once, and plans stay short."""
-    sc = df.sparkSession.sparkContext
-    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
-        import tempfile
-
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tallyframe-"))
-    return df.checkpoint()

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tallyframe.functions import fields, geometry, numeric, text
 from tallyframe.functions.geometry import Box
 from tallyframe.model import Matching
-from tallyframe.operators import confidence, history, match, remote, report, similar
+from tallyframe.operators import bands, confidence, history, match, remote, report, similar
+from tallyframe.operators.ranks import ranked
 from tallyframe.plans import cards as pipeline
 from tallyframe.plans.table_queries import CELLS, _number_sql, cells, query, table
 from tallyframe.sources import catalog, store
@@ -372,3 +373,15 @@ def names_met(spark, sf_dir):
     tail = F.when(k % 4 == 0, "").when(k % 4 == 1, F.concat(F.lit(" "), "p_type")).when(k % 4 == 2, F.concat(F.lit(" "), F.translate("p_type", "O", "0"), F.lit(" Club"))).otherwise(F.concat(F.lit(" "), F.substring("p_brand", 7, 9)))
     seen = p.select(F.concat(F.translate("p_name", "ei", "cl"), tail).alias("seen"))
     return similar.by_name(seen, "seen", names, "name", Matching().name_floor, few=0).select("seen", "name", F.round("similarity", 9).alias("similarity"))
+
+
+@query("""WITH k AS (SELECT DISTINCT ROUND(l_extendedprice, 2) AS low FROM lineitem), b AS (SELECT low, LEAST(COALESCE(LEAD(low) OVER (ORDER BY low), low + 10), low + 25) AS high FROM k)
+ SELECT o.o_orderkey, b.low AS band FROM orders o LEFT JOIN b ON o.o_totalprice / 3 >= b.low AND o.o_totalprice / 3 < b.high""")
+def many_bands(spark, sf_dir):
+    """Orders in price bands, as many as there are prices: bisected in chunks."""
+    k = table(spark, sf_dir, "lineitem").select(F.round("l_extendedprice", 2).alias("low")).distinct()
+    nxt = ranked(k, "low")
+    after = nxt.select((F.col("rank") - 1).alias("rank"), F.col("low").alias("_next"))
+    b = nxt.join(after, "rank", "left").select("low", F.least(F.coalesce("_next", F.col("low") + 10), F.col("low") + 25).alias("high"), F.col("low").alias("band"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") / 3).alias("price"))
+    return bands.located(o, b, "price", ["band"]).select("o_orderkey", "band")

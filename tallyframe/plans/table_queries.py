@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions import fields, numeric, text
 from tallyframe.model import Matching
-from tallyframe.operators import checksum, folds, history, rows, sequences, similar
+from tallyframe.operators import bands, checksum, folds, history, medians, rows, sequences, similar
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -243,7 +243,7 @@ def range_neighbour_top1(spark, sf_dir):
 def band_join_columns(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     centres = e.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("centre"))  # one row per type
-    return sequences.band_join(e.select("event_id", "value"), sequences.bands(centres, "centre", "event_type"), "value").select("event_id", "hole")
+    return bands.located(e.select("event_id", "value"), sequences.bands(centres, "centre", "event_type"), "value", ["hole"]).select("event_id", "hole")
 
 
 @query("""WITH g AS (SELECT user_id, value - LAG(value) OVER (PARTITION BY user_id ORDER BY value, event_id) AS gap FROM events) SELECT user_id, ROUND(COALESCE(MEDIAN(gap), 0.05), 9) AS pitch FROM g GROUP BY user_id""")
@@ -253,7 +253,7 @@ def median_pitch(spark, sf_dir):
 
 @query("SELECT l_orderkey AS card_id, list_sort(list(l_quantity))[len(list(l_quantity)) // 2 + 1] AS centre FROM lineitem GROUP BY l_orderkey")
 def upper_median(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("card_id")).agg(fields.upper_median(F.col("l_quantity")).alias("centre"))
+    return medians.upper_medians(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("card_id"), "l_quantity"), ["card_id"], "l_quantity", "centre")
 
 
 @query("""SELECT l_orderkey AS card_id, ROUND(CASE WHEN COUNT(CASE WHEN l_extendedprice > 0 THEN 1 END) <= 1 THEN 1.0::DOUBLE ELSE GREATEST(0.0::DOUBLE, 1 - LEAST(1.0::DOUBLE, stddev_pop(CASE WHEN l_extendedprice > 0 THEN l_extendedprice END) / AVG(CASE WHEN l_extendedprice > 0 THEN l_extendedprice END) * 2.5::DOUBLE)) END, 6) AS uniformity FROM lineitem GROUP BY 1""")
@@ -315,10 +315,8 @@ def header_run(spark, sf_dir):
  SELECT event_id, CAST(row AS INT) AS row FROM f""")
 def row_clusters(spark, sf_dir):
     v = F.col("value")
-    g = folds.sorted_list(table(spark, sf_dir, "events"), ["user_id"], mid=v, event_id=F.col("event_id"), top=v - 1.5, bottom=v + 1.5)
-    out = g.withColumn("rows", folds.cluster_bands(F.col("items"), F.lit(1.86)))
-    paired = F.zip_with(F.col("items"), F.col("rows"), lambda x, r: F.struct(x["event_id"].alias("event_id"), r.alias("row")))
-    return out.select(F.explode(paired).alias("z")).select("z.event_id", "z.row")
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "value")
+    return bands.clustered(e, ["user_id"], v, v - 1.5, v + 1.5, F.lit(1.86), ["event_id"]).select("event_id", "row")
 
 
 @query("""WITH r AS (SELECT o_custkey AS course, CASE WHEN o_orderkey % 6 <> 0 THEN CAST(floor(o_totalprice) AS BIGINT) END AS total, o_orderkey FROM orders)
