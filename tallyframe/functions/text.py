@@ -2,13 +2,31 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that don't tell one course from another.
 STOP_WORDS = ("golf", "club", "course", "links", "the", "at", "of", "and", "cc", "country", "gc", "g", "c", "national", "resort")
-_ACCENTED = "àáâãäåāăąçćčďèéêëēėęěìíîïīįłñńňòóôõöøōőřśšťùúûüūůűýÿźżž"
-_PLAIN = "aaaaaaaaacccdeeeeeeeeiiiiiilnnnoooooooorsstuuuuuuuyyzzz"
+# Letters with strokes, which have no decomposition.
+_STROKED, _PLAIN = "łøđħŧ", "lodht"
+
+
+def _folded() -> tuple[str, str]:
+    """Small letters of alphabets below U+2000 whose canonical decomposition is one letter and combining marks, and those letters."""
+    pairs = []
+    for point in range(0xC0, 0x2000):
+        letter = chr(point)
+        base, *marks = unicodedata.normalize("NFD", letter)
+        if marks and letter == letter.lower() and base.isalpha() and all(unicodedata.combining(m) for m in marks):
+            pairs.append((letter, base))
+    return "".join(x for x, _ in pairs), "".join(x for _, x in pairs)
+
+
+_FROM, _TO = (x + y for x, y in zip(_folded(), (_STROKED, _PLAIN), strict=True))
+#: Combining marks that stand after their letter.
+_MARKS = r"[\u0300-\u036F\u1AB0-\u1AFF\u1DC0-\u1DFF\u20D0-\u20FF\uFE20-\uFE2F]"
 
 
 def trimmed(s: Column) -> Column:
@@ -22,7 +40,7 @@ def normalize_label(s: Column) -> Column:
 
 def normalize_name(s: Column) -> Column:
     """Lower case without accents; anything but letters and digits is one blank between words."""
-    plain = F.translate(F.lower(s), _ACCENTED, _PLAIN)
+    plain = F.translate(F.regexp_replace(F.lower(s), _MARKS, ""), _FROM, _TO)
     return F.trim(F.regexp_replace(plain, r"[^\p{L}\p{M}\p{N}]+", " "))
 
 

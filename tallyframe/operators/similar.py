@@ -52,6 +52,12 @@ def _band(n: Column, floor: float) -> Column:
     return F.floor(F.log(n) / (math.log(1 / floor) + 1e-6)).cast("int")
 
 
+def _spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Dealt by the keys to as many tasks as can run: rows are small and their work is not, so sizes would put them in too few."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def candidates(left: DataFrame, right: DataFrame, floor: float) -> DataFrame:
     """left, right: (form), distinct and not empty. The pairs (l, r) that pass the filters: all within the floor, and some others."""
     if floor < LEAST_FLOOR:
@@ -63,7 +69,7 @@ def candidates(left: DataFrame, right: DataFrame, floor: float) -> DataFrame:
     posted = ranked.join(one.select("form", "sides", "n"), "form").withColumn("prefix", F.slice("grams", F.lit(1), _posted(F.col("n"), floor))).withColumn("band", _band(F.col("n"), floor))
     row = lambda side, bands, c: posted.where(F.array_contains("sides", side)).select(F.col("form").alias(c), F.col("n").alias(f"{c}_n"), F.col("grams").alias(f"{c}_grams"), F.col("prefix").alias(f"{c}_prefix"), F.explode(bands).alias("band")).select("*", F.explode(f"{c}_prefix").alias("gram"))
     near = F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)
-    met = row(0, near, "l").join(row(1, F.array("band"), "r"), ["gram", "band"])
+    met = _spread(row(0, near, "l"), "gram", "band").join(_spread(row(1, F.array("band"), "r"), "gram", "band"), ["gram", "band"])
     longer = F.greatest("l_n", "r_n")
     k = _edits(longer, floor)
     first = F.get(F.array_intersect("l_prefix", "r_prefix"), F.lit(0)) == F.col("gram")
@@ -121,7 +127,7 @@ def by_name(texts: DataFrame, left: str, names: DataFrame, right: str, floor: fl
     if nf.limit(few + 1).count() <= few:
         met = tf.withColumnRenamed("form", "l").join(F.broadcast(nf.withColumnRenamed("form", "r")))
     else:
-        met = candidates(tf, nf, floor).unionByName(token_candidates(tf, nf, floor)).distinct()
+        met = _spread(candidates(tf, nf, floor).unionByName(token_candidates(tf, nf, floor)), "l", "r").distinct()
     return _named(_scored(met, floor), t, n, left, right)
 
 

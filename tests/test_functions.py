@@ -39,6 +39,11 @@ def test_number_similarity(one, a, b, want):
 def test_names(one):
     assert one(text.normalize_name(F.lit("Bear's Best Atlanta"))) == "bear s best atlanta"
     assert one(text.normalize_name(F.lit(" Château  Élan "))) == "chateau elan"
+    same = ("Château Élan", "CHÂTEAU ÉLAN", "Cha\u0302teau E\u0301lan", "chateau elan")
+    assert {one(text.normalize_name(F.lit(x))) for x in same} == {"chateau elan"}
+    # outside the letters that Western names need: stacked accents, Greek, Cyrillic, and letters with strokes
+    assert [one(text.normalize_name(F.lit(x))) for x in ("Nguyễn Ǻ", "Ἀθῆναι", "Йошкар", "Łódź Ørsted")] == ["nguyen a", "αθηναι", "иошкар", "lodz orsted"]
+    assert one(text.normalize_name(F.lit("漢字 हिन्दी"))) == "漢字 हिन्दी"
     assert one(text.significant_tokens(F.lit("The Golf Club"))) == ["the", "golf", "club"]
     good = one(text.name_similarity(F.lit("STEE CANYQN GOLE CLUB"), F.lit("Steel Canyon Golf Club")))
     bad = one(text.name_similarity(F.lit("Browns Mill Golf Course"), F.lit("Steel Canyon Golf Club")))
