@@ -8,7 +8,8 @@ prediction is the largest share of the chosen set, the score its share in the mi
 
 Learning takes whole texts of at most SAMPLE labelled documents of each language: ids are dealt into
 BUCKETS by their hash, and of each bucket those with the least hashes are taken, so no task ranks all ids
-of a language. The model has one row of BINS numbers for each language, which bounds what is sent along.
+of a language. Every label is learned. The model has one row of BINS numbers for each language; more than
+LANGUAGES of them, which are labels of another kind, end in an error instead of a model that a worker can't hold.
 
 Cases: text that is null or has no letter is `und`, score 0, without languages; so is everything if no
 labelled document was learned from. A null or empty label isn't learned. Text of one or two characters is
@@ -29,8 +30,8 @@ from pyspark.sql import types as T
 from .common import crc_mod, table
 
 BINS_LOG, SAMPLE, BUCKETS = 15, 2048, 64
-#: Languages learned at most; with SAMPLE, the bound of what fitting reads and sends.
-LANGUAGES = 64
+#: More labels than these are refused (512 KB of the model each).
+LANGUAGES = 512
 BINS = 1 << BINS_LOG
 SMOOTHING, ROUNDS, PENALTY = 0.5, 12, 3.0
 UNDETERMINED = "und"
@@ -84,11 +85,11 @@ class Model:
         return share, float(np.log(share @ p) @ count)
 
 
-def fit(df: DataFrame, labelled: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, most: int = LANGUAGES) -> Model:
-    """A model of the languages in df where `labelled` holds: of the `most` labels with the most documents, so that its size is bounded whatever the labels are."""
+def fit(df: DataFrame, labelled: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
+    """A model of all languages in df where `labelled` holds."""
     known = df.where(labelled & F.col(lang).isNotNull() & (F.col(lang) != "") & F.col(text).isNotNull())
-    frequent = [r[0] for r in known.groupBy(F.col(lang).alias("l")).count().orderBy(F.desc("count"), "l").limit(most).collect()]
-    known = known.where(F.col(lang).isin(frequent)) if frequent else known.limit(0)
+    if known.select(lang).distinct().limit(LANGUAGES + 1).count() > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} labels in {lang}")
     few = Window.partitionBy("_lang", "_bucket").orderBy(F.xxhash64("_id"), "_id")
     dealt = known.select(F.col(doc_id).alias("_id"), F.col(lang).alias("_lang")).withColumn("_bucket", F.pmod(F.xxhash64("_id"), F.lit(BUCKETS)))
     ids = dealt.withColumn("_n", F.row_number().over(few)).where(F.col("_n") <= max(1, sample // BUCKETS)).select("_id", "_lang").distinct()
@@ -114,7 +115,7 @@ def fit(df: DataFrame, labelled: Column, doc_id: str = "doc_id", text: str = "te
 def identify(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """`keep` columns (all, if not given) with lang_pred, score, and the document's set of languages with their shares."""
     made = ["lang_pred", "score", "langs", "shares"]
-    names = [c for c in (keep if keep is not None else df.columns) if c not in made]
+    names = [c for c in (keep if keep is not None else df.columns) if c.lower() not in made]
     schema = df.select(*names).schema.add("lang_pred", T.StringType()).add("score", T.DoubleType()).add("langs", T.ArrayType(T.StringType())).add("shares", T.ArrayType(T.DoubleType()))
     sent = df.sparkSession.sparkContext.broadcast(model)
 

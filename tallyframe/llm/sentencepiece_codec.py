@@ -338,7 +338,7 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", keep: list[st
     With `copies`, a row that repeats the key and text of the row before it draws anew, by its number in the run as well.
     """
     proto = model_bytes(model)
-    names = [c for c in (keep if keep is not None else df.columns) if c not in ("ids", "n_pieces", "text_crc32", "decoded_crc32")]
+    names = [c for c in (keep if keep is not None else df.columns) if c.lower() not in ("ids", "n_pieces", "text_crc32", "decoded_crc32")]
     (own,) = fresh(df, "key")
     rows = df.select(*names, *([] if text in names else [text]), F.coalesce(F.col(key).cast("string"), F.lit("\0null")).alias(own))
     schema = df.select(*names).schema.add("n_pieces", T.IntegerType()).add("ids", T.ArrayType(T.IntegerType())).add("text_crc32", T.LongType()).add("decoded_crc32", T.LongType())

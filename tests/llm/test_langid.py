@@ -73,7 +73,22 @@ def test_proportions_against_a_plain_version():
     assert got == pytest.approx(share, rel=1e-9) and value == pytest.approx(likelihood, rel=1e-9)
 
 
-def test_only_the_most_frequent_labels_are_learned(spark):
-    rows = [(i, "the cat sat on the mat and ran", "en" if i % 3 else f"dirty{i}", None) for i in range(60)]
-    model = langid.fit(docs(spark, rows), F.lit(True), most=1)
-    assert model.langs == ["en"]
+def test_every_label_is_learned(spark):
+    rows = [(i, f"alpha{i % 70} beta{i % 70}x gamma{i % 70 * 7}", f"l{i % 70:02}", None) for i in range(700)] + [(1000 + i, "the usual words of the usual language", "en", None) for i in range(3000)]
+    frame = docs(spark, rows)
+    model = langid.fit(frame, F.lit(True))
+    assert len(model.langs) == 71 and "l69" in model.langs
+    out = langid.identify(frame.where("doc_id < 700"), model).collect()
+    assert sum(r.lang_pred == f"l{r.doc_id % 70:02}" for r in out) > 650
+
+
+def test_too_many_labels_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 5)
+    with pytest.raises(ValueError):
+        langid.fit(docs(spark, [(i, "some text", f"l{i}", None) for i in range(6)]), F.lit(True))
+
+
+def test_columns_that_differ_by_case(spark):
+    frame = docs(spark, [(1, "some words", "en", None)]).selectExpr("*", "1 AS Score", "2 AS LANGS", "3 AS other")
+    out = langid.identify(frame, langid.fit(frame, F.lit(True)))
+    assert {c.lower() for c in out.columns} >= {"score", "langs", "other"} and len({c.lower() for c in out.columns}) == len(out.columns) and out.first().other == 3

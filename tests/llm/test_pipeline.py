@@ -51,8 +51,9 @@ def test_empty_documents(spark, tmp_path):
 
 
 def test_rows_without_labels(spark, tmp_path):
-    frame = docs(spark, [(1, "some words here", None, None), (2, "x y z", None, "a")]).withColumn("lang", F.lit(None).cast("string"))
-    assert corpus_pipeline.language_id(spark, frame, str(tmp_path)).count() == 0  # nothing learned: none can be told
+    frame = docs(spark, [(1, "some words here", None, None), (2, "x y z", None, "a"), (3, None, None, None), (4, "12", None, None)]).withColumn("lang", F.lit(None).cast("string"))
+    kept = corpus_pipeline.language_id(spark, frame, str(tmp_path)).collect()
+    assert {(r.doc_id, r.lang) for r in kept} == {(1, None), (2, None)}  # nothing learned: only texts without letters go
     assert np.isfinite(corpus_pipeline.drop_repeated_lines(spark, frame, str(tmp_path)).count())
 
 

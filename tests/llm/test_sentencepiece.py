@@ -117,3 +117,11 @@ def test_texts_over_several_parts_of_a_batch(spark):
     for i in (0, 39, 200, 239):
         one = sp.encode(docs(spark, [(i, dict(rows)[i])]), keep=["doc_id"]).first()
         assert list(one.ids) == list(whole[i].ids)
+
+
+def test_columns_that_differ_by_case(spark):
+    from tallyframe.llm import sentencepiece_codec
+
+    frame = spark.createDataFrame([(1, "some words", 7, 8)], "doc_id long, text string, IDS int, other int")
+    out = sentencepiece_codec.encode(frame)
+    assert len({c.lower() for c in out.columns}) == len(out.columns) and out.first().other == 8 and out.first().text_crc32 == out.first().decoded_crc32
