@@ -17,8 +17,10 @@ ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be told (no text or no letter) go; those without a label get the predicted one."""
+    """Documents whose language can't be told (no text or no letter) go; those without a label get the predicted one. Where no row has a label, nothing is learned: labels stay empty, and only what has no letter goes."""
     model = langid.fit(docs, F.lit(True))
+    if not model.langs:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     out = langid.identify(docs, model).where(F.col("lang_pred") != langid.UNDETERMINED)
     return out.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
 
