@@ -106,15 +106,11 @@ def merge_passes(first: DataFrame, second: DataFrame, least: float = 0.35) -> Da
     Of a pair, what alone reads as a number wins; of two numbers the numeric pass's, unless it is much less sure; of two words the surer.
     Pairs are taken greedily in the first pass's order, each side once.
     """
-    from tallyframe.functions import geometry, numeric
-    from tallyframe.functions.geometry import Box
-    from tallyframe.operators import folds
+    from tallyframe.functions import numeric
+    from tallyframe.operators import overlaps
 
     b = second.select("card_id", *[F.col(c).alias(f"n_{c}") for c in second.columns if c != "card_id"])
-    iou = geometry.intersection_over_union(Box.of(), Box.of("n_"))
-    pairs = first.join(b, "card_id").withColumn("_iou", iou).where(F.col("_iou") > least).select("card_id", F.col("obs_seq").alias("l"), F.col("n_obs_seq").alias("r"), "_iou")
-    listed = folds.sorted_list(pairs, ["card_id"], l=F.col("l"), iou=-F.col("_iou"), r=F.col("r"))
-    taken = listed.select("card_id", F.explode(folds.one_to_one(F.transform("items", lambda p: F.struct(p["l"].alias("l"), p["r"].alias("r"))))).alias("p")).select("card_id", F.col("p.l").alias("obs_seq"), F.col("p.r").alias("n_obs_seq"))
+    taken = overlaps.matched(overlaps.overlapping(first, second, least)).select("card_id", F.col("l").alias("obs_seq"), F.col("r").alias("n_obs_seq"))
     both = first.join(taken, ["card_id", "obs_seq"], "left").join(b, ["card_id", "n_obs_seq"], "left")
     mine, theirs = numeric.looks_numeric(F.col("text")), numeric.looks_numeric(F.col("n_text"))
     sure = F.when(mine, F.col("n_confidence") >= F.col("confidence") * 0.85).otherwise(True)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyframe.functions import fields, geometry, numeric, text
 from tallyframe.functions.geometry import Box
 from tallyframe.model import Matching
-from tallyframe.operators import bands, confidence, history, match, remote, report, similar
+from tallyframe.operators import bands, confidence, history, match, overlaps, remote, report, similar
 from tallyframe.operators.ranks import ranked
 from tallyframe.plans import cards as pipeline
 from tallyframe.plans.table_queries import CELLS, _number_sql, cells, query, table
@@ -385,3 +385,21 @@ def many_bands(spark, sf_dir):
     b = nxt.join(after, "rank", "left").select("low", F.least(F.coalesce("_next", F.col("low") + 10), F.col("low") + 25).alias("high"), F.col("low").alias("band"))
     o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") / 3).alias("price"))
     return bands.located(o, b, "price", ["band"]).select("o_orderkey", "band")
+
+
+@query("""WITH RECURSIVE b AS (SELECT vec_id, label, abs(CAST(embedding[1] AS DOUBLE)) AS x, abs(CAST(embedding[2] AS DOUBLE)) AS y, abs(CAST(embedding[3] AS DOUBLE)) + 0.05 AS w, abs(CAST(embedding[4] AS DOUBLE)) + 0.05 AS h,
+  abs(CAST(embedding[1] AS DOUBLE)) + CAST(embedding[5] AS DOUBLE) / 20 AS nx, abs(CAST(embedding[2] AS DOUBLE)) + CAST(embedding[6] AS DOUBLE) / 20 AS ny, abs(CAST(embedding[7] AS DOUBLE)) + 0.05 AS nw, abs(CAST(embedding[4] AS DOUBLE)) + 0.06 AS nh FROM embeddings),
+ o AS (SELECT l.label, l.vec_id AS l, r.vec_id AS r, GREATEST(0.0::DOUBLE, LEAST(l.x + l.w, r.nx + r.nw) - GREATEST(l.x, r.nx)) AS ow, GREATEST(0.0::DOUBLE, LEAST(l.y + l.h, r.ny + r.nh) - GREATEST(l.y, r.ny)) AS oh, l.w * l.h AS la, r.nw * r.nh AS ra FROM b l JOIN b r ON l.label = r.label),
+ p AS (SELECT label, l, r, ROW_NUMBER() OVER (PARTITION BY label ORDER BY l, ow * oh / (la + ra - ow * oh) DESC, r) AS k FROM o WHERE ow * oh / (la + ra - ow * oh) > 0.35),
+ t AS (SELECT label, k, [l] AS ls, [r] AS rs FROM p WHERE k = 1 UNION ALL
+  SELECT t.label, p.k, CASE WHEN list_contains(t.ls, p.l) OR list_contains(t.rs, p.r) THEN t.ls ELSE list_append(t.ls, p.l) END, CASE WHEN list_contains(t.ls, p.l) OR list_contains(t.rs, p.r) THEN t.rs ELSE list_append(t.rs, p.r) END FROM t JOIN p ON p.label = t.label AND p.k = t.k + 1),
+ e AS (SELECT label, arg_max(ls, k) AS ls, arg_max(rs, k) AS rs FROM t GROUP BY label)
+ SELECT label, UNNEST(ls) AS l, UNNEST(rs) AS r FROM e""")
+def recognitions_matched(spark, sf_dir):
+    """Two recognitions of a page: boxes of the same label, the second ones moved and resized, matched one to one."""
+    part = lambda i: F.abs(F.get("embedding", F.lit(i)).cast("double"))
+    moved = lambda i: F.get("embedding", F.lit(i)).cast("double") / 20
+    e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("card_id"), F.col("vec_id").alias("obs_seq"), "embedding")
+    one = e.select("card_id", "obs_seq", part(0).alias("x"), part(1).alias("y"), (part(2) + 0.05).alias("w"), (part(3) + 0.05).alias("h"))
+    two = e.select("card_id", "obs_seq", (part(0) + moved(4)).alias("x"), (part(1) + moved(5)).alias("y"), (part(6) + 0.05).alias("w"), (part(3) + 0.06).alias("h"))
+    return overlaps.matched(overlaps.overlapping(one, two, 0.35)).select(F.col("card_id").alias("label"), "l", "r")
