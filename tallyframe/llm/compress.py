@@ -6,7 +6,7 @@
    members' componentwise mean, rounded down. The codebooks, a fixed number of integers, go through the driver.
 3. Each resident is assigned anew where it lies. Only the parts that change entry go through the next shuffle;
    the others stay in their partition, as the union of both keeps the owners' partitioning. DataFrames lose theirs
-   in Python, and native expressions took twenty times as long for an assignment; so the residents are an RDD of
+   in Python, and native expressions took 22 microseconds for an assignment, NumPy 1.3; so the residents are an RDD of
    blocks. They are kept on memory and disk, and every CUT rounds checkpointed, so a lost executor costs a few rounds.
 4. After the last round vectors are encoded row by row with the final codebooks.
 
