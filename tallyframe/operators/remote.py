@@ -14,6 +14,21 @@ PAYLOAD = "struct<courseName:string,teeName:string,players:array<struct<name:str
 MOST_PLAYERS = 8
 
 
+def second_readings(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Files (filename <card_id>.json, content, error) to payloads (card_id string, payload) and what can't be used (filename, reason): files that can't be read, that aren't UTF-8, or that aren't a JSON object with a list of players."""
+    text = F.when(F.is_valid_utf8("content"), F.decode("content", "utf-8"))
+    f = found.select("filename", "error", F.col("content").isNotNull().alias("read"), text.alias("payload"))
+    # a kind of value other than expected becomes null, as does what is no JSON
+    players = F.from_json("payload", "struct<players:array<string>>")["players"]
+    why = (
+        F.when(F.col("error").isNotNull() | ~F.col("read"), F.coalesce("error", F.lit("no content")))
+        .when(F.col("payload").isNull(), "not UTF-8").when(players.isNull(), "not a reading")
+    )
+    f = f.withColumn("reason", why)
+    good = f.where("reason IS NULL").select(F.regexp_replace("filename", r"\.json$", "").alias("card_id"), "payload")
+    return good, f.where("reason IS NOT NULL").select("filename", "reason")
+
+
 def sanitise(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
     """payloads (card_id, hole_count, payload JSON) to (players, scores).
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyframe.functions.fields import strict_sum
 from tallyframe.functions.text import normalize_name
 from tallyframe.plans.cards import Scorecards
+from tallyframe.sources import files
 
 GRACE_SECONDS = 3600
 
@@ -32,18 +33,31 @@ def scan(spark: SparkSession, path: str, where: Column | None = None, order: lis
 
 def images(spark: SparkSession, path: str) -> DataFrame:
     """(filename, bytes, modified) of stored images; the contents aren't read."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return f.select(F.substring_index("path", "/", -1).alias("filename"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
+    return files.latest(files.stored(spark, path)).select("filename", "bytes", "modified")
 
 
-def bytes_on_disk(files: DataFrame) -> DataFrame:
-    return files.agg(F.coalesce(F.sum(F.coalesce("bytes", F.lit(0))), F.lit(0)).alias("bytes"))
+def store_images(scans: DataFrame, path: str) -> DataFrame:
+    """scans (id, original, normalized): both versions are written, or none of any; gives (id, original_filename, normalized_filename). The small version may be missing; a scan without an original has no names."""
+    has, small = F.col("original").isNotNull(), F.col("original").isNotNull() & F.col("normalized").isNotNull()
+    named = scans.withColumn("original_filename", F.when(has, F.concat("id", F.lit("-original.jpg")))).withColumn("normalized_filename", F.when(small, F.concat("id", F.lit("-normalized.jpg"))))
+    pairs = F.array(F.struct(F.col("original_filename").alias("filename"), F.col("original").alias("content")), F.struct(F.col("normalized_filename").alias("filename"), F.col("normalized").alias("content")))
+    files.store(named.select(F.explode(pairs).alias("f")).select("f.*").where("filename IS NOT NULL"), path)
+    return named.select("id", "original_filename", "normalized_filename")
 
 
-def orphan_images(files: DataFrame, refs: DataFrame, now: Column) -> DataFrame:
+def sweep_images(spark: SparkSession, path: str, refs: DataFrame, now: Column) -> None:
+    """Stored images that no reference names and that are older than the grace period are deleted."""
+    files.delete(spark, path, orphan_images(images(spark, path), refs, now))
+
+
+def bytes_on_disk(found: DataFrame) -> DataFrame:
+    return found.agg(F.coalesce(F.sum(F.coalesce("bytes", F.lit(0))), F.lit(0)).alias("bytes"))
+
+
+def orphan_images(found: DataFrame, refs: DataFrame, now: Column) -> DataFrame:
     """Files that no reference names, older than the grace period."""
     named = refs.select(F.explode(F.array("original_filename", "normalized_filename")).alias("filename")).where("filename IS NOT NULL").distinct()
-    old = files.where(now.cast("long") - F.col("modified").cast("long") > GRACE_SECONDS)
+    old = found.where(now.cast("long") - F.col("modified").cast("long") > GRACE_SECONDS)
     return old.join(named, "filename", "left_anti")
 
 
