@@ -85,24 +85,5 @@ def support(halves: DataFrame) -> DataFrame:
     return halves.groupBy("card_id").agg(F.when(against, "contradicted").when(n > 0, "confirmed").otherwise("unavailable").alias("support"), n.alias("confirmed"))
 
 
-def audit(scores: DataFrame, remote: DataFrame, local: DataFrame, hole_count: int = 18, nine: int = 9, policy: Remote = Remote()) -> DataFrame:
-    """Strict sums against two sources of written totals (remote; local with confidences). Per card: verdict, checks made and failed, ceiling."""
-    own = totals(scores, hole_count, nine).select("card_id", "front", "back", "total")
-    if hole_count < nine:
-        own = own.withColumn("front", F.col("total"))
-    sides = own.join(remote.select("card_id", F.col("out").alias("r_out"), F.col("back").alias("r_back"), F.col("total").alias("r_total")), "card_id", "left")
-    sides = sides.join(local.select("card_id", *[F.when(F.col(f"{c}_confidence") >= policy.local_subtotal, F.col(c)).alias(f"l_{c}") for c in ("out", "back", "total")]), "card_id", "left")
-    made = [(F.col(s).isNotNull() & F.col(w).isNotNull(), F.col(s) == F.col(w)) for s, c in (("front", "out"), ("back", "back"), ("total", "total")) for w in (f"r_{c}", f"l_{c}")]
-    n = sum((m.cast("int") for m, _ in made), F.lit(0))
-    bad = sum((F.when(m & ~ok, 1).otherwise(0) for m, ok in made), F.lit(0))
-    verdict = F.when(bad > 0, "contradicted").when(n > 0, "corroborated").when(F.col("total").isNull(), "rowIncomplete").otherwise("noSubtotals")
-    return sides.select("card_id", verdict.alias("verdict"), n.alias("checks"), bad.alias("failures"), ceiling(verdict, policy).alias("ceiling"))
-
-
 def ceiling(verdict: Column, policy: Remote = Remote()) -> Column:
     return F.when(verdict == "contradicted", policy.contradicted).when(verdict == "corroborated", policy.corroborated).otherwise(policy.unverifiable)
-
-
-def strict(value: str, n: int, by: str = "card_id"):
-    """groupBy(by) with a strict sum, for one-off use."""
-    return lambda df: df.groupBy(by).agg(strict_sum(F.col(value), n).alias("total"))

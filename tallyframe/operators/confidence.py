@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from tallyframe.functions.fields import requires_review
 from tallyframe.model import Config
 
-WARNING = "struct<kind:string,severity:string,holes:array<int>>"
+WARNING = "struct<kind:string,severity:string,holes:array<int>,text:string>"
 
 
-def warning(when: Column, kind: str | Column, severity: str, holes: Column | None = None) -> Column:
-    """A warning where the condition holds, else null."""
-    k = F.lit(kind) if isinstance(kind, str) else kind
-    return F.when(when, F.struct(k.alias("kind"), F.lit(severity).alias("severity"), (F.array().cast("array<int>") if holes is None else holes).alias("holes")))
+def warning(when: Column, kind: str | Column, severity: str | Column, holes: Column | None = None, text: Column | None = None) -> Column:
+    """A warning where the condition holds, else null. text: what there is to say beyond the kind."""
+    k, s = (F.lit(v) if isinstance(v, str) else v for v in (kind, severity))
+    none = F.lit(None).cast("string")
+    return F.when(when, F.struct(k.alias("kind"), s.alias("severity"), (F.array().cast("array<int>") if holes is None else holes).alias("holes"), (none if text is None else text).alias("text")))
 
 
 def listed(*warnings: Column) -> Column:
@@ -66,7 +67,7 @@ def evaluate(cards: DataFrame, holes: DataFrame, config: Config = Config()) -> D
         warning(n == 9, "nineHoleRoundDetected", "info"), warning(~n.isin(9, 18), "holeCountMismatch", "warning"), warning(~n.isin(9, 18), "cardLikelyCropped", "warning"),
         warning((F.col("scored") > 0) & (F.col("scored") < n), "incompleteRound", "info", F.col("missing")),
     )
-    blocked = F.array(F.struct(F.lit("noScorecardTableDetected").alias("kind"), F.lit("blocking").alias("severity"), F.array().cast("array<int>").alias("holes")))
+    blocked = F.array(warning(F.lit(True), "noScorecardTableDetected", "blocking"))
     own = F.coalesce("warnings", F.array().cast(f"array<{WARNING}>"))
     return r.select(
         *[c for c in cards.columns if c != "warnings"], F.when(grid, F.greatest(F.lit(0.0), F.least(F.lit(1.0), overall))).otherwise(0.0).alias("overall"), quality.alias("quality"),

@@ -125,7 +125,11 @@ def build_holes(table: Layout, static: DataFrame, tee: DataFrame) -> DataFrame:
     return dense.select("card_id", "hole", *[F.coalesce(c, fields.empty_field()).alias(c) for c in ("par", "stroke_index", "yardage")])
 
 
-def reread_work(table: Layout, scores: DataFrame, players_of: DataFrame, padding: float = 0.25) -> DataFrame:
+#: How far beyond a cell a second look goes, as a share of its sides.
+PADDING = 0.25
+
+
+def reread_work(table: Layout, scores: DataFrame, players_of: DataFrame, padding: float = PADDING) -> DataFrame:
     """(card_id, row, hole, x, y, w, h) of unresolved score cells worth another look, for cards with any score: what an external reader is asked for."""
     open_holes = scores.where(F.col("field.value").isNull()).select("card_id", "player_seq", "hole")
     any_score = scores.where(F.col("field.value").isNotNull()).select("card_id").distinct()

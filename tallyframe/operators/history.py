@@ -65,12 +65,6 @@ def played(courses: DataFrame, rounds: DataFrame) -> DataFrame:
     return courses.join(counts, "course_id", "left").select("course_id", "name", (F.col("marked") | (zero("rounds") > 0)).alias("played"), zero("rounds").alias("rounds"), zero("players").alias("players"))
 
 
-def orphans(files: DataFrame, references: DataFrame) -> DataFrame:
-    """Files that neither nullable reference column names."""
-    named = references.select(F.explode(F.array("original", "normalized")).alias("file_id")).where("file_id IS NOT NULL").distinct()
-    return files.join(named, "file_id", "left_anti")
-
-
 def learned_over_seed(seed: DataFrame, learned: DataFrame, key: str) -> DataFrame:
     """Seed rows, each replaced by the learned one of its key; then what was only learned."""
     renamed = learned.select(F.col(key).alias("_key"), F.col("name").alias("_name"))

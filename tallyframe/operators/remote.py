@@ -55,24 +55,29 @@ def pair(remote: DataFrame, local: DataFrame, config: Config = Config()) -> Data
     return remote.select("card_id", "remote_seq").join(n, "card_id", "left").join(best, ["card_id", "remote_seq"], "left").select("card_id", "remote_seq", F.when(F.col("n") == 1, F.col("only")).otherwise(F.col("named")).alias("player_seq"))
 
 
-def audit(players: DataFrame, scores: DataFrame, local: DataFrame, cards: DataFrame, config: Config = Config()) -> DataFrame:
-    """(card_id, remote_seq, verdict, checks, failures, ceiling) of every remote row."""
+def audit(players: DataFrame, scores: DataFrame, local: DataFrame, cards: DataFrame, config: Config = Config(), nine: int = 9) -> DataFrame:
+    """(card_id, remote_seq, player_seq, name, verdict, checks, failures, ceiling, checked, failed) of every remote row.
+
+    Strict sums of its scores are held against its own written totals and, where they were read surely enough, those of the local row it is
+    paired with. checked: the sums compared; failed: the first that differs, as struct(label, sum, written). Without a name a row is called by its place.
+    """
     r = config.remote
     paired = pair(players, local, config)
     n = cards.select("card_id", "hole_count")
     s = scores.join(n, "card_id")
-    first = F.least(F.lit(9), F.col("hole_count"))
     strict = lambda inside, k: F.when(F.count(F.when(inside, F.col("value"))) == k, F.sum(F.when(inside, F.col("value"))))
     hole, count = F.col("hole"), F.first("hole_count")
-    sums = s.groupBy("card_id", "remote_seq").agg(strict(hole <= first, F.least(F.lit(9), count)).alias("front"), F.when(count > 9, strict(hole > 9, count - 9)).alias("back"), strict(F.lit(True), count).alias("total"))
+    sums = s.groupBy("card_id", "remote_seq").agg(strict(hole <= F.least(F.lit(nine), F.col("hole_count")), F.least(F.lit(nine), count)).alias("front"), F.when(count > nine, strict(hole > nine, count - nine)).alias("back"), strict(F.lit(True), count).alias("total"))
     side = lambda c: F.when(F.col(f"written_{c}.confidence") >= r.local_subtotal, F.col(f"written_{c}.value")).alias(f"l_{c}")
     own = local.select("card_id", "player_seq", side("out"), side("back"), side("total"))
-    both = players.select("card_id", "remote_seq", F.col("out").alias("r_out"), F.col("back").alias("r_back"), F.col("total").alias("r_total")).join(sums, ["card_id", "remote_seq"], "left").join(paired, ["card_id", "remote_seq"], "left").join(own, ["card_id", "player_seq"], "left")
-    checks = [(F.col(a).isNotNull() & F.col(f"{src}_{b}").isNotNull(), F.col(a) == F.col(f"{src}_{b}")) for a, b in (("front", "out"), ("back", "back"), ("total", "total")) for src in ("r", "l")]
-    made = sum((m.cast("int") for m, _ in checks), F.lit(0))
-    bad = sum((F.when(m & ~ok, 1).otherwise(0) for m, ok in checks), F.lit(0))
-    verdict = F.when(bad > 0, "contradicted").when(made > 0, "corroborated").when(F.col("total").isNull(), "rowIncomplete").otherwise("noSubtotals")
-    return both.select("card_id", "remote_seq", "player_seq", verdict.alias("verdict"), made.alias("checks"), bad.alias("failures"), checksum.ceiling(verdict, r).alias("ceiling"))
+    called = F.coalesce(F.nullif(F.trim("name"), F.lit("")), F.concat(F.lit("Player "), (F.col("remote_seq") + 1).cast("string")))
+    both = players.select("card_id", "remote_seq", called.alias("name"), F.col("out").alias("r_out"), F.col("back").alias("r_back"), F.col("total").alias("r_total")).join(sums, ["card_id", "remote_seq"], "left").join(paired, ["card_id", "remote_seq"], "left").join(own, ["card_id", "player_seq"], "left")
+    parts = (("front", "out", "front nine"), ("back", "back", "back nine"), ("total", "total", "18-hole total"))
+    each = F.array(*[F.struct(F.lit(label).alias("label"), F.col(a).cast("long").alias("sum"), F.col(f"{src}_{b}").cast("long").alias("written")) for a, b, label in parts for src in ("r", "l")])
+    both = both.withColumn("_made", F.filter(each, lambda c: c["sum"].isNotNull() & c["written"].isNotNull()))
+    both = both.withColumn("_bad", F.filter("_made", lambda c: c["sum"] != c["written"]))
+    verdict = F.when(F.size("_bad") > 0, "contradicted").when(F.size("_made") > 0, "corroborated").when(F.col("total").isNull(), "rowIncomplete").otherwise("noSubtotals")
+    return both.select("card_id", "remote_seq", "player_seq", "name", verdict.alias("verdict"), F.size("_made").alias("checks"), F.size("_bad").alias("failures"), checksum.ceiling(verdict, r).alias("ceiling"), F.array_distinct(F.col("_made")["label"]).alias("checked"), F.get("_bad", F.lit(0)).alias("failed"))
 
 
 def merge(scores: DataFrame, remote: DataFrame, config: Config = Config()) -> DataFrame:

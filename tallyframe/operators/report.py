@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyframe.functions.fields import promotable, relative_text, requires_review
 from tallyframe.functions.geometry import Box
 from tallyframe.functions.text import trimmed
+from tallyframe.operators.confidence import warning
 
 
 def plural(n: Column, one: str, many: str | None = None) -> Column:
@@ -47,15 +48,34 @@ def outcome_summary(audits: DataFrame, updated: DataFrame, adopted: DataFrame) -
     return all_of.select("card_id", "rows", "holes", "ok", F.when(line == "", "nothing changed").otherwise(line).alias("line"))
 
 
-def audit_line(verdict: Column, name: Column, checks: Column, failures: Column) -> Column:
+#: The kind of warning that each verdict of a second reading's audit gives.
+VERDICT_KINDS = {"corroborated": "remoteParseCorroborated", "contradicted": "remoteParseContradicted", "rowIncomplete": "remoteParseUnverified", "noSubtotals": "remoteParseUnverified"}
+
+
+def listing(items: Column) -> Column:
+    """a; a and b; a, b and c."""
+    last = F.element_at(items, -1)
+    return F.when(F.size(items) > 1, F.concat_ws(" and ", F.array_join(F.slice(items, 1, F.size(items) - 1), ", "), last)).when(F.size(items) == 1, last)
+
+
+def audit_text(name: Column, verdict: Column, checked: Column, failed: Column) -> Column:
+    """A row's verdict in words. checked: names of the sums compared; failed: the first that differs, as struct(label, sum, written)."""
     return (
-        F.when(verdict == "corroborated", F.concat(name, F.lit(": confirmed by "), plural(checks, "written total")))
-        .when(verdict == "contradicted", F.concat(name, F.lit(": differs from "), failures.cast("string"), F.lit(" of "), plural(checks, "written total")))
-        .when(verdict == "rowIncomplete", F.concat(name, F.lit(": incomplete, nothing to check")))
-        .otherwise(F.concat(name, F.lit(": no written totals")))
+        F.when(verdict == "corroborated", F.concat(name, F.lit(": agrees with the written "), listing(F.array_sort(checked))))
+        .when(verdict == "contradicted", F.concat(name, F.lit(": the "), failed["label"], F.lit(" adds up to "), failed["sum"].cast("string"), F.lit(", written is "), failed["written"].cast("string")))
+        .when(verdict == "rowIncomplete", F.concat(name, F.lit(": holes are missing, so nothing could be checked")))
+        .otherwise(F.concat(name, F.lit(": no written totals to check against")))
     )
 
 
+def audit_warnings(audits: DataFrame) -> DataFrame:
+    """(card_id, audit_warnings): one for each audited row in its order; only a contradiction is more than a note."""
+    v = F.col("verdict")
+    kind = F.create_map(*[F.lit(x) for pair in VERDICT_KINDS.items() for x in pair])[v]
+    one = warning(F.lit(True), kind, F.when(v == "contradicted", "warning").otherwise("info"), text=audit_text(F.col("name"), v, F.col("checked"), F.col("failed")))
+    return audits.groupBy("card_id").agg(F.array_sort(F.collect_list(F.struct("remote_seq", one.alias("w"))))["w"].alias("audit_warnings"))
+
+
 def role_text(role: Column, payload: Column) -> Column:
     return F.when(payload.isNotNull(), F.concat(role, F.lit("("), payload, F.lit(")"))).otherwise(role)
 

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.functions import fields
+from tallyframe.functions import fields, numeric
+from tallyframe.functions.geometry import Box
 from tallyframe.lineage import cut  # noqa: F401  what parse() takes as keep
-from tallyframe.model import Config
-from tallyframe.operators import checksum, confidence, extract, layout, match, remote
+from tallyframe.model import SCORE_RANGE, Config
+from tallyframe.operators import checksum, confidence, extract, layout, match, remote, report
 from tallyframe.sources import catalog
 
 
@@ -61,25 +63,27 @@ def solver_warnings(halves: DataFrame) -> DataFrame:
     """(card_id, solver_warnings): a half whose sum differs or whose one hole can't be what is missing is doubtful; several unread holes are missing; holes worked out from a written total deserve a glance."""
     o = F.col("outcome")
     no_holes = F.array().cast("array<int>")
+    said = report.half_text(F.col("half"), o, F.col("computed"), F.col("expected"), F.col("unread"), F.col("hole"), F.col("missing"))
     one = F.coalesce(
-        confidence.warning(o == "discrepancy", "someScoresLowConfidence", "warning", no_holes),
-        confidence.warning(o == "implausible", "someScoresLowConfidence", "warning", F.array("hole")),
-        confidence.warning(o == "underdetermined", "someScoresMissing", "warning", F.col("unread")),
+        confidence.warning(o == "discrepancy", "someScoresLowConfidence", "warning", no_holes, said),
+        confidence.warning(o == "implausible", "someScoresLowConfidence", "warning", F.array("hole"), said),
+        confidence.warning(o == "underdetermined", "someScoresMissing", "warning", F.col("unread"), said),
     )
     listed = F.array_sort(F.collect_list(F.when(one.isNotNull(), F.struct((F.col("half") == "back").alias("back"), one.alias("w")))))
     solved = F.array_sort(F.collect_list(F.when(o == "solved", F.col("hole"))))
-    worked_out = confidence.listed(confidence.warning(F.size(solved) > 0, "someScoresLowConfidence", "info", solved))
+    lines = F.array_sort(F.collect_list(F.when(o == "solved", F.struct(F.col("hole"), said.alias("said")))))
+    worked_out = confidence.listed(confidence.warning(F.size(solved) > 0, "someScoresLowConfidence", "info", solved, F.array_join(lines["said"], "; ")))
     return halves.groupBy("card_id").agg(F.concat(listed["w"], worked_out).alias("solver_warnings"))
 
 
-def parse(obs: DataFrame, templates: DataFrame, overrides: DataFrame | None = None, requested: DataFrame | None = None, config: Config = Config(), keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> Scorecards:
-    """Every card of obs. requested (card_id): cards that must appear in the result even if they have no observation."""
-    table = layout.detect(obs, config, keep)
+def parse(obs: DataFrame, templates: DataFrame, overrides: DataFrame | None = None, requested: DataFrame | None = None, config: Config = Config(), keep: Callable[[DataFrame], DataFrame] = lambda df: df, detect: Callable[..., layout.Layout] = layout.detect, rank: Callable[..., DataFrame] = match.score_templates) -> Scorecards:
+    """Every card of obs. requested (card_id): cards that must appear in the result even if they have no observation. detect and rank: other ways to find tables and to score templates, called like the usual ones."""
+    table = detect(obs, config, keep)
     static = keep(extract.static_values(table, config))
     totals = extract.par_totals(table)
     fragments = keep(extract.name_fragments(table))
     gridded = table.cards.where(F.col("hole_count").isNotNull())
-    ranking = keep(match.score_templates(gridded, static, totals, fragments, templates, config))
+    ranking = keep(rank(gridded, static, totals, fragments, templates, config))
     resolved = match.force(match.resolve(ranking, config), overrides, templates)
     cards = keep(match.resolve_tees(resolved, static, extract.yardage_rows(table), templates))
     read = extract.build_holes(table, static, match.printed_row(cards, static))
@@ -107,7 +111,7 @@ def parse(obs: DataFrame, templates: DataFrame, overrides: DataFrame | None = No
         F.col("template_id").isNotNull().alias("resolved"), F.coalesce("support", F.lit("unavailable")).alias("support"), F.coalesce("confirmed", F.lit(0)).alias("confirmed"), F.coalesce("corrected", F.lit(0)).alias("corrected"), made.alias("warnings"),
     )
     done = confidence.evaluate(ready, solved, config).withColumn("status", F.lit("read"))
-    none_found = F.array(F.struct(F.lit("noScorecardTableDetected").alias("kind"), F.lit("blocking").alias("severity"), F.array().cast("array<int>").alias("holes")))
+    none_found = F.array(w(F.lit(True), "noScorecardTableDetected", "blocking"))
     bare = table.cards.where(F.col("hole_count").isNull()).select("card_id", "skew", F.lit("failed").alias("quality"), F.lit(0.0).alias("overall"), none_found.alias("warnings"), F.lit("noTable").alias("status"))
     done = done.unionByName(bare, allowMissingColumns=True)
     if requested is not None:
@@ -148,10 +152,49 @@ def reparse_with(obs: DataFrame, recovered: DataFrame, old: Scorecards, template
     again = obs.join(recovered.select("card_id").distinct(), "card_id", "left_semi")
     last = again.groupBy("card_id").agg(F.max("obs_seq").alias("_last"))
     added = recovered.join(last, "card_id").withColumn("obs_seq", F.col("obs_seq") + F.col("_last") + 1).select(obs.columns)
-    new = parse(again.unionByName(added), templates, overrides, config=config, keep=keep)
+    new = parse(keep(again.unionByName(added)), templates, overrides, config=config, keep=keep)
     return new, better_reparse(old, new)
 
 
+#: A second look at a cell is believed no more than this.
+REREAD = 0.78
+
+
+def _readable() -> Column:
+    """A reading that can be a score."""
+    return numeric.best_of(numeric.integer_candidates(F.col("text")), numeric.substitutions(F.col("text")), *SCORE_RANGE)["value"].isNotNull() & F.col("confidence").isNotNull()
+
+
+def recovered(table: layout.Layout, work: DataFrame, readings: DataFrame, padding: float = extract.PADDING) -> DataFrame:
+    """readings (card_id, row, hole, text, confidence, alternatives) of cells of work as observations, one a cell: the surest that can be a score, in the middle of its cell, in the photograph's coordinates."""
+    surest = readings.where(_readable()).groupBy("card_id", "row", "hole").agg(F.max(F.struct("confidence", "text", "alternatives")).alias("_r"))
+    seq = (F.row_number().over(Window.partitionBy("card_id").orderBy("row", "hole")) - 1).alias("obs_seq")
+    at = surest.join(work, ["card_id", "row", "hole"]).join(table.cards.select("card_id", "skew", "pivot_x", "pivot_y"), "card_id")
+    w, h = F.col("w") / (1 + 2 * padding), F.col("h") / (1 + 2 * padding)
+    upright = Box(F.col("x") + F.col("w") / 2 - w * 0.2, F.col("y") + F.col("h") / 2 - h * 0.3, w * 0.4, h * 0.6)
+    box = report.in_original_image(upright, F.col("skew"), F.col("pivot_x"), F.col("pivot_y"))
+    return at.select("card_id", seq, F.col("_r.text").alias("text"), box.x.alias("x"), box.y.alias("y"), box.w.alias("w"), box.h.alias("h"), F.least(F.col("_r.confidence"), F.lit(REREAD)).alias("confidence"), F.lit("targetedCell").alias("pass"), F.col("_r.alternatives").alias("alternatives"))
+
+
+def reread(obs: DataFrame, old: Scorecards, readings: DataFrame, templates: DataFrame, overrides: DataFrame | None = None, config: Config = Config(), keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[Scorecards, DataFrame]:
+    """The second look as a whole: readings (as in recovered) of the cells of extract.reread_work, a new parse with them, taken for each card that it made better. Gives all cards, and (card_id, row, hole) of the cells read again in cards that were taken.
+
+    A new reading joins what its cell already holds, which is read as one text: cells with nothing in them gain, a mark that wasn't a number may stay unread.
+    """
+    work = extract.reread_work(old.table, old.scores, old.players)
+    found = keep(recovered(old.table, work, readings))
+    new, better = reparse_with(obs, found, old, templates, overrides, config, keep)
+    taken = keep(better.where("adopt").select("card_id"))
+
+    def both(o: DataFrame | None, n: DataFrame | None) -> DataFrame | None:
+        return None if o is None or n is None else o.join(taken, "card_id", "left_anti").unionByName(n.join(taken, "card_id", "left_semi"), allowMissingColumns=True)
+
+    table = layout.Layout(**{f.name: both(getattr(old.table, f.name), getattr(new.table, f.name)) for f in dataclasses.fields(layout.Layout)})
+    rest = {f.name: both(getattr(old, f.name), getattr(new, f.name)) for f in dataclasses.fields(Scorecards) if f.name != "table"}
+    cells = readings.where(_readable()).select("card_id", "row", "hole").distinct().join(work.select("card_id", "row", "hole"), ["card_id", "row", "hole"], "left_semi").join(taken, "card_id", "left_semi")
+    return Scorecards(table=table, **rest), cells
+
+
 def better_reparse(old: Scorecards, new: Scorecards) -> DataFrame:
     """(card_id, adopt): a second parse is taken if it has more scores and as many holes."""
     o = old.cards.select("card_id", F.col("scored").alias("o"), F.col("hole_count").alias("oh"))
@@ -159,7 +202,7 @@ def better_reparse(old: Scorecards, new: Scorecards) -> DataFrame:
 
 
 #: Warnings that a second reading replaces.
-_OWNED = ("someScoresMissing", "someScoresLowConfidence", "noPlayerRowsDetected", "incompleteRound", "playerCountNeedsConfirmation", "parRowNotFound", "handicapRowNotFound", "yardageRowNotFound", "nineHoleRoundDetected", "holeCountMismatch", "cardLikelyCropped", "remoteParserUnavailable")
+_OWNED = ("someScoresMissing", "someScoresLowConfidence", "noPlayerRowsDetected", "incompleteRound", "playerCountNeedsConfirmation", "parRowNotFound", "handicapRowNotFound", "yardageRowNotFound", "nineHoleRoundDetected", "holeCountMismatch", "cardLikelyCropped", "remoteParserUnavailable", *report.VERDICT_KINDS.values())
 
 
 def integrate(cards: Scorecards, payloads: DataFrame, config: Config = Config(), keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[Scorecards, DataFrame]:
@@ -192,9 +235,9 @@ def integrate(cards: Scorecards, payloads: DataFrame, config: Config = Config(),
     back = solved.join(picked, "card_id").select("card_id", "player_seq", "hole", F.col("score").alias("_s"))
     every = every.join(back, ["card_id", "player_seq", "hole"], "left").withColumn("field", F.coalesce("_s", "field")).drop("_s")
     own = F.filter("warnings", lambda x: ~x["kind"].isin(*_OWNED))
-    verdicts = audits.groupBy("card_id").agg(F.count_if(F.col("verdict") == "contradicted").alias("bad"))
+    verdicts = report.audit_warnings(audits)
     base = cards.cards.drop("overall", "quality", "scored", "missing", "low", "support", "confirmed", "n_players", "selected").join(chosen.withColumnRenamed("player_seq", "selected"), "card_id", "left").join(support, "card_id", "left").join(verdicts, "card_id", "left").join(touched.withColumn("_hit", F.lit(True)), "card_id", "left")
     base = base.withColumn("support", F.coalesce("support", F.lit("unavailable"))).withColumn("confirmed", F.coalesce("confirmed", F.lit(0)))
-    base = base.withColumn("warnings", F.concat(own, confidence.listed(confidence.warning(F.col("bad") > 0, "remoteScoresContradictTotals", "warning")))).drop("bad", "_hit")
+    base = base.withColumn("warnings", F.concat(own, F.coalesce("audit_warnings", F.array().cast(f"array<{confidence.WARNING}>")))).drop("audit_warnings", "_hit")
     done = confidence.evaluate(base, solved, config)
     return replace(cards, cards=done, holes=solved, players=all_players, scores=every, halves=halves), audits

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions import fields, numeric, text
 from tallyframe.model import Matching
-from tallyframe.operators import bands, checksum, folds, history, medians, rows, sequences, similar
+from tallyframe.operators import bands, checksum, folds, history, medians, remote, rows, sequences, similar
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -104,12 +104,14 @@ def infer_subtotals(spark, sf_dir):
  u AS (SELECT *, CASE WHEN failures > 0 THEN 'contradicted' WHEN checks > 0 THEN 'corroborated' WHEN t IS NULL THEN 'rowIncomplete' ELSE 'noSubtotals' END AS verdict FROM v)
  SELECT card_id, verdict, CAST(checks AS INT) AS checks, CAST(failures AS INT) AS failures, CAST(CASE verdict WHEN 'contradicted' THEN 0.45 WHEN 'corroborated' THEN 0.95 ELSE 0.8 END AS DOUBLE) AS ceiling FROM u""")
 def reconcile_verdict(spark, sf_dir):
+    """Cards of seven holes, three of them the front, with one remote and one local row each."""
     c, k = cells(spark, sf_dir).where("hole <= 7"), F.col("card_id")
     raw = c.groupBy("card_id").agg(F.sum(F.when(F.col("hole") <= 3, F.col("raw"))).alias("rf"), F.sum("raw").alias("rt"))
-    none = F.lit(None).cast("long")
-    remote = raw.select("card_id", (F.col("rf") + (k % 13 == 0).cast("int")).alias("out"), none.alias("back"), F.when(k % 3 != 0, F.col("rt")).alias("total"))
-    local = raw.select("card_id", (F.col("rf") + F.when(k % 7 == 0, 2).otherwise(0)).alias("out"), F.when(k % 2 == 0, 0.6).otherwise(0.3).alias("out_confidence"), none.alias("back"), F.lit(0.0).alias("back_confidence"), none.alias("total"), F.lit(0.0).alias("total_confidence"))
-    return checksum.audit(c, remote, local, 7, 3)
+    other = raw.select("card_id", F.lit(0).alias("remote_seq"), F.lit("A").alias("name"), (F.col("rf") + (k % 13 == 0).cast("int")).alias("out"), F.lit(None).cast("long").alias("back"), F.when(k % 3 != 0, F.col("rt")).alias("total"))
+    out = fields.make_field(F.col("rf") + F.when(k % 7 == 0, 2).otherwise(0), F.when(k % 2 == 0, 0.6).otherwise(0.3), "ocr")
+    local = raw.select("card_id", F.lit(0).alias("player_seq"), F.lit("A").alias("name"), out.alias("written_out"), fields.empty_field().alias("written_back"), fields.empty_field().alias("written_total"))
+    audits = remote.audit(other, c.select("card_id", F.lit(0).alias("remote_seq"), "hole", "value"), local, raw.select("card_id", F.lit(7).alias("hole_count")), nine=3)
+    return audits.select("card_id", "verdict", "checks", "failures", "ceiling")
 
 
 _EVENT_CONF = "SELECT event_id, event_type, value, value / 100.0::DOUBLE - floor(value / 100.0::DOUBLE) AS c FROM events"

@@ -4,7 +4,7 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
-from tallyframe.operators import remote
+from tallyframe.operators import extract, remote, report
 from tallyframe.plans import cards as pipeline
 from tallyframe.sources import catalog, fixtures, store
 from tallyframe.sources.fixtures import Card, Row, golden_card
@@ -106,6 +106,62 @@ def test_second_reading(second):
     assert h["real", 3].value == 9 and h["real", 3].provenance == "userEdited" and h["real", 1].value == 4
 
 
+def test_audits_are_told(second):
+    after, _ = second
+    w = {r.card_id: {x.kind: x for x in r.warnings} for r in after.cards.where("card_id IN ('blank', 'blank2', 'real', 'flat')").collect()}
+    ok, bad = w["blank"]["remoteParseCorroborated"], w["blank2"]["remoteParseContradicted"]
+    assert (ok.severity, ok.text) == ("info", "J: agrees with the written 18-hole total, back nine and front nine")
+    assert (bad.severity, bad.text) == ("warning", "J: the front nine adds up to 37, written is 40")
+    assert not any(k.startswith("remoteParse") for k in w["flat"])
+
+
+def test_verdicts_and_their_warnings(spark):
+    """All four verdicts, a row without a name, and a local total that is sure enough only for one card."""
+    cards = spark.createDataFrame([(c, 9) for c in "abcde"], "card_id string, hole_count int")
+    players = spark.createDataFrame([("a", 0, "Ann", None, None, None), ("a", 1, " ", 36, None, 36), ("b", 0, "Bo", None, None, None), ("c", 0, "Cy", 36, None, 40), ("d", 0, "Di", None, None, None), ("e", 0, "Ed", 36, None, None)], "card_id string, remote_seq int, name string, out int, back int, total int")
+    scores = spark.createDataFrame([(c, s, h, None if c == "b" and h == 9 else 4) for c, s in (("a", 0), ("a", 1), ("b", 0), ("c", 0), ("d", 0), ("e", 0)) for h in range(1, 10)], "card_id string, remote_seq int, hole int, value int")
+    made = "struct<value:int,confidence:double,provenance:string,raw_text:string>"
+    local = spark.createDataFrame([("d", 0, "Di", (35, 0.59, "ocr", ""), None, None), ("e", 0, "Ed", (35, 0.6, "ocr", ""), None, None)], f"card_id string, player_seq int, name string, written_out {made}, written_back {made}, written_total {made}")
+    audits = remote.audit(players, scores, local, cards)
+    got = {(r.card_id, r.remote_seq): (r.verdict, r.checks, r.failures) for r in audits.collect()}
+    assert got == {("a", 0): ("noSubtotals", 0, 0), ("a", 1): ("corroborated", 2, 0), ("b", 0): ("rowIncomplete", 0, 0), ("c", 0): ("contradicted", 2, 1), ("d", 0): ("noSubtotals", 0, 0), ("e", 0): ("contradicted", 2, 1)}
+    told = {r.card_id: [(w.kind, w.severity, w.text) for w in r.audit_warnings] for r in report.audit_warnings(audits).collect()}
+    assert told["a"] == [("remoteParseUnverified", "info", "Ann: no written totals to check against"), ("remoteParseCorroborated", "info", "Player 2: agrees with the written 18-hole total and front nine")]
+    assert told["b"] == [("remoteParseUnverified", "info", "Bo: holes are missing, so nothing could be checked")]
+    assert told["c"] == [("remoteParseContradicted", "warning", "Cy: the 18-hole total adds up to 36, written is 40")]
+    assert told["e"] == [("remoteParseContradicted", "warning", "Ed: the front nine adds up to 36, written is 35")]
+
+
+def test_solver_warnings_have_words(cards):
+    texts = [w.text for w in cards["off"].warnings if w.kind == "someScoresLowConfidence" and w.holes == []]
+    assert len(texts) == 1 and texts[0].startswith("front nine: scores sum to 35")
+    assert any(w.text and "worked out as" in w.text for w in cards["real"].warnings)
+
+
+@pytest.fixture(scope="module")
+def looked_again(spark, read):
+    made_of = {k: v for k, v in made().items() if k in ("mess", "skewed", "flat")}
+    skewed = replace(made_of["skewed"], rows=(*made_of["skewed"].rows[:5], made_of["skewed"].rows[5].dropping(7)))
+    obs = fixtures.frame(spark, {**made_of, "skewed": skewed}).transform(pipeline.cut)
+    old = pipeline.parse(obs, catalog.seed(spark), keep=pipeline.cut)
+    work = extract.reread_work(old.table, old.scores, old.players).collect()
+    # a doubtful and a surer reading of an empty cell, and one that is no number; a cell with a mark in it; a cell of a skewed card
+    said = [(w.card_id, w.row, w.hole, t, c, []) for w in work for t, c in {("mess", 4): (("4", 0.9),), ("mess", 7): (("3", 0.9), ("x", 0.99), ("6", 0.2)), ("skewed", 7): (("3", 0.5),)}.get((w.card_id, w.hole), ())]
+    readings = spark.createDataFrame(said, "card_id string, row int, hole int, text string, confidence double, alternatives array<string>")
+    return work, old, *pipeline.reread(obs, old, readings, catalog.seed(spark), keep=pipeline.cut)
+
+
+def test_a_second_look_at_unread_cells(looked_again):
+    work, old, new, cells = looked_again
+    assert {(w.card_id, w.hole) for w in work} == {("mess", 4), ("mess", 7), ("mess", 11), ("skewed", 7)}
+    assert {(r.card_id, r.hole) for r in cells.collect()} == {("mess", 4), ("mess", 7), ("skewed", 7)}
+    h = {(r.card_id, r.hole): r.score for r in new.holes.collect()}
+    assert h["mess", 7].value == 3 and h["mess", 7].confidence <= pipeline.REREAD
+    assert h["mess", 4].value is None and h["mess", 4].raw_text == "~4"  # a cell is read as one text
+    assert h["skewed", 7].value == 3 and [h["flat", i].value for i in range(1, 19)] == list(fixtures.GOLDEN_SCORES)
+    assert new.cards.count() == old.cards.count() == 3
+
+
 def test_payloads_are_made_safe(spark):
     raw = json.dumps({"players": [{"name": " ", "holes": [{"holeNumber": 1, "playerScore": 40, "confidence": 7}, {"holeNumber": 1, "playerScore": 4}, {"holeNumber": 30, "playerScore": 4}, {"holeNumber": 2, "playerScore": 5}], "writtenOut": 500, "writtenIn": 40}] * 9})
     players, scores = remote.sanitise(spark.createDataFrame([("a", 18, raw), ("b", 18, "not json")], "card_id string, hole_count int, payload string"))

@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from tallyframe.plans import operator_queries, table_queries  # noqa: F401  both register queries
+from tallyframe.plans import operator_queries, store_queries, table_queries  # noqa: F401  all register queries
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
