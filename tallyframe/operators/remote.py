@@ -50,7 +50,10 @@ def sanitise(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
 def pair(remote: DataFrame, local: DataFrame, config: Config = Config()) -> DataFrame:
     """(card_id, remote_seq, player_seq): a card's only local player, else the most similar name if similar enough, never by position."""
     n = local.groupBy("card_id").agg(F.count("*").alias("n"), F.min("player_seq").alias("only"))
-    sims = remote.alias("r").join(local.select("card_id", "player_seq", F.col("name").alias("l_name")), "card_id").withColumn("s", name_similarity(F.col("name"), F.col("l_name"))).where(F.col("s") >= config.remote.name)
+    met = remote.select("card_id", "remote_seq", "name").join(local.select("card_id", "player_seq", F.col("name").alias("l_name")), "card_id").where("name IS NOT NULL AND l_name IS NOT NULL")
+    # many rows bear the same names, and likeness is what costs: each pair of names is compared once
+    alike = met.select("name", "l_name").distinct().withColumn("s", name_similarity(F.col("name"), F.col("l_name"))).where(F.col("s") >= config.remote.name)
+    sims = met.join(alike, ["name", "l_name"])
     best = sims.groupBy("card_id", "remote_seq").agg(F.min_by("player_seq", F.struct(-F.col("s"), F.col("player_seq"))).alias("named"))
     return remote.select("card_id", "remote_seq").join(n, "card_id", "left").join(best, ["card_id", "remote_seq"], "left").select("card_id", "remote_seq", F.when(F.col("n") == 1, F.col("only")).otherwise(F.col("named")).alias("player_seq"))
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.functions.fields import promotable, relative_text, requires_review
+from tallyframe.functions.fields import height_uniformity, promotable, relative_text, requires_review
 from tallyframe.functions.geometry import Box
 from tallyframe.functions.text import trimmed
+from tallyframe.model import Config
 from tallyframe.operators.confidence import warning
+from tallyframe.operators.layout import Layout
 
 
 def plural(n: Column, one: str, many: str | None = None) -> Column:
@@ -122,3 +124,37 @@ def in_original_image(box: Box, skew: Column, px: Column, py: Column) -> Box:
 def image_quality(edge_mean: Column, bright_mean: Column) -> Column:
     """struct(sharpness, glare) from two measured means."""
     return F.struct(F.least(F.lit(1.0), edge_mean / 0.06).alias("sharpness"), F.greatest(F.lit(0.0), (bright_mean - 0.93) / 0.07).alias("glare"))
+
+
+#: What a hole's cell without text shows, and how many templates a report lists.
+EMPTY_CELL, MOST_CANDIDATES = "\u00b7", 8
+
+
+def row_summaries(table: Layout) -> DataFrame:
+    """(card_id, row, section, role, confidence, label, mean_confidence, uniformity, x, y, w, h, cells) of every row of a card. cells: in a section a text for each of its holes, elsewhere the row's texts from left to right."""
+    box = Box.of()
+    grid = table.hole_columns.groupBy("card_id", "section").agg(F.min("min_x").alias("_grid"))
+    of_rows = table.rows.select("card_id", "row", "section", role_text(F.col("role"), F.col("payload")).alias("role"), "confidence").join(grid, ["card_id", "section"], "left")
+    seen = table.observations.select("card_id", "row", "obs_seq", trimmed(F.col("text")).alias("t"), "x", "y", "w", "h", F.col("confidence").alias("_c")).join(of_rows, ["card_id", "row"], "left")
+    in_order = lambda when: F.array_sort(F.collect_list(F.when(when, F.struct("x", "obs_seq", "t"))))["t"]
+    left = box.max_x <= F.col("_grid") + F.col("w") * Config().grid.label_slack
+    one = seen.groupBy("card_id", "row").agg(
+        F.first("section").alias("section"), F.coalesce(F.first("role"), F.lit("unknown")).alias("role"), F.coalesce(F.first("confidence"), F.lit(0.0)).alias("confidence"), F.array_join(in_order(left), " ").alias("label"),
+        F.avg("_c").alias("mean_confidence"), height_uniformity(F.col("h")).alias("uniformity"), F.min("x").alias("x"), F.min("y").alias("y"), (F.max(box.max_x) - F.min("x")).alias("w"), (F.max(box.max_y) - F.min("y")).alias("h"), in_order(F.lit(True)).alias("_texts"),
+    )
+    every = one.where("section IS NOT NULL").select("card_id", "section", "row").join(table.hole_columns.select("card_id", "section", "hole"), ["card_id", "section"])
+    cell = every.join(table.cells.select("card_id", "section", "row", "hole", "text"), ["card_id", "section", "row", "hole"], "left")
+    cells = cell.groupBy("card_id", "row").agg(F.array_sort(F.collect_list(F.struct("hole", F.coalesce(F.nullif("text", F.lit("")), F.lit(EMPTY_CELL)).alias("t"))))["t"].alias("_cells"))
+    return one.join(cells, ["card_id", "row"], "left").withColumn("cells", F.coalesce("_cells", "_texts")).drop("_cells", "_texts")
+
+
+def column_summaries(table: Layout) -> DataFrame:
+    """(card_id, section, label, min_x, max_x, centre, interpolated) of the columns of holes and of totals."""
+    holes = table.hole_columns.select("card_id", "section", F.concat(F.lit("H"), F.col("hole").cast("string")).alias("label"), "min_x", "max_x", "centre", "interpolated")
+    return holes.unionByName(table.agg_columns.select("card_id", "section", F.upper("kind").alias("label"), "min_x", "max_x", "centre", F.lit(False).alias("interpolated")))
+
+
+def candidate_summaries(ranking: DataFrame, most: int = MOST_CANDIDATES) -> DataFrame:
+    """Each card's best templates with what spoke for them, in order."""
+    order = Window.partitionBy("card_id").orderBy(F.desc("score"), "template_seq")
+    return ranking.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)

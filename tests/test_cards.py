@@ -54,6 +54,20 @@ def test_layout(read, cards):
     assert roles[2:] == ["holeHeader", "yardage", "yardage", "yardage", "par", "handicap", "player"]
 
 
+def test_what_a_report_shows(read):
+    """Rows with roles, labels and cells, columns of holes and totals, and the best templates."""
+    rows = {r.row: r for r in report.row_summaries(read.table).where("card_id = 'mess'").collect()}
+    player = next(r for r in rows.values() if r.role.startswith("player"))
+    assert player.label == "J. PEARLMAN" and len(player.cells) == 18 and player.cells[3] == "~" and player.cells[6] == report.EMPTY_CELL and player.section == 0
+    assert rows[0].role == "unknown" and rows[0].label == ""
+    bare = report.row_summaries(read.table).where("card_id = 'receipt'").orderBy("row").collect()
+    assert bare[0].cells == ["CORNER SHOP"] and (bare[0].role, bare[0].section, bare[0].confidence, bare[0].label) == ("unknown", None, 0.0, "")
+    columns = {r.label: r for r in report.column_summaries(read.table).where("card_id = 'flat'").collect()}
+    assert set(columns) == {*(f"H{i}" for i in range(1, 19)), "OUT", "IN", "TOTAL"} and columns["H1"].min_x < columns["H1"].centre < columns["H1"].max_x
+    best = report.candidate_summaries(read.ranking).where("card_id = 'flat'").orderBy("rank").collect()
+    assert best[0].template_id == catalog.GOLDEN_ID and len(best) == report.MOST_CANDIDATES and best[0].score >= best[1].score
+
+
 @pytest.mark.parametrize("card", ["flat", "stacked", "skewed"])
 def test_scores_are_read(holes, card):
     assert [h.score.value for h in holes[card]] == list(fixtures.GOLDEN_SCORES)
