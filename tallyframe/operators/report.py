@@ -50,6 +50,16 @@ def outcome_summary(audits: DataFrame, updated: DataFrame, adopted: DataFrame) -
     return all_of.select("card_id", "rows", "holes", "ok", F.when(line == "", "nothing changed").otherwise(line).alias("line"))
 
 
+def audit_line(verdict: Column, name: Column, checks: Column, failures: Column) -> Column:
+    """A row's verdict in short, with how many totals were compared."""
+    return (
+        F.when(verdict == "corroborated", F.concat(name, F.lit(": confirmed by "), plural(checks, "written total")))
+        .when(verdict == "contradicted", F.concat(name, F.lit(": differs from "), failures.cast("string"), F.lit(" of "), plural(checks, "written total")))
+        .when(verdict == "rowIncomplete", F.concat(name, F.lit(": incomplete, nothing to check")))
+        .otherwise(F.concat(name, F.lit(": no written totals")))
+    )
+
+
 #: The kind of warning that each verdict of a second reading's audit gives.
 VERDICT_KINDS = {"corroborated": "remoteParseCorroborated", "contradicted": "remoteParseContradicted", "rowIncomplete": "remoteParseUnverified", "noSubtotals": "remoteParseUnverified"}
 
