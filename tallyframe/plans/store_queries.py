@@ -69,12 +69,12 @@ def images_swept(spark, sf_dir):
 @query(_PAYLOADS + """, f AS (SELECT card_id, sum, n, CASE card_id % 5 WHEN 0 THEN 'not a reading' WHEN 1 THEN 'not UTF-8' END AS reason FROM s)
  SELECT card_id, reason, CASE WHEN reason IS NULL AND sum BETWEEN 9 AND 135 THEN sum END AS out, CASE WHEN reason IS NULL AND sum BETWEEN n AND n * 15 THEN sum END AS total FROM f""")
 def readings_from_files(spark, sf_dir):
-    """A file for each order; of five, one is cut off and one has bytes that are no text."""
+    """A file for each order, packed, as each alone would take a block of the disk; of five, one is cut off and one has bytes that are no text."""
     at = lineage.fresh(spark, "readings")
     p = _payloads(spark, sf_dir)
     whole, k = F.encode("payload", "utf-8"), F.col("card_id") % 5
     content = F.when(k == 0, F.encode(F.expr("left(payload, 20)"), "utf-8")).when(k == 1, F.concat(F.unhex(F.lit("FFFE")), whole)).otherwise(whole)
-    files.store(p.select(F.concat(F.col("card_id").cast("string"), F.lit(".json")).alias("filename"), content.alias("content")), at)
+    files.store(p.select(F.concat(F.col("card_id").cast("string"), F.lit(".json")).alias("filename"), content.alias("content")), at, packed=True)
     good, bad = remote.second_readings(files.stored(spark, at, contents=True))
     good = good.withColumn("card_id", F.col("card_id").cast("long"))
     players, _ = remote.sanitise(good.join(p.select("card_id", "hole_count"), "card_id"))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import io
 import re
+import tarfile
+import time
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +19,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 FORMAT = "tallyframe_files"
 SCHEMA = "filename string, bytes long, modified timestamp, content binary, error string, path string"
 COMMITTED = "committed.txt"
+#: The archive that holds a task's files where they are stored packed.
+PACKED = "files.tar.gz"
 
 #: Names that a file may have: no folders, nothing hidden.
 NAME = re.compile(r"[^./\\\x00][^/\\\x00]*")
@@ -34,12 +41,40 @@ def _children(fs, folder: str) -> list:
     return sorted(fs.get_file_info(FileSelector(folder, allow_not_found=True)), key=lambda f: f.base_name)
 
 
+def _is_file(fs, path: str) -> bool:
+    from pyarrow.fs import FileType
+
+    return fs.get_file_info(path).type == FileType.File
+
+
 def _is_folder(info) -> bool:
     from pyarrow.fs import FileType
 
     return info.type == FileType.Directory
 
 
+@contextmanager
+def _single(fs, folder: str) -> Iterator:
+    def put(name: str, content: bytes) -> None:
+        with fs.open_output_stream(f"{folder}/{name}") as out:
+            out.write(content)
+
+    yield put
+
+
+@contextmanager
+def _packing(fs, folder: str) -> Iterator:
+    """Files go one after the other into one compressed archive: many small ones take neither a block of the disk nor a name in the folder each."""
+    with fs.open_output_stream(f"{folder}/{PACKED}", compression=None) as out, tarfile.open(fileobj=out, mode="w|gz", compresslevel=6, format=tarfile.PAX_FORMAT) as tar:
+
+        def put(name: str, content: bytes) -> None:
+            info = tarfile.TarInfo(name)
+            info.size, info.mtime = len(content), int(time.time())
+            tar.addfile(info, io.BytesIO(content))
+
+        yield put
+
+
 @dataclass
 class Written(WriterCommitMessage):
     task: str
@@ -47,10 +82,10 @@ class Written(WriterCommitMessage):
 
 
 class FileWriter(DataSourceWriter):
-    """A job's files lie in job=<id>/task=<id>/; the job's mark, written last, names the tasks that count, and without it readers see none of them."""
+    """A job's files lie in job=<id>/task=<id>/, packed ones in one archive there; the job's mark, written last, names the tasks that count, and without it readers see none of them."""
 
-    def __init__(self, path: str):
-        self.path, self.job = path, uuid.uuid4().hex
+    def __init__(self, path: str, packed: bool = False):
+        self.path, self.packed, self.job = path, packed, uuid.uuid4().hex
 
     def write(self, rows: Iterator) -> Written:
         fs, root = opened(self.path)
@@ -58,13 +93,13 @@ class FileWriter(DataSourceWriter):
         folder = f"{root}/job={self.job}/task={task}"
         try:
             fs.create_dir(folder, recursive=True)
-            for row in rows:
-                if row["filename"] is None or not NAME.fullmatch(row["filename"]):
-                    raise ValueError(f"not a file name: {row['filename']!r}")
-                if row["content"] is not None:
-                    with fs.open_output_stream(f"{folder}/{row['filename']}") as out:
-                        out.write(bytes(row["content"]))
-                    n += 1
+            with (_packing if self.packed else _single)(fs, folder) as put:
+                for row in rows:
+                    if row["filename"] is None or not NAME.fullmatch(row["filename"]):
+                        raise ValueError(f"not a file name: {row['filename']!r}")
+                    if row["content"] is not None:
+                        put(row["filename"], bytes(row["content"]))
+                        n += 1
         except BaseException:
             fs.delete_dir(folder)
             raise
@@ -88,10 +123,11 @@ class FileWriter(DataSourceWriter):
 @dataclass
 class Folder(InputPartition):
     path: str
+    ours: bool = False
 
 
 class FileReader(DataSourceReader):
-    """One partition for each task's folder of a committed job; of a folder that wasn't written here, one for itself and each folder in it."""
+    """One partition for each task's folder of a committed job; of a folder that wasn't written here, one for itself and each folder in it, whose archives are files like others."""
 
     def __init__(self, path: str, contents: bool):
         self.path, self.contents, self.names = path, contents, None
@@ -114,13 +150,16 @@ class FileReader(DataSourceReader):
         for job in jobs:
             if any(f.base_name == COMMITTED for f in _children(fs, job.path)):
                 with fs.open_input_stream(f"{job.path}/{COMMITTED}") as mark:
-                    out += [Folder(f"{job.path}/task={t}") for t in mark.read().decode().split()]
+                    out += [Folder(f"{job.path}/task={t}", True) for t in mark.read().decode().split()]
         return out or [Folder(f"{root}/none")]
 
     def read(self, partition: Folder) -> Iterator[tuple]:
         fs, _ = opened(self.path)
+        if partition.ours and _is_file(fs, f"{partition.path}/{PACKED}"):
+            yield from self._unpacked(fs, f"{partition.path}/{PACKED}")
+            return
         for info in _children(fs, partition.path):
-            if _is_folder(info) or info.base_name.startswith((".", "_")) or (self.names is not None and info.base_name not in self.names):
+            if _is_folder(info) or info.base_name.startswith((".", "_")) or not self._wanted(info.base_name):
                 continue
             content = error = None
             if self.contents:
@@ -131,9 +170,21 @@ class FileReader(DataSourceReader):
                     error = f"unreadable: {type(e).__name__}"
             yield info.base_name, info.size, info.mtime, content, error, info.path
 
+    def _wanted(self, name: str) -> bool:
+        return self.names is None or name in self.names
+
+    def _unpacked(self, fs, path: str) -> Iterator[tuple]:
+        """An archive is read from its start to its end, a file at a time; one that is cut off fails the job, as its files can't be listed."""
+        with fs.open_input_stream(path, compression=None) as source, tarfile.open(fileobj=source, mode="r|gz") as tar:
+            for info in tar:
+                tar.members.clear()  # else the archive keeps what it passed
+                if self._wanted(info.name) and not info.name.startswith("_"):
+                    content = tar.extractfile(info).read() if self.contents else None
+                    yield info.name, info.size, datetime.fromtimestamp(info.mtime, timezone.utc), content, None, f"{path}/{info.name}"
+
 
 class Files(DataSource):
-    """Options: path; contents (default true): false lists names, sizes and times without opening a file."""
+    """Options: path; contents (default true): false lists names, sizes and times without opening a file; packed (default false): a task's files go into one archive."""
 
     @classmethod
     def name(cls) -> str:
@@ -148,7 +199,7 @@ class Files(DataSource):
     def writer(self, schema, overwrite: bool) -> FileWriter:
         if overwrite:
             raise ValueError("files are only added; delete() takes them away")
-        return FileWriter(self.options["path"])
+        return FileWriter(self.options["path"], self.options.get("packed", "false").lower() == "true")
 
 
 def _register(spark: SparkSession) -> SparkSession:
@@ -157,12 +208,15 @@ def _register(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def store(files: DataFrame, path: str) -> None:
-    """files (filename, content): all of them are there afterwards, or none. Null contents are no files; a name with a folder in it fails the job."""
+def store(files: DataFrame, path: str, packed: bool = False) -> None:
+    """files (filename, content): all of them are there afterwards, or none. Null contents are no files; a name with a folder in it fails the job.
+
+    packed: for many small files that are read together and never deleted singly; each task writes one archive of its own.
+    """
     _register(files.sparkSession)
     # the writer takes rows by the source's schema
     rows = files.select("filename", F.length("content").cast("long").alias("bytes"), F.lit(None).cast("timestamp").alias("modified"), F.col("content").cast("binary").alias("content"), F.lit(None).cast("string").alias("error"), F.lit(None).cast("string").alias("path"))
-    rows.write.format(FORMAT).option("path", path).mode("append").save()
+    rows.write.format(FORMAT).option("path", path).option("packed", str(packed).lower()).mode("append").save()
 
 
 def stored(spark: SparkSession, path: str, contents: bool = False) -> DataFrame:
@@ -177,12 +231,14 @@ def latest(files: DataFrame) -> DataFrame:
 
 
 def delete(spark: SparkSession, path: str, names: DataFrame) -> None:
-    """Files of names (filename), each time they were stored, are deleted in tasks; those that aren't there are no error."""
+    """Files of names (filename), each time they were stored, are deleted in tasks; those that aren't there are no error, those in an archive are."""
     found = stored(spark, path).join(names.select("filename").distinct(), "filename", "left_semi").select("path")
 
     def remove(rows: Iterator) -> None:
         fs, _ = opened(path)
         for row in rows:
+            if f"/{PACKED}/" in row["path"]:
+                raise ValueError(f"packed files aren't deleted singly: {row['path']}")
             try:
                 fs.delete_file(row["path"])
             except FileNotFoundError:

@@ -87,3 +87,22 @@ def test_names_reach_the_reader(spark, tmp_path):
     for n in "12":
         (tmp_path / f"{n}.json").write_text("{}")
     assert [r[0] for r in reader.read(reader.partitions()[0])] == ["1.json"]
+
+
+def test_packed_files_take_an_archive_a_task(spark, tmp_path):
+    """Thousands of small files take no block of the disk each, and are read as they were."""
+    at, n = tmp_path / "packed", 3000
+    rows = spark.range(n).select(F.concat(F.col("id"), F.lit(".json")).alias("filename"), F.when(F.col("id") % 10 != 9, F.concat(F.lit("{}"), F.col("id").cast("string")).cast("binary")).alias("content"))
+    files.store(rows.repartition(3), str(at), packed=True)
+    assert len([p for p in at.rglob("*") if p.is_file() and not p.name.startswith(".")]) == 4 and sum(p.stat().st_blocks * 512 for p in at.rglob("*")) < n * 100
+    want = {f"{i}.json": f"{{}}{i}".encode() for i in range(n) if i % 10 != 9}
+    got = files.stored(spark, str(at), contents=True)
+    assert {r.filename: bytes(r.content) for r in got.collect()} == want
+    listed = files.stored(spark, str(at)).where("filename IN ('7.json', '9.json', '10.json')").collect()
+    assert {(r.filename, r.bytes, r.content) for r in listed} == {("7.json", 3, None), ("10.json", 4, None)} and all(r.modified is not None for r in listed)
+    with pytest.raises(Exception, match="packed files"):
+        files.delete(spark, str(at), spark.createDataFrame([("7.json",)], "filename string"))
+    bad = spark.range(40).select(F.when(F.col("id") == 33, F.lit("../out.jpg")).otherwise(F.concat(F.col("id"), F.lit(".jpg"))).alias("filename"), F.lit(b"x").alias("content"))
+    with pytest.raises(Exception, match="not a file name"):
+        files.store(bad.repartition(4), str(at), packed=True)
+    assert files.stored(spark, str(at)).count() == len(want)
