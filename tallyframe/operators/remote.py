@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions import fields
-from tallyframe.functions.text import name_similarity
 from tallyframe.model import Config
-from tallyframe.operators import checksum
+from tallyframe.operators import checksum, similar
 
 PAYLOAD = "struct<courseName:string,teeName:string,players:array<struct<name:string,holes:array<struct<holeNumber:int,playerScore:int,confidence:double>>,writtenOut:int,writtenIn:int,writtenTotal:int>>>"
 MOST_PLAYERS = 8
@@ -52,8 +51,7 @@ def pair(remote: DataFrame, local: DataFrame, config: Config = Config()) -> Data
     n = local.groupBy("card_id").agg(F.count("*").alias("n"), F.min("player_seq").alias("only"))
     met = remote.select("card_id", "remote_seq", "name").join(local.select("card_id", "player_seq", F.col("name").alias("l_name")), "card_id").where("name IS NOT NULL AND l_name IS NOT NULL")
     # many rows bear the same names, and likeness is what costs: each pair of names is compared once
-    alike = met.select("name", "l_name").distinct().withColumn("s", name_similarity(F.col("name"), F.col("l_name"))).where(F.col("s") >= config.remote.name)
-    sims = met.join(alike, ["name", "l_name"])
+    sims = met.join(similar.alike(met, "name", "l_name", config.remote.name), ["name", "l_name"])
     best = sims.groupBy("card_id", "remote_seq").agg(F.min_by("player_seq", F.struct(-F.col("s"), F.col("player_seq"))).alias("named"))
     return remote.select("card_id", "remote_seq").join(n, "card_id", "left").join(best, ["card_id", "remote_seq"], "left").select("card_id", "remote_seq", F.when(F.col("n") == 1, F.col("only")).otherwise(F.col("named")).alias("player_seq"))
 
@@ -118,9 +116,9 @@ def fill_subtotals(local: DataFrame, players: DataFrame, pairs: DataFrame, confi
 
 def selected(players: DataFrame, local_selected: DataFrame, config: Config = Config()) -> DataFrame:
     """(card_id, remote_seq): of each card with local rows, the remote row most like the selected one by name, else the first."""
-    s = F.coalesce(name_similarity(F.col("name"), F.col("l_name")), F.lit(0.0))
-    both = players.join(local_selected.select("card_id", F.col("name").alias("l_name")), "card_id", "left").withColumn("s", s)
-    return both.groupBy("card_id").agg(F.coalesce(F.min(F.when(F.col("s") >= config.remote.name, F.struct((-F.col("s")).alias("s"), "remote_seq")))["remote_seq"], F.min("remote_seq")).alias("remote_seq"))
+    both = players.join(local_selected.select("card_id", F.col("name").alias("l_name")), "card_id", "left")
+    both = both.join(similar.alike(both, "name", "l_name", config.remote.name), ["name", "l_name"], "left")
+    return both.groupBy("card_id").agg(F.coalesce(F.min(F.when(F.col("s").isNotNull(), F.struct((-F.col("s")).alias("s"), "remote_seq")))["remote_seq"], F.min("remote_seq")).alias("remote_seq"))
 
 
 def merge_passes(first: DataFrame, second: DataFrame, least: float = 0.35) -> DataFrame:

@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.functions.text import edit_share, normalize_name, token_share, tokens_of
+from tallyframe.functions.text import edit_share, name_similarity, normalize_name, token_share, tokens_of
 
 #: Below this floor the count filter lets everything through.
 LEAST_FLOOR = 0.52
@@ -30,6 +30,16 @@ LEAST_FLOOR = 0.52
 FEW = 256
 
 
+def once(value: Column) -> Column:
+    """The value as a generator of one row: it is worked out once a row, where it stands. A filter on a plain column would carry its whole expression below the distinct or the join before it, onto every row there."""
+    return F.explode(F.array(value))
+
+
+def alike(pairs: DataFrame, left: str, right: str, floor: float) -> DataFrame:
+    """(left, right, s): of the pairs of texts in the rows, each compared once, those whose name similarity s is floor or more."""
+    return pairs.select(left, right).distinct().select(left, right, once(name_similarity(F.col(left), F.col(right))).alias("s")).where(F.col("s") >= floor)
+
+
 def _edits(n: Column, floor: float) -> Column:
     """Edits that a pair may differ by; n: the longer length."""
     return F.floor(n * (1 - floor) + 1e-9).cast("int")
@@ -83,7 +93,7 @@ def close_forms(left: DataFrame, right: DataFrame, floor: float) -> DataFrame:
 
 def _forms(df: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
     """(text, form) of distinct texts, and their distinct forms; forms that are empty go."""
-    texts = df.select(F.col(text).alias("text")).distinct().withColumn("form", normalize_name(F.col("text"))).where("form <> ''")
+    texts = df.select(F.col(text).alias("text")).distinct().select("text", once(normalize_name(F.col("text"))).alias("form")).where("form <> ''")
     return texts, texts.select("form").distinct()
 
 
@@ -114,7 +124,8 @@ def token_candidates(left: DataFrame, right: DataFrame, floor: float) -> DataFra
 def _scored(pairs: DataFrame, floor: float) -> DataFrame:
     """Name similarity of pairs (l, r) of forms, as far as it reaches the floor. Tokens are cut once for each pair."""
     x, y = F.col("l"), F.col("r")
-    each = pairs.withColumn("c", F.when(x == y, 1.0).otherwise(edit_share(x, y))).withColumn("lt", tokens_of(x)).withColumn("rt", tokens_of(y)).withColumn("t", token_share(F.col("lt"), F.col("rt")))
+    cut = pairs.select("l", "r", once(F.struct(F.when(x == y, 1.0).otherwise(edit_share(x, y)).alias("c"), tokens_of(x).alias("lt"), tokens_of(y).alias("rt"))).alias("_p"))
+    each = cut.select("l", "r", "_p.c", once(token_share(F.col("_p.lt"), F.col("_p.rt"))).alias("t"))
     return each.withColumn("similarity", F.greatest("c", "t") * 0.7 + F.least("c", "t") * 0.3).where(F.col("similarity") >= floor)
 
 

@@ -73,3 +73,19 @@ def test_few_candidates_among_many_names(spark):
 def test_a_floor_too_low_is_refused(spark):
     with pytest.raises(ValueError):
         similar.candidates(spark.createDataFrame([("a",)], "form string"), spark.createDataFrame([("a",)], "form string"), 0.4)
+
+
+def test_likeness_is_worked_out_above_the_distinct(spark):
+    """A filter on it isn't carried onto the rows that bear the same texts."""
+    from tallyframe.operators import remote
+    from tallyframe.sources import store
+
+    text = lambda c: F.concat(F.lit("name "), (F.col("id") % 3).cast("string")).alias(c)
+    remotes = spark.range(90).select((F.col("id") % 9).alias("card_id"), F.col("id").alias("remote_seq"), text("name"))
+    locals_ = spark.range(90).select((F.col("id") % 9).alias("card_id"), F.col("id").alias("player_seq"), text("name"))
+    results = spark.range(90).select((F.col("id") % 9).alias("catalog_id"), F.col("id").alias("rank"), text("name"), text("city"), text("found_name"), text("found_city"), F.lit(33.0).alias("lat"), F.lit(-84.0).alias("lon"))
+    texts, names = remotes.select(F.col("name").alias("seen")), remotes.select(F.concat("name", F.lit(" x")).alias("n"))
+    for out in (remote.pair(remotes, locals_), store.accept_places(results), similar.by_name(texts, "seen", names, "n", 0.62, few=0)):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        costly = [line for line in plan.split("\n") if "levenshtein" in line and "aggregate(" in line]
+        assert costly and not any("Filter" in line or "Join" in line for line in costly), plan
