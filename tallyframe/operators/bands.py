@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.model import Clustering
+from tallyframe.operators.similar import once
 
-#: Bands that one array holds for all values; more are cut into chunks of about as many. Chunks at most, whose edges stand in the plan.
+#: Bands that one array holds for all values; more stay rows, in chunks. Chunks at most, whose edges stand in the plan.
 FEW, CHUNKS = 1000, 512
 
 
@@ -104,14 +105,26 @@ def located_by(df: DataFrame, columns: DataFrame, by: list[str], value: Column,
 def located(df: DataFrame, columns: DataFrame, value: str, fields: list[str], few: int = FEW) -> DataFrame:
     """df with the fields of the band (low, high, fields) that its value falls in; null where there is none. Bands don't overlap.
 
-    Up to `few` bands lie in one array, which every row bisects. More are cut into chunks at quantiles of their lower ends; rows
-    find their chunk by bisecting the edges, and their band in the chunk. A band that reaches over edges lies in each of its chunks.
+    Up to `few` bands lie in one array, which every row bisects. More stay rows: distinct values and bands are cut into chunks at
+    quantiles of the bands' lower ends, and within a chunk each value takes, in order, the last band that began before it. No array
+    of bands travels with a row. A band that reaches over edges lies in each of its chunks.
     """
     n = columns.count()
+    if n <= few:
+        hit = df.join(F.broadcast(_packed(columns.where("low IS NOT NULL AND high IS NOT NULL").withColumn("_chunk", F.lit(0)), ["_chunk"], fields).drop("_chunk")), how="left").withColumn("_hit", _band(F.col(value), "_lows", "_bands"))
+        return hit.select(*df.columns, *[F.col(f"_hit.{f}").alias(f) for f in fields])
     chunks = min(CHUNKS, math.ceil(n / few))
-    edges = sorted(set(columns.approxQuantile("low", [i / chunks for i in range(1, chunks)], 1 / (4 * chunks)))) if chunks > 1 else []
+    edges = sorted(set(columns.approxQuantile("low", [i / chunks for i in range(1, chunks)], 1 / (4 * chunks))))
     listed = F.array(*[F.lit(e) for e in edges]).cast("array<double>")
-    chunk = lambda v: F.when(v.isNotNull(), bisected(listed, v) if edges else F.lit(0))
-    cut = columns.withColumn("_chunk", F.explode(F.sequence(chunk(F.col("low")), chunk(F.col("high")))))
-    hit = df.withColumn("_chunk", chunk(F.col(value))).join(_packed(cut, ["_chunk"], fields), "_chunk", "left").withColumn("_hit", _band(F.col(value), "_lows", "_bands"))
-    return hit.select(*df.columns, *[F.col(f"_hit.{f}").alias(f) for f in fields])
+    chunk = lambda v: bisected(listed, v) if edges else F.lit(0)
+    # bisecting is what costs: once for each end and each distinct value
+    ends = columns.where("low IS NOT NULL AND high IS NOT NULL").select("low", "high", F.struct(*fields).alias("_band"), once(F.struct(chunk(F.col("low")).alias("low"), chunk(F.col("high")).alias("high"))).alias("_in"))
+    reached = ends.select("low", "high", "_band", F.explode(F.sequence("_in.low", "_in.high")).alias("_chunk"))
+    values = df.select(F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL").distinct().select("_v", once(chunk(F.col("_v"))).alias("_chunk"))
+    bands = reached.select("_chunk", F.col("low").cast("double").alias("_at"), F.lit(0).alias("_kind"), F.struct(F.col("high").alias("high"), F.col("_band").alias("band")).alias("_b"))
+    mixed = bands.unionByName(values.select("_chunk", F.col("_v").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(bands.schema["_b"].dataType).alias("_b")))
+    # of bands that begin where the value lies, those stand before it
+    so_far = Window.partitionBy("_chunk").orderBy("_at", "_kind", "_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = mixed.withColumn("_last", F.last("_b", ignorenulls=True).over(so_far)).where("_kind = 1 AND _at < _last.high").select(F.col("_at").alias("_v"), F.col("_last.band").alias("_hit"))
+    hit = df.join(last, F.col(value).cast("double") == F.col("_v"), "left")
+    return hit.select(*[hit[c] for c in df.columns], *[F.col(f"_hit.{f}").alias(f) for f in fields])

@@ -72,6 +72,18 @@ def test_fifty_thousand_bands_without_a_nested_loop(spark):
     assert out.where(~F.col("name").eqNullSafe(F.when(F.col("v") % 1 == 0, F.col("v").cast("long")))).count() == 0 and out.count() == 100_000
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert "_lows" not in plan and "collect_list" not in plan  # bands stay rows: none carries an array of them
+
+
+def test_equal_values_and_equal_lower_ends(spark):
+    bands_ = [(0.0, 0.0, "empty"), (0.0, 2.0, "a"), (2.0, 2.5, "b"), (2.5, 90.0, "wide"), (90.0, 91.0, "end"), (None, 5.0, "no low")]
+    values = [0.0, -0.0, 2.0, 2.0, 2.49, 2.5, 50.0, 50.0, 90.5, 91.0, float("nan"), float("inf"), None]
+    frame = spark.createDataFrame(list(enumerate(values)), "id long, v double")
+    made = spark.createDataFrame(bands_, "low double, high double, name string")
+    want = ["a", "a", "b", "b", "b", "wide", "wide", "wide", "end", None, None, None, None]
+    for few in (1000, 2, 1):
+        got = {x.id: x.name for x in bands.located(frame, made, "v", ["name"], few).collect()}
+        assert [got[i] for i in range(len(values))] == want and len(got) == len(values), few
 
 
 def test_no_bands(spark):
