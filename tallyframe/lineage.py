@@ -1,7 +1,8 @@
-"""Where long plans are cut: reliable checkpoints in the folder that all executors share."""
+"""Where long plans are cut: reliable checkpoints in the folder that all executors share; and how many tasks a table is dealt to."""
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -31,3 +32,9 @@ def cut(df: DataFrame) -> DataFrame:
     if not df.sparkSession.sparkContext.getCheckpointDir():
         df.sparkSession.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def dealt(df: DataFrame, each: int, *keys: str) -> DataFrame:
+    """df dealt by its keys to as many tasks as give each about `each` rows, so that what a task holds doesn't grow with the table. The rows are counted: for stored tables a look at their footers."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, math.ceil(df.count() / each)), *keys)

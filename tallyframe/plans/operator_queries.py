@@ -286,7 +286,7 @@ _FIELD = "CASE WHEN hole = 1 THEN 'userEdited' ELSE 'ocr' END"
 @query(CELLS + f""", m AS (SELECT card_id, hole, value, {_FIELD} AS p, CASE WHEN hole % 3 = 0 THEN 0.3::DOUBLE ELSE 0.7::DOUBLE END AS c, raw % 20 AS r, LEAST(CASE WHEN raw % 2 = 0 THEN 0.9::DOUBLE ELSE 0.4::DOUBLE END, CASE WHEN card_id % 2 = 0 THEN 0.95::DOUBLE ELSE 0.45::DOUBLE END) AS rc FROM cells),
  w AS (SELECT *, p <> 'userEdited' AND r BETWEEN 1 AND 15 AND rc >= {{least}} AND (value IS NULL OR rc >= c + {{margin}}) AS wins FROM m) SELECT card_id, hole, CAST(CASE WHEN wins THEN r ELSE value END AS INT) AS value, wins AS updated FROM w""".replace("{least}", str(remote.Config().remote.least)).replace("{margin}", str(remote.Config().remote.margin)))
 def second_reading_merged(spark, sf_dir):
-    c = cells(spark, sf_dir)
+    c = cells(spark, sf_dir, "l_orderkey", "l_linenumber")  # as the merge joins them
     p = F.when(F.col("hole") == 1, "userEdited").otherwise("ocr")
     local = c.select("card_id", "hole", fields.make_field(F.col("value"), F.when(F.col("hole") % 3 == 0, 0.3).otherwise(0.7), p).alias("field"))
     other = c.select("card_id", "hole", (F.col("raw") % 20).alias("value"), F.when(F.col("raw") % 2 == 0, 0.9).otherwise(0.4).alias("confidence"), F.when(F.col("card_id") % 2 == 0, 0.95).otherwise(0.45).alias("ceiling"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions import fields, numeric, text
+from tallyframe.lineage import dealt
 from tallyframe.model import Matching
 from tallyframe.operators import bands, checksum, folds, history, medians, remote, rows, sequences, similar
 
@@ -34,10 +35,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as score cells: one per order and line; every fifth is unread."""
+#: Line items, and cards that meet all templates, that a task takes.
+LINES, CARDS = 500_000, 20_000
+
+
+def cells(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
+    """Line items as score cells: one per order and line; every fifth is unread. Dealt by order, or by keys among order and line, to tasks of a bounded number of rows."""
     raw = F.min("l_quantity").cast("int")
-    one = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("card_id"), F.col("l_linenumber").alias("hole")).agg(raw.alias("raw"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    one = dealt(lines, LINES, *(keys or ("l_orderkey",))).groupBy(F.col("l_orderkey").alias("card_id"), F.col("l_linenumber").alias("hole")).agg(raw.alias("raw"))
     return one.withColumn("value", F.when((F.col("card_id") * 7 + F.col("hole")) % 5 != 0, F.col("raw")))
 
 
@@ -224,12 +230,13 @@ def name_similarity_top1(spark, sf_dir):
  SELECT c.c_custkey AS card_id, CASE WHEN b.s1 IS NULL THEN 'noMatch' WHEN b.s1 >= 0.72 AND (b.s2 IS NULL OR b.s1 - b.s2 > 0.07) THEN 'confident' ELSE 'ambiguous' END AS resolution, b.tid AS template_id, b.s1 AS score FROM customer c LEFT JOIN b ON b.c_custkey = c.c_custkey""")
 def template_match_resolution(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
+    dealt_cards = dealt(c.select("c_custkey", "c_nationkey", "c_mktsegment"), CARDS, "c_custkey")  # each becomes as many rows as there are templates, which are ranked where they are made
     every = c.groupBy(F.col("c_nationkey").alias("t")).agg(F.count("*").alias("all_n"))
     seg = c.groupBy(F.col("c_nationkey").alias("template_id"), F.col("c_mktsegment").alias("seg")).agg(F.count("*").alias("n")).join(F.broadcast(every), F.col("template_id") == F.col("t"))
     # nations times segments: the product of two fixed dimensions
-    scored = c.join(F.broadcast(seg), F.col("c_mktsegment") == F.col("seg")).select(F.col("c_custkey").alias("card_id"), "template_id", (F.round(F.col("n") / F.col("all_n") * 2.2, 6) + F.when(F.col("template_id") == F.col("c_nationkey"), 0.3).otherwise(0.0)).alias("score"))
+    scored = dealt_cards.join(F.broadcast(seg), F.col("c_mktsegment") == F.col("seg")).select(F.col("c_custkey").alias("card_id"), "template_id", (F.round(F.col("n") / F.col("all_n") * 2.2, 6) + F.when(F.col("template_id") == F.col("c_nationkey"), 0.3).otherwise(0.0)).alias("score"))
     best = sequences.resolve(scored)
-    return c.select(F.col("c_custkey").alias("card_id")).join(best, "card_id", "left").select("card_id", F.coalesce("resolution", F.lit("noMatch")).alias("resolution"), "template_id", "score")
+    return dealt_cards.select(F.col("c_custkey").alias("card_id")).join(best, "card_id", "left").select("card_id", F.coalesce("resolution", F.lit("noMatch")).alias("resolution"), "template_id", "score")
 
 
 @query("""WITH p AS (SELECT a.event_id, b.event_id AS next_id, b.value - a.value AS gap, ROW_NUMBER() OVER (PARTITION BY a.event_id ORDER BY b.value - a.value, b.event_id) AS k FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = b.event_type AND b.value > a.value AND b.value - a.value <= 5)

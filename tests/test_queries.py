@@ -39,3 +39,14 @@ def test_entry_point_lists_everything():
     import __spark_entry__ as e
 
     assert set(table_queries.QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_tasks_hold_a_bounded_number_of_rows(spark, monkeypatch):
+    """Twice as many tasks where a task may hold half as many rows, and no exchange below them that gathers the rows again."""
+    for name in ("numeric_signature", "classify_rows", "second_reading_merged", "template_match_resolution"):
+        n = {}
+        for share in (1, 2):
+            monkeypatch.setattr(table_queries, "LINES", 200 // share)
+            monkeypatch.setattr(table_queries, "CARDS", 10 // share)
+            n[share] = table_queries.QUERIES[name](spark, DATA).rdd.getNumPartitions()
+        assert n[2] >= 1.9 * n[1] > 4, (name, n)
