@@ -402,4 +402,4 @@ def recognitions_matched(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("card_id"), F.col("vec_id").alias("obs_seq"), "embedding")
     one = e.select("card_id", "obs_seq", part(0).alias("x"), part(1).alias("y"), (part(2) + 0.05).alias("w"), (part(3) + 0.05).alias("h"))
     two = e.select("card_id", "obs_seq", (part(0) + moved(4)).alias("x"), (part(1) + moved(5)).alias("y"), (part(6) + 0.05).alias("w"), (part(3) + 0.06).alias("h"))
-    return overlaps.matched(overlaps.overlapping(one, two, 0.35)).select(F.col("card_id").alias("label"), "l", "r")
+    return overlaps.matched_boxes(one, two, 0.35).select(F.col("card_id").alias("label"), "l", "r")
