@@ -35,8 +35,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Line items, and cards that meet all templates, that a task takes.
-LINES, CARDS = 500_000, 20_000
+#: Line items, cards that meet all templates, and cards with all their observations, that a task takes.
+LINES, CARDS, WHOLE_CARDS = 500_000, 20_000, 2_000
 
 
 def cells(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
@@ -439,15 +439,16 @@ def generated_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     holes = [f"@{h}" for h in range(1, 19)]
     base = fixtures.frame(spark, {"": fixtures.golden_card(holes, "SAM PLAYER", totals=("@19", "@20", "@21"), confidence=0.60)})
     k = F.col("s_suppkey")
-    cards = table(spark, sf_dir, "supplier").select("s_suppkey")
-    o = cards.crossJoin(F.broadcast(base))
+    # a supplier is a few bytes and becomes a card of some 150 observations: by their bytes all cards would be made, and read, in one task
+    cards = dealt(table(spark, sf_dir, "supplier").select("s_suppkey", k.cast("string").alias("card_id")), WHOLE_CARDS, "card_id")
+    o = cards.crossJoin(F.broadcast(base.drop("card_id")))
     slot = F.regexp_extract("text", "^@([0-9]+)$", 1).try_cast("int")
     total = lambda a, b: sum((_card_scores(k, F.lit(h)) for h in range(a, b + 1)), F.lit(0))
     front = total(1, 9) + F.when(k % 5 == 0, 1).otherwise(0)
     blank = ((k % 3 == 0) & (slot == k % 9 + 1)) | ((k % 4 == 0) & slot.isin(12, 13))
     value = F.when(slot <= 18, F.when(~blank, _card_scores(k, slot))).when(slot == 19, front).when(slot == 20, total(10, 18)).otherwise(total(1, 18))
     o = o.withColumn("text", F.when(slot.isNotNull(), value.cast("string")).otherwise(F.col("text"))).where("text IS NOT NULL")
-    return o.withColumn("card_id", k.cast("string")).drop("s_suppkey")
+    return o.drop("s_suppkey")
 
 
 @query("""WITH h AS (SELECT s_suppkey AS k, h, 3 + (s_suppkey * 7 + h * 5) % 4 AS v, (s_suppkey % 3 = 0 AND h = s_suppkey % 9 + 1) OR (s_suppkey % 4 = 0 AND h IN (12, 13)) AS blank FROM supplier CROSS JOIN (SELECT UNNEST(range(1, 19)) AS h)),

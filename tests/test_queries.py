@@ -50,3 +50,11 @@ def test_tasks_hold_a_bounded_number_of_rows(spark, monkeypatch):
             monkeypatch.setattr(table_queries, "CARDS", 10 // share)
             n[share] = table_queries.QUERIES[name](spark, DATA).rdd.getNumPartitions()
         assert n[2] >= 1.9 * n[1] > 4, (name, n)
+
+
+def test_cards_are_dealt_by_their_number(spark, monkeypatch):
+    """Ten small suppliers lie in one file; their cards aren't all made in one task."""
+    monkeypatch.setattr(table_queries, "WHOLE_CARDS", 1)
+    obs = table_queries.generated_cards(spark, DATA)
+    n = spark.read.parquet(f"{DATA}/supplier.parquet").count()
+    assert n > 4 and obs.rdd.getNumPartitions() == n
