@@ -23,11 +23,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.functions.text import edit_share, name_similarity, normalize_name, token_share, tokens_of
+from tallyframe.lineage import cut
 
 #: Below this floor the count filter lets everything through.
 LEAST_FLOOR = 0.52
 #: Distinct names that are sent to all texts; an index serves more.
 FEW = 256
+#: Floors that the closest names are looked for under before the given one. Near the top few pairs meet, even among names that are all alike.
+FLOORS = (0.9, 0.8, 0.7)
 
 
 def once(value: Column) -> Column:
@@ -142,11 +145,30 @@ def by_name(texts: DataFrame, left: str, names: DataFrame, right: str, floor: fl
     return _named(_scored(met, floor), t, n, left, right)
 
 
-def closest(texts: DataFrame, left: str, names: DataFrame, right: str, floor: float) -> DataFrame:
-    """(left, right, similarity): for each distinct text the name of the highest character similarity, the first by name of equals. Texts without a name above the floor, and only those, meet all names."""
-    best = lambda pairs: pairs.groupBy(left).agg(F.min(F.struct((-F.col("similarity")).alias("s"), right)).alias("b")).select(left, f"b.{right}", (-F.col("b.s")).alias("similarity"))
-    near = best(by_characters(texts, left, names, right, floor))
-    rest = texts.select(left).distinct().join(near.select(left), left, "left_anti").withColumn("l", normalize_name(F.col(left)))
-    every = names.select(right).distinct().withColumn("r", normalize_name(F.col(right)))
+def closest(texts: DataFrame, left: str, names: DataFrame, right: str, floor: float, few: int = FEW) -> DataFrame:
+    """(left, right, similarity): for each distinct text the name of the highest character similarity, the first by name of equals. Null texts and names take no part.
+
+    Up to `few` forms of names are counted and sent to the texts. More are met by the index under floors that fall to the given one: where a floor finds
+    anything, it has the best, so only texts without a name above it go on to the next. Those without any meet all names.
+    """
+    formed = lambda df, c, form: df.select(c).where(F.col(c).isNotNull()).distinct().select(c, once(normalize_name(F.col(c))).alias(form))
+    t, n = cut(formed(texts, left, "l")), cut(formed(names, right, "r").groupBy("r").agg(F.min(right).alias("name")))
+    best = lambda pairs: pairs.groupBy("l").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "name")).alias("b")).select("l", F.col("b.name").alias(right), (-F.col("b.s")).alias("similarity"))
     share = F.when((F.length("l") == 0) | (F.length("r") == 0), 0.0).when(F.col("l") == F.col("r"), 1.0).otherwise(edit_share(F.col("l"), F.col("r")))
-    return near.unionByName(best(rest.join(every).withColumn("similarity", share).select(left, right, "similarity")))
+    rest = t.select("l").distinct()
+    if n.limit(few + 1).count() <= few:
+        found = best(_spread(rest, "l").join(F.broadcast(n)).withColumn("similarity", share))
+    else:
+        forms = n.where("r <> ''").select(F.col("r").alias("form"))
+        found = cut(best(rest.where("l <> ''").join(n, F.col("l") == F.col("r")).withColumn("similarity", F.lit(1.0))))
+        left_over = lambda: cut(rest.join(found, "l", "left_anti"))
+        rest = left_over()
+        for f in (*[f for f in FLOORS if f > floor], floor):
+            if rest.isEmpty():
+                break
+            near = close_forms(rest.where("l <> ''").select(F.col("l").alias("form")), forms, f)
+            found = cut(found.unionByName(best(near.join(n, "r").withColumnRenamed("share", "similarity"))))
+            rest = left_over()
+        if not rest.isEmpty():
+            found = found.unionByName(best(rest.join(n).withColumn("similarity", share)))
+    return t.join(found, "l").select(left, right, "similarity")

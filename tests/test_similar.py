@@ -59,6 +59,36 @@ def test_closest_is_the_best_of_all(sides):
     assert rows(similar.closest(texts.where("seen IS NOT NULL"), "seen", names, "name", 0.62)) == rows(want)
 
 
+@pytest.mark.parametrize("few", [0, 1000])
+def test_closest_by_index_and_by_all_names(sides, few):
+    """Null texts and names take no part, by either way."""
+    texts, names = sides
+    names = names.unionByName(names.sparkSession.createDataFrame([(None,)], "name string"))
+    every = texts.distinct().where("seen IS NOT NULL").crossJoin(names.where("name IS NOT NULL")).withColumn("similarity", text.character_similarity(F.col("seen"), F.col("name")))
+    want = every.groupBy("seen").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "name")).alias("b")).select("seen", "b.name", (-F.col("b.s")).alias("similarity"))
+    assert rows(similar.closest(texts, "seen", names, "name", 0.62, few=few)) == rows(want)
+
+
+def test_closest_goes_down_only_for_the_rest(spark, monkeypatch):
+    """Equal texts need no index, few names neither, and a floor is tried only for texts that the floors above it left."""
+    asked, real = [], similar.candidates
+
+    def counted(left, right, floor):
+        asked.append((floor, left.count()))
+        return real(left, right, floor)
+
+    monkeypatch.setattr(similar, "candidates", counted)
+    frame = lambda values, c: spark.createDataFrame([(v,) for v in values], f"{c} string")
+    names = [f"blue anvil {i}" for i in range(300)]
+    texts = names[:200] + [f"bluc anvll {i}" for i in range(200, 300)]
+    found = similar.closest(frame(texts, "seen"), "seen", frame(names, "name"), "name", 0.62)
+    assert {r.seen.replace("bluc", "blue").replace("anvll", "anvil"): r.name for r in found.collect()} == {n: n for n in names}
+    assert asked == [(0.9, 100), (0.8, 100)]
+    asked.clear()
+    similar.closest(frame(texts, "seen"), "seen", frame(names[:200], "name"), "name", 0.62)
+    assert not asked
+
+
 def test_few_candidates_among_many_names(spark):
     names = made(10_000, 5)
     left = spark.createDataFrame([(damaged(n, i),) for i, n in enumerate(names)], "form string").select(text.normalize_name(F.col("form")).alias("form")).distinct().where("form <> ''")
