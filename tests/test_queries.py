@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyframe.plans import operator_queries, store_queries, table_queries  # noqa: F401  all register queries
 
@@ -52,6 +53,19 @@ def test_tasks_hold_a_bounded_number_of_rows(spark, monkeypatch):
         assert n[2] >= 1.9 * n[1] > 4, (name, n)
 
 
+@pytest.mark.parametrize("name", ["second_reading_merged"])
+def test_no_task_gathers_the_cells_it_was_dealt(spark, monkeypatch, name):
+    """As large tables are joined, which aren't broadcast: no task returns many more rows than the lines a task takes."""
+    monkeypatch.setattr(table_queries, "LINES", 100)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = table_queries.QUERIES[name](spark, DATA).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert len(made) >= 50 and max(r["count"] for r in made) <= 200, (name, len(made))
+
+
 def test_cards_are_dealt_by_their_number(spark, monkeypatch):
     """Ten small suppliers lie in one file; their cards aren't all made in one task."""
     monkeypatch.setattr(table_queries, "WHOLE_CARDS", 1)
