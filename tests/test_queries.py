@@ -53,7 +53,7 @@ def test_tasks_hold_a_bounded_number_of_rows(spark, monkeypatch):
         assert n[2] >= 1.9 * n[1] > 4, (name, n)
 
 
-@pytest.mark.parametrize("name", ["second_reading_merged"])
+@pytest.mark.parametrize("name", ["second_reading_merged", "classify_rows"])
 def test_no_task_gathers_the_cells_it_was_dealt(spark, monkeypatch, name):
     """As large tables are joined, which aren't broadcast: no task returns many more rows than the lines a task takes."""
     monkeypatch.setattr(table_queries, "LINES", 100)
